@@ -125,7 +125,7 @@ def _cells(bits: int, buckets: int, width: int, text: str, key: str):
             for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(bucket)) + 1):
                 a, z = part[0], part[-1] + 1
                 used, short = np.unique(cls[a:z], return_inverse=True)
-                yield int(bucket[a]), _ENTRY, packed.pack(sig[used], (h[a:z] << U64(16)) | short.astype(np.uint64))
+                yield int(bucket[a]), _ENTRY, packed.pack(sig[used], packed.planes((h[a:z] << U64(16)) | short.astype(np.uint64)))
 
     return run
 
@@ -144,11 +144,12 @@ def _shared(bits: int):
         yield from packed.batches(rows(incoming))
 
     def rows(incoming):
+        found = []
         for bucket, kinds in packed.by_bucket(incoming).items():
             for kind in (_DOC, _CLASS, _OWN):
                 for payload in kinds.pop(kind, ()):
                     yield bucket, kind, payload
-            entries = [packed.unpack(p) for p in kinds.pop(_ENTRY, ())]
+            entries = [(table, packed.from_planes(x)) for table, x in map(packed.unpack, kinds.pop(_ENTRY, ()))]
             heavy = [packed.unpack(p)[0] for p in kinds.pop(_HEAVY_COUNT, ())]
             if not entries:
                 continue
@@ -175,8 +176,11 @@ def _shared(bits: int):
             df[is_heavy] = _MANY
             pick = df > 1
             h, sig, df = h[pick], sig[pick], df[pick]
+            found.append((sig, (h >> U64(16)) | (U64(bucket) << U64(48)), np.minimum(df, 255).astype(np.uint8)))
+        if found:
+            sig, h, df = (np.concatenate(c) for c in zip(*found))
             for b, (s, x, f) in packed.scattered((sig >> shift).astype(np.int64), sig, h, df):
-                yield b, _SHARED, packed.pack(*_tabled(s), (x >> U64(16)) | (U64(bucket) << U64(48)), np.minimum(f, 255).astype(np.uint8), np.array([0]))
+                yield b, _SHARED, packed.pack(*_tabled(s), x, f)
 
     return run
 
@@ -214,7 +218,7 @@ def _survivors(bits: int, top: int):
             sig, n, rep = sig[order], n[order], rep[order]
             parts = []
             for p in kinds.get(_SHARED, ()):
-                table, short, h, f, _ = packed.unpack(p)
+                table, short, h, f = packed.unpack(p)
                 parts.append((table[short], h, f))
             for p in kinds.get(_OWN, ()):
                 table, short, h = packed.unpack(p)

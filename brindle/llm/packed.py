@@ -36,6 +36,15 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of sorted 64-bit numbers, most significant bytes together, which then compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def from_planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
 def batches(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Packed rows as Arrow batches of about that many bytes."""
     held, size = [], 0
@@ -77,8 +86,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    """Buckets are a power of two, at least eight to a shuffle partition, so that partitions come out even."""
-    return min(20, max(6, (8 * partitions(spark) - 1).bit_length()))
+    """Buckets are a power of two, at least two to a shuffle partition."""
+    return min(20, max(6, (2 * partitions(spark) - 1).bit_length()))
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
