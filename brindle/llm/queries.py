@@ -39,6 +39,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "fail_bits")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.bloom_lm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from brindle.llm.sp_agenda import encode_decode
