@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from brindle.llm import packed, words
 
 U64 = np.uint64
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 FREQUENT = 100_000
 MAX_BYTES = 32 << 20
 BITS_PER_ITEM = 10
@@ -464,7 +464,7 @@ def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     spark = docs.sparkSession
     n = packed.partitions(spark)
     k = F.col(key).cast("long")
-    rows = docs.select(k.alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.pmod(F.crc32(k.cast("string")), F.lit(7)) == 2, F.lit(False)).alias("held_out"))
+    rows = packed.small_batches(docs).select(k.alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.pmod(F.crc32(k.cast("string")), F.lit(7)) == 2, F.lit(False)).alias("held_out"))
     model, counts, bits = train(rows.select("doc_id", "text", "held_out"))
     held = spark.sparkContext.broadcast(model)
     scored = rows.mapInArrow(_score(held, bits), packed.SCHEMA)

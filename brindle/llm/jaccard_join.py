@@ -35,7 +35,7 @@ from brindle.llm.components import connected_components
 
 U64 = np.uint64
 WIDTH = 5
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 HEAVY = 64
 _DOC, _CLASS, _ENTRY, _HEAVY_COUNT, _OWN, _SHARED = range(6)
 _MANY = np.uint32(2**32 - 1)
@@ -280,7 +280,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     """
     spark = docs.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    rows = packed.small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     cells = packed.dealt(rows.mapInArrow(_cells(bits, 1 << bits, width, "text", "doc_id"), packed.SCHEMA), n)
     shared = packed.dealt(cells.mapInArrow(_shared(bits), packed.SCHEMA), n)
     state = packed.checkpointed(shared.mapInArrow(_survivors(bits, percent), SURVIVORS))

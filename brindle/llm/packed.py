@@ -81,6 +81,17 @@ def scattered(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, li
         yield int(bucket[part[0]]), [a[part] for a in arrays]
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keeps what Arrow holds at once small where rows are whole documents; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

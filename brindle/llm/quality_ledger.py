@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import words
+from brindle.llm.packed import small_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_letter_words", "n_distinct_words", "n_exclaims")
 
@@ -107,7 +108,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("doc_id"), carried.alias("rest"))
+    rows = small_batches(docs).select(F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("doc_id"), carried.alias("rest"))
     kind = rows.schema["rest"].dataType
     schema = pa.schema([("rest", to_arrow_type(kind)), *[(m, pa.int64()) for m in MEASURES]])
 

@@ -32,7 +32,7 @@ from brindle.llm import packed, words
 
 U64 = np.uint64
 WIDTH = 20
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 _ENTRY, _ANSWER = 0, 1
 
 
@@ -244,7 +244,7 @@ def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> D
     spark = docs.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
     homes = _prime(1 << bits)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = packed.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = packed.dealt(plain.filter("doc_id is not null").mapInArrow(_occurrences(bits, homes, width), packed.SCHEMA), n)
     answers = found.mapInArrow(_first_places(bits, homes), packed.SCHEMA)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
