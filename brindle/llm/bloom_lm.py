@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from brindle.llm import packed, words
 
 U64 = np.uint64
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 FREQUENT = 100_000
 MAX_BYTES = 32 << 20
 BITS_PER_ITEM = 10

@@ -6,6 +6,8 @@ where it would else handle thousands, and reducers sort them with numpy.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -45,6 +47,13 @@ def from_planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as workers live long beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Packed rows as Arrow batches of about that many bytes."""
     held, size = [], 0
@@ -54,8 +63,10 @@ def batches(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> Iter
         if size >= most:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), ARROW.types)], schema=ARROW)
             held, size = [], 0
+            trim()
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), ARROW.types)], schema=ARROW)
+    trim()
 
 
 def rows_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:

@@ -173,6 +173,7 @@ def _removal(bits: int, width: int, with_text: bool, rest: pa.DataType | None):
                 yield document_rows(t, part, known)
             for b in [b for b in answers if b < int(bucket[at].max())]:
                 del answers[b]
+        packed.trim()
 
     def document_rows(t, part, known):
         w = words.split(t)
