@@ -78,10 +78,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def bucket(features: Column, dimensions: int = 1 << 16, person: bytes = b"brindle1") -> Column:
+def bucket(features: Column, dimensions: int = 1 << 16, person: bytes = b"brindle1", grams: tuple[int, int] | None = None) -> Column:
     """array<struct<index, sign>>: an 8-byte BLAKE2b of each feature modulo dimensions; the top bit is the sign.
 
-    person separates families of hashes; models bring their own.
+    person separates families of hashes; models bring their own. With grams the features are token lists, of which ngrams
+    are taken here, as Spark does not pass what has a lambda to a Python function.
     """
 
     @F.pandas_udf("array<struct<index int, sign double>>")
@@ -94,7 +95,11 @@ def bucket(features: Column, dimensions: int = 1 << 16, person: bytes = b"brindl
                 known[f] = {"index": v % dimensions, "sign": -1.0 if v >> 63 else 1.0}
             return known[f]
 
-        return column.map(lambda fs: [one(f) for f in fs] if fs is not None else None)
+        def runs(fs):
+            t = ["BOS", *fs, "EOS"]
+            return ["→".join(t[i : i + n]) for n in range(grams[0], grams[1] + 1) for i in range(len(t) - n + 1)]
+
+        return column.map(lambda fs: None if fs is None else [one(f) for f in (runs(fs) if grams else fs)])
 
     return hashed(features)
 

@@ -15,8 +15,8 @@ from brindle.functions import tokens as T
 
 def vectors(examples: DataFrame, dimensions: int = 1 << 16, person: bytes = b"brindle1", key: str = "sample_id") -> DataFrame:
     """(key, index, value): hashed 1- to 3-grams of tokens, scaled to length one; summed in the JVM."""
-    hashed = examples.select(key, T.bucket(T.ngrams(F.col("tokens")), dimensions, person).alias("hashed"))
-    f = hashed.select(key, F.explode_outer("hashed").alias("f")).select(key, "f.*").filter("index is not null")  # an inner explode pushes the function into a filter
+    hashed = examples.select(key, T.bucket(F.col("tokens"), dimensions, person, (1, 3)).alias("hashed"))
+    f = hashed.select(key, F.explode("hashed").alias("f")).select(key, "f.*")
     v = f.groupBy(key, "index").agg(F.sum("sign").alias("value"))
     norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     return v.join(norm, key).select(key, "index", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.col("value")).alias("value"))

@@ -53,7 +53,7 @@ def proximity_paths(events: DataFrame, exact: DataFrame | None = None, look_back
     found = F.when(F.col("op") == "NETWORK_SEND", sent).otherwise(F.concat(last(("NETWORK_RECEIVE",), "download_execute"), last(V.TRANSFORMS, "encoded_execution")))
     pairs = rows.select("target_id", "path", F.col("event_index").alias("sink"), F.explode(found).alias("f")).select("target_id", "path", "sink", "f.*").filter("motif is not null").distinct()
     if exact is not None:
-        known = exact.filter(F.col("evidence_kind").isin("dataflow", "summary")).select("target_id", "path", "motif", F.element_at("event_indexes", -1).cast("long").alias("sink"), F.explode(F.slice("event_indexes", 1, F.size("event_indexes") - 1)).cast("long").alias("source"))
+        known = exact.filter(F.col("evidence_kind").isin("dataflow", "summary")).select("target_id", "path", "motif", F.element_at("event_indexes", -1).cast("long").alias("sink"), F.explode(F.slice(F.col("event_indexes").cast("array<long>"), 1, F.size("event_indexes") - 1)).alias("source"))
         pairs = pairs.join(known.distinct(), ["target_id", "path", "motif", "source", "sink"], "left_anti")
     return pairs.select("target_id", "path", *_path(F.col("motif"), "proximity", "low", F.array("source", "sink")))
 

@@ -156,6 +156,63 @@ def f1_classified_names(spark, d):
     return P.classify_calls(names)
 
 
+def _corpus(spark, d):
+    """A file for every tenth order, made in the cluster."""
+    from brindle.sources.generators import corpus
+
+    return corpus(spark, V.table(spark, d, "orders").count() // 10)
+
+
+def x1_scan_decisions(spark, d):
+    from brindle.plans.scan import scan
+
+    return scan(_corpus(spark, d))["decisions"]
+
+
+def x2_events(spark, d):
+    from brindle.sources import frontend
+
+    return frontend.events_of(frontend.extract(_corpus(spark, d))).groupBy("op", "phase", "function").agg(F.count("*").alias("n"))
+
+
+def x13_exact_paths(spark, d):
+    from brindle.sources import frontend
+
+    return frontend.exact_of(frontend.extract(_corpus(spark, d))).groupBy("motif", "through_summary").agg(F.count("*").alias("n"))
+
+
+def x23_lexical_events(spark, d):
+    from brindle.sources import frontend
+
+    return frontend.lexical_events(V.table(spark, d, "pages").select(F.lit("pages").alias("target_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("source"))).groupBy("op").agg(F.count("*").alias("n"))
+
+
+def f8_canonical_tokens(spark, d):
+    from brindle.functions.canonical import canonical_tokens
+
+    e = V.behavior(spark, d)
+    t = e.groupBy(F.col("function").alias("sample_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_index", T.event_token(F.col("phase"), F.lit("source"), F.col("op"), F.col("target")).alias("t")))), lambda x: x["t"]).alias("tokens"))
+    return canonical_tokens(t).select("sample_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def f9_model_tokens(spark, d):
+    from brindle.functions.canonical import model_tokens
+
+    e, p = _paths(spark, d)
+    none = e.select("target_id", "path").limit(0).select("target_id", "path", F.lit(0).alias("position"), F.lit("").alias("token"))
+    return model_tokens(e.withColumn("category", F.lit("source")), p, none, e.select("target_id", "path", "file_ord").distinct()).select("target_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def session_summaries(spark, d):
+    from brindle.streaming.proximity import sessions
+
+    e = V.behavior(spark, d)
+    t = V.table(spark, d, "events")
+    order = V.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ts = t.select((F.col("user_id") * 100000 + F.row_number().over(order)).alias("event_index"), "ts")
+    return sessions(e.join(ts, "event_index")).select("target_id", "function", "started", "events", "sources", "sinks")
+
+
 WITH = f"WITH {V.SQL['behavior']}, "
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _NEAR = f"""near AS (SELECT *, list({{'i': event_index, 'op': op, 'secret': contains(lower(target), 'token')}}) OVER (PARTITION BY target_id, path, function ORDER BY event_index ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) l FROM behavior),
@@ -172,6 +229,7 @@ _CONV = "c AS (SELECT conv_id, list(role ORDER BY turn) t FROM conversations GRO
 _SETS = "dw AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) t FROM documents WHERE text IS NOT NULL), pw AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) t FROM benchmark WHERE text IS NOT NULL), kn AS (SELECT DISTINCT unnest(t) w FROM pw), de AS (SELECT doc_id, unnest(t) w FROM dw)"
 
 SQL = {
+    "session_summaries": WITH + "e AS (SELECT 't' || (user_id % 10) target_id, 'f' || user_id AS function, ts, event_type, sum(CASE WHEN g IS NULL OR ts >= g + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM events)) SELECT target_id, function, min(ts) started, count(*)::BIGINT events, count_if(event_type IN ('signup', 'view'))::BIGINT sources, count_if(event_type IN ('purchase', 'error'))::BIGINT sinks FROM e GROUP BY target_id, function, s",
     "w1_proximity_paths": WITH + _NEAR + " SELECT * FROM proximity",
     "w2_structural_paths": WITH + _NEAR + " SELECT * FROM structural",
     "a2_evidence": WITH + _EVIDENCE + " SELECT target_id, kind, name, count(*)::BIGINT n, max(score) score FROM ev GROUP BY ALL",
