@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.storage import checkpointed
+
 IDS = 10
 # The fields whose groups must not cross splits, and how grave a crossing is.
 LEAKS = (("package", "package-split-overlap", "error"), ("group_id", "group-split-overlap", "error"), ("representation_hash", "representation-split-overlap", "error"), ("family", "family-split-overlap", "warning"), ("campaign", "campaign-split-overlap", "warning"))
@@ -92,13 +94,6 @@ def require_isolated(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(bad)).filter(F.when(F.col("_bad") == 0, True).otherwise(F.raise_error(F.concat(F.lit("splits are not isolated: "), "_first")).cast("boolean"))).drop("_bad", "_first")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/brindle-checkpoints")
-    return df.checkpoint()
-
-
 def duplicate_groups(edges: DataFrame, sample: str = "sample", key: str = "key") -> DataFrame:
     """(sample, group): transitive closure over shared keys; the group is the smallest sample in it.
 

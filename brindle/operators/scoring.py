@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import policy as P
 from brindle.functions import vocabulary as V
+from brindle.sources.storage import checkpointed
 
 EXACT = ("dataflow", "summary")
 STRONG = ("dataflow", "summary", "structural")
@@ -154,6 +155,7 @@ def rule_scores(rows: DataFrame, strategies: tuple[str, ...] = ("semantic-top8-v
     """(target_id, system, score) by the named strategies."""
     if unknown := set(strategies) - set(STRATEGIES):
         raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
+    rows = checkpointed(rows)  # every strategy reads the evidence several times
     return reduce(DataFrame.unionByName, [STRATEGIES[s](rows).withColumn("system", F.lit(s)) for s in strategies])
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from brindle.operators import effects, patterns, scoring
 from brindle.sources import frontend
+from brindle.sources.storage import checkpointed
 
 
 def scan(sources: DataFrame, strategy: str = "semantic-top8-v1", model: DataFrame | None = None, **limits) -> dict[str, DataFrame]:
     """analyses, events, paths, evidence, decisions and purposes of source rows (target_id, path, content)."""
-    analyses = frontend.extract(sources, **limits)
+    analyses = checkpointed(frontend.extract(sources, **limits))  # each text is parsed once
     events = frontend.events_of(analyses)
     exact = patterns.exact_paths(frontend.exact_of(analyses))
     paths = patterns.behavior_paths(events, exact)
