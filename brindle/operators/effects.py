@@ -53,3 +53,44 @@ def purpose_candidates(paths: DataFrame, events: DataFrame) -> DataFrame:
 
 def primary_purpose(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*FILE).agg(F.min_by("label", "position").alias("primary_purpose"))
+
+
+def effect_summary(analyses: DataFrame, events: DataFrame, paths: DataFrame) -> DataFrame:
+    """One row per file: entry points, origins, destinations, transformations, flows and purpose candidates.
+
+    What only the syntax tree tells (main guards, functions, what guards reach, code-transforming calls) comes from analyses.
+    """
+    pipelines = local_pipelines(events).groupBy(*FILE).agg(F.collect_set("function").alias("pipelines"))
+    early = import_time_effects(events, analyses.select(*FILE, F.explode("guards").alias("g")).select(*FILE, "g.first", "g.last")).withColumn("early", F.lit(True))
+    ops = events.groupBy(*FILE).agg(F.collect_set("op").alias("ops"))
+    found = purpose_candidates(paths, events).groupBy(*FILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "confidence", "reason", "lines"))), lambda x: F.struct(x["label"].alias("label"), x["confidence"].alias("confidence"), x["reason"].alias("reason"), x["lines"].alias("lines"))).alias("candidates"))
+    j = analyses.select(*FILE, "guards", "functions", "main_functions", "anchors")
+    for part in (origin_sets(events), flows(paths), pipelines, early, ops, found):
+        j = j.join(part, FILE, "left")
+    none = F.array().cast("array<string>")
+    guarded, anchored = F.size("guards") > 0, F.size("anchors") >= 2
+    mine = F.coalesce("pipelines", none)
+    reached = F.size(F.array_intersect(mine, F.col("main_functions"))) > 0
+    local = reached | ~guarded & (F.size(mine) > 0)
+    entry = F.filter(F.array(F.when(guarded, "explicit-cli"), F.when(F.col("early"), "import-time-effects"), F.when(~guarded & (F.size("functions") > 0), "library-callable")), lambda x: x.isNotNull())
+    blocked = F.arrays_overlap(F.coalesce("ops", none), F.array(*map(F.lit, V.TRANSFORM_BLOCKERS)))
+    transformer = local & anchored & ~blocked & F.col("candidates").isNull()
+    own = F.struct(F.lit("local-code-transformer").alias("label"), F.when(guarded & reached, "high").otherwise("medium").alias("confidence"), F.lit("a local file pipeline is combined with code transformations").alias("reason"), F.array().cast("array<int>").alias("lines"))
+    kind = found.schema["candidates"].dataType.simpleString()
+    return j.select(
+        *FILE, F.when(F.size(entry) > 0, entry).otherwise(F.array(F.lit("module-import"))).alias("entrypoints"), F.coalesce("data_origins", none).alias("data_origins"), F.coalesce("data_destinations", none).alias("data_destinations"),
+        F.array_sort(F.array_union(F.coalesce("transformations", none), F.when(anchored, F.array(F.lit("code-generation"))).otherwise(none))).alias("transformations"),
+        F.array_sort(F.array_union(F.coalesce("flows", none), F.when(local, F.array(F.lit("local-file-to-local-artifact"))).otherwise(none))).alias("flows"),
+        F.when(transformer, F.array(own).cast(kind)).otherwise(F.coalesce("candidates", F.array().cast(kind))).alias("purpose_candidates"),
+    )
+
+
+def effect_tokens(summary: DataFrame) -> DataFrame:
+    """(target_id, path, position, token) in the order entry, origin, destination, flow, transform, purpose."""
+    level = lambda x: F.translate(F.lower(x), "- ", "__")
+    part = lambda c, name: F.transform(c, lambda x: F.concat(F.lit(f"EFFECT:{name}:"), level(x)))
+    every = F.concat(
+        part("entrypoints", "ENTRY"), part("data_origins", "ORIGIN"), part("data_destinations", "DESTINATION"), part("flows", "FLOW"), part("transformations", "TRANSFORM"),
+        F.transform("purpose_candidates", lambda p: F.format_string("PURPOSE:%s|Q:%s", level(p["label"]), level(p["confidence"]))),
+    )
+    return summary.select(*FILE, F.posexplode(every).alias("position", "token"))

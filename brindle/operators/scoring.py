@@ -84,6 +84,18 @@ def legacy_top8(rows: DataFrame) -> DataFrame:
     return _targets(rows, counted.withColumn("s", F.col("score") * taken).groupBy("target_id").agg(F.sum("s").alias("score")))
 
 
+def lexical_top8(rows: DataFrame) -> DataFrame:
+    """The profile of the lexical frontend: events under an install-time network pattern do not count; each kind once; the eight best.
+
+    Also returns how many rows repeat a kind (suppressed).
+    """
+    covered = rows.filter("kind = 'structural' and name = 'install_time_network_access'").select("target_id", "path", F.explode("covered").alias("event_index")).distinct()
+    left = rows.join(covered, ["target_id", "path", "event_index"], "left_anti")
+    best = left.groupBy("target_id", "kind", "name").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    more = best.groupBy("target_id").agg((F.sum("n") - F.count("*")).alias("suppressed"))
+    return _targets(rows, _top(best, ["target_id"], 8)).join(more, "target_id", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(0)))
+
+
 CONTEXT = ["target_id", "context_path", "function"]
 
 
