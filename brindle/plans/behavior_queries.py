@@ -187,6 +187,59 @@ def x23_lexical_events(spark, d):
     return frontend.lexical_events(V.table(spark, d, "pages").select(F.lit("pages").alias("target_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("source"))).groupBy("op").agg(F.count("*").alias("n"))
 
 
+def a36_effect_summaries(spark, d):
+    from brindle.plans.scan import scan
+
+    p = scan(_corpus(spark, d))
+    s = effects.effect_summary(p["analyses"], p["events"], p["paths"])
+    return s.groupBy(*[F.array_join(c, ",").alias(c) for c in ("entrypoints", "data_origins", "data_destinations", "transformations", "flows")]).agg(F.count("*").alias("files"))
+
+
+def s18_scan_reports(spark, d):
+    from brindle.plans.scan import report, scan
+
+    return report(scan(_corpus(spark, d)))
+
+
+def a40_lexical_profile(spark, d):
+    e, p = _paths(spark, d)
+    return scoring.lexical_top8(scoring.evidence(e, p)).select("target_id", "score", "suppressed")
+
+
+def f22_fingerprint(spark, d):
+    from brindle.functions.fingerprint import fingerprint
+
+    return fingerprint(V.predictions(spark, d), ["sample_id", "label", "score", "split", "group_id", "period"])
+
+
+def f21_normalised_hashes(spark, d):
+    from brindle.sources.frontend import normalised_hash
+
+    return normalised_hash(_corpus(spark, d)).groupBy("ast_hash").agg(F.count("*").alias("targets"))
+
+
+def m3_transformer(spark, d):
+    from brindle.operators import transformer
+
+    return transformer.predict(_conversations(spark, d).withColumnRenamed("conv_id", "sample_id"), transformer.random_weights(3, 512, 64, 32, 2, 64)).select("sample_id", F.round("probability", 4).alias("probability"))
+
+
+def m7_pair_metrics(spark, d):
+    p = V.predictions(spark, d)
+    return support.pair_metrics(p.select(F.col("period").alias("pair_id"), F.pmod(F.col("group_id").cast("long"), F.lit(3)).alias("variant"), "label", "score")).select(*[F.round(c, 6).alias(c) for c in ("pair_order_accuracy", "pair_gap_mean", "pair_gap_min")], "pairs")
+
+
+def m7_variant_drift(spark, d):
+    return support.variant_drift(V.predictions(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("variant_drift_mean", "variant_drift_max")])
+
+
+def a34_timings(spark, d):
+    from brindle.operators.study import timings
+
+    t = timings(V.predictions(spark, d), "latency_ms", ["split"])
+    return t.select("split", "runs", *[F.round(c, 6).alias(c) for c in ("mean_ms", "median_ms", "p95_ms", "p99_ms", "per_second")])
+
+
 def f8_canonical_tokens(spark, d):
     from brindle.functions.canonical import canonical_tokens
 
@@ -228,7 +281,15 @@ _EVIDENCE = f"""{_NEAR}, ev AS (SELECT target_id, path, function, 'event' kind,
 _CONV = "c AS (SELECT conv_id, list(role ORDER BY turn) t FROM conversations GROUP BY 1)"
 _SETS = "dw AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) t FROM documents WHERE text IS NOT NULL), pw AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) t FROM benchmark WHERE text IS NOT NULL), kn AS (SELECT DISTINCT unnest(t) w FROM pw), de AS (SELECT doc_id, unnest(t) w FROM dw)"
 
+_A5 = "g AS (SELECT target_id, path, function, max(score) s FROM ev GROUP BY target_id, path, function, kind, name), r AS (SELECT *, row_number() OVER (PARTITION BY target_id, path, function ORDER BY s DESC) k FROM g), x AS (SELECT target_id, sum(s) s FROM r WHERE k <= 4 GROUP BY target_id, path, function), a5 AS (SELECT target_id, least(100.0::DOUBLE, max(s)) s FROM x GROUP BY 1)"
+
 SQL = {
+    "m8_decisions": WITH + _EVIDENCE + f", {_A5}, d AS (SELECT target_id, s rule_score, s / 100.0::DOUBLE probability, substr(target_id, 2)::INTEGER % 2 = 0 supported, substr(target_id, 2)::INTEGER % 2 = 0 AND s BETWEEN 20 AND 80 model_used FROM a5), e AS (SELECT *, CASE WHEN model_used THEN greatest(rule_score, 100.0::DOUBLE * (0.65::DOUBLE * (rule_score / 100.0::DOUBLE) + (1.0::DOUBLE - 0.65::DOUBLE) * probability)) ELSE rule_score END risk_score FROM d) SELECT *, CASE WHEN risk_score >= 75 THEN 'high-risk' WHEN risk_score >= 50 THEN 'suspicious' WHEN risk_score >= 25 THEN 'review' ELSE 'low-signal' END verdict FROM e",
+    "a40_lexical_profile": WITH + _EVIDENCE + ", lx AS (SELECT ev.* FROM ev WHERE NOT (kind = 'event' AND op IN ('NETWORK_SEND', 'NETWORK_RECEIVE') AND EXISTS (SELECT 1 FROM behavior b WHERE b.target_id = ev.target_id AND b.phase = 'install' AND b.function = ev.function))), g AS (SELECT target_id, kind, name, max(score) s, count(*) n FROM lx GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY s DESC) k FROM g) SELECT target_id, least(100.0::DOUBLE, sum(CASE WHEN k <= 8 THEN s END)) score, (sum(n) - count(*))::BIGINT suppressed FROM r GROUP BY 1",
+    "f18_sequence_hashes": f"WITH {_CONV}, e AS (SELECT conv_id, unnest(t) x, generate_subscripts(t, 1) i FROM c) SELECT conv_id, sha256(unhex(string_agg(printf('%016x', strlen(x)) || hex(x), '' ORDER BY i))) hash FROM e GROUP BY 1",
+    "m7_pair_metrics": f"WITH {V.SQL['pred']}, p AS (SELECT period, group_id::BIGINT % 3 v, max(CASE WHEN label = 1 THEN score END) - max(CASE WHEN label = 0 THEN score END) gap FROM pred GROUP BY 1, 2) SELECT round(avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) pair_order_accuracy, round(avg(gap), 6) pair_gap_mean, round(min(gap), 6) pair_gap_min, count(*)::BIGINT pairs FROM p WHERE gap IS NOT NULL",
+    "m7_variant_drift": f"WITH {V.SQL['pred']}, g AS (SELECT max(score) - min(score) d FROM pred GROUP BY group_id) SELECT round(avg(d), 6) variant_drift_mean, round(max(d), 6) variant_drift_max FROM g",
+    "a34_timings": f"WITH {V.SQL['pred']} SELECT split, count(latency_ms)::BIGINT runs, round(avg(latency_ms), 6) mean_ms, round(quantile_cont(latency_ms, 0.5), 6) median_ms, round(quantile_disc(latency_ms, 0.95), 6) p95_ms, round(quantile_disc(latency_ms, 0.99), 6) p99_ms, round(1000.0 * count(latency_ms) / sum(latency_ms), 6) per_second FROM pred GROUP BY split",
     "session_summaries": WITH + "e AS (SELECT 't' || (user_id % 10) target_id, 'f' || user_id AS function, ts, event_type, sum(CASE WHEN g IS NULL OR ts >= g + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM events)) SELECT target_id, function, min(ts) started, count(*)::BIGINT events, count_if(event_type IN ('signup', 'view'))::BIGINT sources, count_if(event_type IN ('purchase', 'error'))::BIGINT sinks FROM e GROUP BY target_id, function, s",
     "w1_proximity_paths": WITH + _NEAR + " SELECT * FROM proximity",
     "w2_structural_paths": WITH + _NEAR + " SELECT * FROM structural",
