@@ -240,6 +240,12 @@ def a34_timings(spark, d):
     return t.select("split", "runs", *[F.round(c, 6).alias(c) for c in ("mean_ms", "median_ms", "p95_ms", "p99_ms", "per_second")])
 
 
+def s24_training_rows(spark, d):
+    from brindle.sources.generators import training_rows
+
+    return training_rows(spark).select("sample_id", "group_id", "pair_id", "variant", "label", "split", F.array_join("tokens", " ").alias("tokens"))
+
+
 def f8_canonical_tokens(spark, d):
     from brindle.functions.canonical import canonical_tokens
 

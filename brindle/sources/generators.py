@@ -30,3 +30,23 @@ def corpus(spark: SparkSession, n: int, per_target: int = 20) -> DataFrame:
     i = F.col("id")
     text = F.when(i % 20 == 0, F.regexp_replace(F.lit(MOVING), r"\{n\}", i.cast("string"))).otherwise(F.regexp_replace(F.lit(PLAIN), r"\{n\}", i.cast("string")))
     return spark.range(n).select(F.concat(F.lit("pkg"), F.floor(i / per_target).cast("string")).alias("target_id"), F.concat(F.lit("src/m"), i.cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content"))
+
+
+#: scenario, label, operations in order (own inert examples)
+SCENARIOS = (
+    ("token-send", 1, ("ENV_READ", "ENCODE", "NETWORK_SEND")), ("token-log", 0, ("ENV_READ", "FILE_WRITE")), ("fetch-run", 1, ("NETWORK_RECEIVE", "DYNAMIC_EXEC")), ("fetch-save", 0, ("NETWORK_RECEIVE", "FILE_WRITE")),
+    ("unpack-run", 1, ("DECODE", "DYNAMIC_EXEC")), ("unpack-save", 0, ("DECODE", "FILE_WRITE")), ("wipe", 1, ("SYSTEM_DISCOVERY", "FILE_DELETE")), ("clean", 0, ("FILE_READ", "FILE_DELETE")),
+)
+#: variant, operations before, operations after: context that must not change a verdict
+VARIANTS = (("plain", (), ()), ("imports", ("IMPORT", "IMPORT"), ()), ("tail", (), ("FILE_READ", "IMPORT")))
+
+
+def training_rows(spark: SparkSession) -> DataFrame:
+    """sample_id, group_id, pair_id, variant, label, split and tokens: every scenario in every variant; pairs are neighbours of both labels."""
+    s = spark.createDataFrame([(n, y, list(ops), f"pair{i // 2}", i) for i, (n, y, ops) in enumerate(SCENARIOS)], "scenario string, label int, ops array<string>, pair_id string, ord int")
+    v = spark.createDataFrame([(n, list(a), list(b)) for n, a, b in VARIANTS], "variant string, before array<string>, after array<string>")
+    rows = s.crossJoin(F.broadcast(v)).withColumn("all", F.concat("before", "ops", "after"))  # two constant tables
+    token = lambda op: F.concat(F.lit("P:runtime|C:context|O:"), op, F.lit("|T:generic"))
+    return rows.select(
+        F.concat("scenario", F.lit("--"), "variant").alias("sample_id"), F.col("scenario").alias("group_id"), "pair_id", "variant", "label", F.when(F.col("ord") % 8 >= 6, "validation").otherwise("train").alias("split"), F.transform("all", token).alias("tokens"),
+    )

@@ -102,3 +102,14 @@ def test_llm_is_optional():
     code = "import sys; sys.modules['brindle.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
     assert json.loads("1")
+
+
+def test_training_rows_are_isolated_and_paired(spark):
+    from brindle.operators import governance, support
+    from brindle.sources.generators import SCENARIOS, VARIANTS, training_rows
+
+    rows = training_rows(spark)
+    assert rows.count() == len(SCENARIOS) * len(VARIANTS)
+    assert governance.split_isolation(rows.withColumn("representation_hash", F.array_join("tokens", ","))).count() == 0
+    p = support.pair_metrics(rows.withColumn("score", F.col("label") * 0.5 + 0.2)).first()
+    assert p.pairs == len(SCENARIOS) // 2 * len(VARIANTS) and p.pair_order_accuracy == 1.0
