@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from brindle.llm.packed import small_batches
 
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
+SHORT = 32
 LONG_PART = 64
 MARK = "▁"
+NO_PIECE = float("-inf")
 _HELD: dict = {}
 
 
@@ -41,11 +43,12 @@ class Agenda:
         self.control = {i for i in range(n) if self.library.is_control(i)}
         self.unknown = self.library.unk_id()
         self.id = {p: i for i, p in enumerate(self.pieces) if not kind(i) and i not in self.byte}
+        self.plain = set(self.id.values())
         self.score = {p: self.library.get_score(i) for p, i in self.id.items()}
         longer = [p for p in self.id if len(p) > 1]
         self.line_cut = not any("\n" in p for p in longer)
         self.space_cut = not any(MARK in p.lstrip(MARK) for p in longer)
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.cache: dict[str, tuple[str, str]] = {}
 
     @classmethod
     def held(cls, model_file: str) -> Agenda:
@@ -56,6 +59,8 @@ class Agenda:
 
     def merge(self, part: str) -> list[int]:
         """Ids of a part, in which spaces are already marks."""
+        if len(part) <= SHORT:
+            return self.spelled(self.merge_short(part))
         symbol = list(part)
         n = len(symbol)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -85,20 +90,41 @@ class Agenda:
                 s = score.get(joint)
                 if s is not None:
                     heappush(agenda, (-s, h, i, joint))
+        return self.spelled([s for s in symbol if s is not None])
+
+    def merge_short(self, part: str) -> list[str]:
+        """The same for a few characters: the agenda is the list of scores itself, of which the first highest is next."""
+        symbol, score = list(part), self.score.get
+        agenda = [score(a + b, NO_PIECE) for a, b in zip(symbol, symbol[1:])]
+        while agenda:
+            best = max(agenda)
+            if best == NO_PIECE:
+                break
+            i = agenda.index(best)
+            joint = symbol[i] = symbol[i] + symbol[i + 1]
+            del symbol[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = score(symbol[i - 1] + joint, NO_PIECE)
+            if i < len(agenda):
+                agenda[i] = score(joint + symbol[i + 1], NO_PIECE)
+        return symbol
+
+    def spelled(self, symbols: list[str]) -> list[int]:
         out = []
-        for s in symbol:
-            if s is not None:
-                i = self.id.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.of_byte:
-                    out += [self.of_byte[b] for b in s.encode()]
-                else:
-                    out.append(self.unknown)
+        for s in symbols:
+            i = self.id.get(s)
+            if i is not None:
+                out.append(i)
+            elif self.of_byte:
+                out += [self.of_byte[b] for b in s.encode()]
+            else:
+                out.append(self.unknown)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids before the leading space is dropped; runs of byte pieces are UTF-8, bad bytes U+FFFD each."""
+        if self.plain.issuperset(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte:
@@ -145,8 +171,8 @@ class Agenda:
             out += [" " + w for w in words[1:]]
         return out
 
-    def learn(self, new: list[str]) -> dict[str, tuple[str, int, str]]:
-        """Encodes parts, checks them against the library, and gives their ids as text, count and decoded text."""
+    def learn(self, new: list[str]) -> dict[str, tuple[str, str]]:
+        """Encodes parts, checks them against the library, and gives their ids as text and their decoded text."""
         out = {}
         ids = [self.merge(p.replace(" ", MARK)) for p in new]
         # the library puts a space before each text, so each part is asked after a line feed
@@ -156,7 +182,8 @@ class Agenda:
             lib = lib[lead:]
             if own != lib:
                 raise ValueError(f"agenda and library differ on {p!r}: {own} and {lib}")
-            out[p] = (",".join(map(str, own)), len(own), self.decode(own))
+            decoded = self.decode(own)
+            out[p] = (",".join(map(str, own)), p if decoded == p else decoded)
         return out
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
@@ -170,11 +197,11 @@ class Agenda:
         learned = self.learn(new)
         if len(new) <= CACHE_PARTS:
             cache.update((p, v) for p, v in learned.items() if len(p) <= LONG_PART)
-        get = lambda p: cache.get(p) or learned[p]
+        get = cache.get
         for ps in cut:
-            got = [get(p) for p in ps]
-            text = "".join([g[2] for g in got])
-            yield sum([g[1] for g in got]), ",".join([g[0] for g in got]), text[1:] if text[:1] == " " else text
+            got = [get(p) or learned[p] for p in ps]
+            ids, text = ",".join([g[0] for g in got]), "".join([g[1] for g in got])
+            yield ids.count(",") + bool(ids), ids, text[1:] if text[:1] == " " else text
 
 
 def _utf8(run: bytearray) -> str:
