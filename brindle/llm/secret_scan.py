@@ -1,14 +1,15 @@
 """Secrets in whole texts: fixed patterns, and character Markov models for what no pattern names.
 
 Two second-order models of characters are trained from labelled strings: random strings (label 1) and
-ordinary identifiers and words (label 0). A candidate is a run of token characters that no fixed
-pattern covers; it is a secret where the log-likelihood ratio of the two models is high enough,
-in all and per character.
+ordinary identifiers and words (label 0). A candidate is a run of token characters, less what fixed
+patterns cover; a secret is any stretch of it where the log-likelihood ratio of the two models is high
+enough, in all and per character, so words around a key don't hide it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -30,7 +31,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 # A run of hex digits or of upper-case letters and digits is taken whole, so runs too short never hide a longer match.
 _ACCESS_LONG = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 16  # as the random strings that the model is trained on
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_SEPARATORS = "+/_=-"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
@@ -76,20 +79,63 @@ class LikelihoodRatio:
         self.ratio = self.random.log - self.ordinary.log
         self.total, self.per_character = total, per_character
 
-    def value(self, s: str) -> float:
+    def steps(self, s: str) -> list[float]:
+        """The log-likelihood ratio of each character after those before it."""
         a = b = _N - 1
-        total = 0.0
+        out = []
         for c in s:
             k = _CODE.get(c, _N - 1)
-            total += self.ratio[a, b, k]
+            out.append(float(self.ratio[a, b, k]))
             a, b = b, k
-        return total
+        return out
+
+    def value(self, s: str) -> float:
+        return sum(self.steps(s))
+
+    def segments(self, s: str) -> list[tuple[int, int]]:
+        """Stretches of s that are secrets, found by a running sum of what each character has over the threshold.
+
+        A stretch ends at its highest sum, once the sum is below zero or by the total below that. It is taken to the
+        separators or ends of s around it where that is a secret too.
+        """
+        if len(s) < SHORTEST or len(set(s)) < 8:
+            return []
+        step = self.steps(s)
+        sums = [0.0]
+        for x in step:
+            sums.append(sums[-1] + x)
+
+        def good(a: int, b: int) -> bool:
+            v = sums[b] - sums[a]
+            return b - a >= SHORTEST and v >= self.total and v >= self.per_character * (b - a) and len(set(s[a:b])) >= 8 and any(c.isalpha() for c in s[a:b])
+
+        out, at, free = [], 0, 0
+        while at < len(s):
+            total, most, end = 0.0, 0.0, at
+            for i in range(at, len(s)):
+                total += step[i] - self.per_character
+                if total > most:
+                    most, end = total, i + 1
+                elif total < 0 or total < most - self.total:
+                    break
+            if end == at:
+                at += 1
+                continue
+            a, b = at, end
+            while a > free and s[a - 1] not in _SEPARATORS:
+                a -= 1
+            while b < len(s) and s[b] not in _SEPARATORS:
+                b += 1
+            for x, y in ((a, b), (at, b), (a, end), (at, end)):
+                if good(x, y):
+                    out.append((x, y))
+                    free = end = y
+                    break
+            at = end
+        return out
 
     def is_secret(self, s: str) -> bool:
-        if not any(c.isdigit() for c in s) or s.isdigit() or len(set(s)) < 8:
-            return False
-        v = self.value(s)
-        return v >= self.total and v >= self.per_character * len(s)
+        return bool(self.segments(s))
 
 
 def random_strings(n: int, seed: int = 20240611) -> list[str]:
@@ -138,11 +184,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def markov_spans(text: str, base: list[tuple[str, int, int]], ratio: LikelihoodRatio) -> list[tuple[str, int, int]]:
     out = []
+    taken = sorted((a, b) for _, a, b in base)
+    first = 0
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        if ratio.is_secret(m[0]):
-            out.append(("markov", m.start(), m.end()))
+        while first < len(taken) and taken[first][1] <= m.start():
+            first += 1
+        at = m.start()
+        for a, b in [*itertools.takewhile(lambda t: t[0] < m.end(), itertools.islice(taken, first, None)), (m.end(), m.end())]:
+            out += [("markov", at + x, at + y) for x, y in ratio.segments(text[at:a])]
+            at = max(at, b)
     return out
 
 

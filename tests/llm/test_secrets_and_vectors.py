@@ -97,3 +97,25 @@ def test_near_duplicates_equal_brute_force(spark):
     finally:
         J.TILE = was
     assert J.near_duplicates(frame.filter("false")).count() == 0
+
+
+def test_keys_are_found_inside_runs_of_words():
+    from brindle.llm.secret_scan import LikelihoodRatio, base_spans, markov_spans, ordinary_strings, random_strings
+
+    words = "the of and table window customer order price stream token value index reader writer compress thinking".split()
+    model = LikelihoodRatio([(s, 1) for s in random_strings(4000)] + [(s, 0) for s in ordinary_strings(words, 4000)])
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(r.choices(letters + "0123456789", k=32)) for _ in range(200)]
+
+    def found(before, key, after=""):
+        text = before + key + after
+        a, b = len(before), len(before) + len(key)
+        return any(min(b, y) - max(a, x) > 0.8 * len(key) and y - x < 1.5 * len(key) for _, x, y in markov_spans(text, base_spans(text), model))
+
+    path = "window/customer/order/price/stream/index/"
+    assert sum(found(path, k, "/reader/table/value") for k in keys) > 180
+    assert sum(found("price=", k[:16]) for k in keys) > 150
+    assert sum(found("", "".join(r.choices(letters, k=32))) for _ in range(200)) > 180  # letters only
+    assert sum(found("0123456789abcdef" * 2 + "/", k) for k in keys) > 180  # the rest of a run that a fixed pattern touches
+    assert not markov_spans(path * 20 + "1999-2024-06-11-12-30-45-678", [], model)
