@@ -1,19 +1,19 @@
-"""A bigram language model in log-frequency Bloom filters, and corpus scoring with it.
+"""A bigram language model with exact counts in hash buckets, and corpus scoring with it.
 
 Counting: each map task combines its own n-grams; buckets of hashes are summed in the reducers, so
-every training document counts. Counts are quantised to levels that grow by a quarter. An n-gram of
-level q enters the filter as (n-gram, 1) ... (n-gram, q), so a reader probes level after level until a
-probe fails, and the last level that held is the count; errors are one-sided. Three filters hold
-words, word pairs that occur at least twice, and how many such pairs follow a word. They are built in
-slices, one per hash bucket, by the tasks that own the bucket. Together they never exceed
-MAX_BYTES: if more n-grams are counted, rarer pairs stay out. So the broadcast is bounded, whatever
-the corpus holds.
-
-The model: P(w | v) = (c(v w) + MU P(w)) / (S(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1).
-
-Exact word counts, which the base score needs, are never broadcast as a whole: words that make up
-more than one in FREQUENT tokens (at most FREQUENT words, whatever the corpus) are; all others meet
-the documents that hold them in their hash bucket, which no word can then crowd.
+every training document counts, and every word pair that occurs at least twice is in the model,
+whatever the corpus holds.
+
+The model: P(w | v) = (c(v w) + MU P(w)) / (S(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1), and S(v) the
+sum of c(v w). The log of a document is a sum over its words and its pairs alone: log P(w) - log(1 + S(v) / MU)
+for each token and each first word, and log(1 + c(v w) / (MU P(w))) for each pair that is counted.
+
+No table that grows with the corpus is broadcast. Words and pairs that make up more than one in FREQUENT
+tokens (at most FREQUENT of each, whatever the corpus) are; all others meet the documents that hold
+them in a hash bucket, which none can then crowd. A pair goes to the bucket of its second word, which knows
+the count of that word, or to that of its own hash where the word is frequent.
+
+BloomCounts holds counts approximately in bounded space, for readers that may err; scoring doesn't need it.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ from brindle.llm import packed, words
 U64 = np.uint64
 FLUSH = 1_000_000
 FREQUENT = 100_000
-MAX_BYTES = 32 << 20
 BITS_PER_ITEM = 10
 PROBES = 5
 MU = 1000.0
 END = U64(0x8D58AC26AFE12E47)
 BEGIN32 = U64(0x5BD1E995)
-_UNI, _BI, _STAT, _HISTORY, _DOC, _ENTRY, _PART = range(7)
+_UNI, _BI, _STAT, _HISTORY, _DOC, _ENTRY, _PAIR, _PART = range(8)
 _C = U64(0x9FB21C651E98DF25)
+_HIGH = U64(0xFFFFFFFF00000000)
+_KEEP = U64((2**64 - 1) ^ 0xFFFF)
+_TOP = U64(0xFFFFF00000000000)  # as many bits as buckets can have
 
 
 def _levels() -> np.ndarray:
@@ -79,8 +81,27 @@ def tokens(t: words.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def history(pair: np.ndarray) -> np.ndarray:
-    """Hash of the first token of pairs."""
-    return words.mix((unmix(pair) >> U64(32)) + _C)
+    """The upper half of the first token's hash of pairs."""
+    return unmix(pair) & _HIGH
+
+
+def second(pair: np.ndarray) -> np.ndarray:
+    """The upper half of the second token's hash of pairs."""
+    return unmix(pair) << U64(32)
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of wanted in sorted keys, 0 where there is none, and where there is one."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=values.dtype), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, values[at], 0), hit
+
+
+def route(pair: np.ndarray, word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The hash that deals pairs to buckets: led by the second word's unless that is frequent."""
+    return np.where(frequent, pair, (word & _TOP) | (pair >> U64(20)))
 
 
 def _flags(batch: pa.RecordBatch) -> np.ndarray:
@@ -141,12 +162,22 @@ def _sum(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[begins], np.add.reduceat(n, begins) if len(begins) else n
 
 
+def _pack_counts(x: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes, or upper halves of them, and counts in few bytes."""
+    x = packed.planes(x) if (x & ~_HIGH).any() else (x >> U64(32)).astype(np.uint32)
+    return packed.pack(x, n.astype(np.min_scalar_type(int(n.max(initial=0)))))
+
+
+def _counts(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x, n = packed.unpack(payload)
+    return packed.from_planes(x) if x.dtype == np.uint8 else x.astype(np.uint64) << U64(32), n.astype(np.int64)
+
+
 def _reduce(incoming):
-    """Reduce side: exact counts of a bucket's words, its pairs that occur twice or more, and their statistics."""
+    """Reduce side: exact counts of a bucket's words, its pairs that occur twice or more, and the totals."""
 
     def rows():
         tokens_, distinct = 0, 0
-        hist = {_UNI: np.zeros(len(LEVELS) + 1, dtype=np.int64), _BI: np.zeros(len(LEVELS) + 1, dtype=np.int64)}
         for bucket, kinds in packed.by_bucket(incoming).items():
             for kind, payloads in kinds.items():
                 x, n = _summed(payloads)
@@ -155,22 +186,21 @@ def _reduce(incoming):
                     distinct += len(x)
                 else:
                     x, n = x[n > 1], n[n > 1]
-                hist[kind] += np.bincount(level(n), minlength=len(LEVELS) + 1)
                 if len(x):
-                    yield bucket, kind, packed.pack(x, n)
-        yield 0, _STAT, packed.pack(np.array([tokens_, distinct]), hist[_UNI], hist[_BI])
+                    yield bucket, kind, _pack_counts(x, n)
+        yield 0, _STAT, packed.pack(np.array([tokens_, distinct]))
 
     yield from packed.batches(rows())
 
 
-def _histories(bits: int, least: int):
+def _histories(bits: int):
     def run(incoming):
         def rows():
-            for _, _, p in packed.rows_of(incoming):
-                x, n = packed.unpack(p)
-                x, n = _sum(history(x[n >= least]), n[n >= least])
+            held = [_sum(history(x), n) for x, n in (_counts(p) for _, _, p in packed.rows_of(incoming))]
+            if held:
+                x, n = _sum(*(np.concatenate(c) for c in zip(*held)))
                 for b, (v, s) in packed.scattered((x >> U64(64 - bits)).astype(np.int64), x, n):
-                    yield b, _HISTORY, packed.pack(v, s)
+                    yield b, _HISTORY, _pack_counts(v, s)
 
         yield from packed.batches(rows())
 
@@ -180,8 +210,8 @@ def _histories(bits: int, least: int):
 def _sum_histories(incoming):
     def rows():
         for bucket, kinds in packed.by_bucket(incoming).items():
-            x, n = _sum(*(np.concatenate(c) for c in zip(*map(packed.unpack, kinds[_HISTORY]))))
-            yield bucket, _HISTORY, packed.pack(x, n)
+            x, n = _sum(*(np.concatenate(c) for c in zip(*map(_counts, kinds[_HISTORY]))))
+            yield bucket, _HISTORY, _pack_counts(x, n)
 
     yield from packed.batches(rows())
 
@@ -193,27 +223,6 @@ def _positions(key: np.ndarray, at: np.ndarray | int, size: int) -> list[np.ndar
     return [(first + U64(i) * step) % U64(size) for i in range(PROBES)]
 
 
-def _slices(sizes: dict[int, int], least: int):
-    """Each bucket's slice of its filter."""
-
-    def run(incoming):
-        def rows():
-            for bucket, kind, p in packed.rows_of(incoming):
-                x, n = packed.unpack(p)
-                if kind == _BI:
-                    x, n = x[n >= least], n[n >= least]
-                bit = np.zeros(sizes[kind], dtype=bool)
-                q = level(n)
-                for j in range(1, int(q.max(initial=0)) + 1):
-                    for at in _positions(x[q >= j], j, sizes[kind]):
-                        bit[at.astype(np.int64)] = True
-                yield bucket, kind, packed.pack(np.packbits(bit, bitorder="little"))
-
-        yield from packed.batches(rows())
-
-    return run
-
-
 class BloomCounts:
     """One filter: counts of hashes, read by repeated probes."""
 
@@ -240,66 +249,71 @@ class BloomCounts:
 
 
 class Model:
-    """What is broadcast: three filters of bounded size, the frequent words with exact counts, and three totals."""
+    """What is broadcast: frequent words with exact counts and sums of their pairs, frequent pairs, and totals."""
+
+    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], sums: tuple[np.ndarray, np.ndarray]):
+        self.n, self.v, self.frequent = n, v, frequent
+        self.high = frequent[0] & _HIGH
+        self.left = fallen(look_up(*sums, self.high)[0])
+        self.begin = float(fallen(look_up(*sums, np.array([BEGIN32 << U64(32)]))[0])[0])
+        self.pairs = pairs[0], self.gain(pairs[1], look_up(self.high, frequent[1], second(pairs[0]))[0])
 
-    def __init__(self, filters: dict[int, BloomCounts], n: int, v: int, frequent: tuple[np.ndarray, np.ndarray]):
-        self.filters, self.n, self.v, self.frequent = filters, n, v, frequent
+    def gain(self, both: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """What the log10 of a pair has over that of its second word, from the counts of both."""
+        return np.log10(1.0 + both * ((self.n + self.v + 1) / MU) / (word + 1.0))
 
-    def log10(self, tok: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
-        u, back = np.unique(tok, return_inverse=True)
-        p1 = ((self.filters[_UNI].counts(u) + 1) / (self.n + self.v + 1))[back]
-        u, back = np.unique(pair, return_inverse=True)
-        both, before = self.filters[_BI].counts(u), history(u)
-        h, where = np.unique(before, return_inverse=True)
-        s = self.filters[_HISTORY].counts(h)[where]
-        both = np.minimum(both, s)  # a count above what follows its first word is a false probe
-        return np.log10((both[back] + MU * p1) / (s[back] + MU))
 
+def fallen(after: np.ndarray) -> np.ndarray:
+    """What the log10 of any word loses after a first word, from the sum of that one's pairs."""
+    return np.log10(1.0 + after / MU)
 
-def train(rows: DataFrame, state_only: bool = False) -> tuple[Model, DataFrame, int]:
-    """The model of rows (text, held_out), the exact word counts by bucket, and the number of bucket bits."""
+
+def train(rows: DataFrame) -> tuple[Model, DataFrame, int]:
+    """The model of rows (text, held_out), its exact counts by bucket, and the number of bucket bits."""
     spark = rows.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
     state = packed.checkpointed(packed.dealt(rows.mapInArrow(_count(bits), packed.SCHEMA), n).mapInArrow(_reduce, packed.SCHEMA))
-    total, hist = np.zeros(2, dtype=np.int64), {_UNI: 0, _BI: 0}
+    total = np.zeros(2, dtype=np.int64)
     for (p,) in state.filter(f"kind = {_STAT}").select("payload").collect():  # one small row a partition
-        a, u, b = packed.unpack(p)
-        total, hist[_UNI], hist[_BI] = total + a, hist[_UNI] + u, hist[_BI] + b
-    at = np.arange(len(LEVELS) + 1)
-    room = MAX_BYTES * 8 // BITS_PER_ITEM
-    uni = int((np.asarray(hist[_UNI]) * at).sum())
-    cut = 2  # the least level of pairs that fits; histories take at most as much room as their pairs
-    weight = np.asarray(hist[_BI]) * at
-    while cut < len(LEVELS) and uni + 2 * int(np.sum(weight[cut:])) > room:
-        cut += 1
-    least = int(LEVELS[cut - 1])
-    pairs = packed.dealt(state.filter(f"kind = {_BI}").mapInArrow(_histories(bits, least), packed.SCHEMA), n)
-    histories = packed.checkpointed(pairs.mapInArrow(_sum_histories, packed.SCHEMA))
-    items = {_UNI: uni, _BI: int(np.sum(weight[cut:])), _HISTORY: int(np.sum(weight[cut:]))}
-    most = {_UNI: MAX_BYTES // 2, _BI: MAX_BYTES // 4, _HISTORY: MAX_BYTES // 4}
-    sizes = {}
-    for k, x in items.items():
-        size = min(x * BITS_PER_ITEM, most[k] * 8) >> bits
-        sizes[k] = max(64, (size + 63) // 64 * 64)
-    filters = {k: BloomCounts(bits, s) for k, s in sizes.items()}
-    parts = state.filter(f"kind in ({_UNI}, {_BI})").union(histories).mapInArrow(_slices(sizes, least), packed.SCHEMA)
-    for bucket, kind, p in parts.toLocalIterator():  # at most MAX_BYTES in all
-        filters[kind].put(bucket, packed.unpack(bytes(p))[0])
-    words_ = state.filter(f"kind = {_UNI}")
-    frequent = _frequent(words_, max(1, int(total[0]) // FREQUENT + 1))
-    return Model(filters, int(total[0]), int(total[1]), frequent), words_, bits
+        total = total + packed.unpack(p)[0]
+    least = max(1, int(total[0]) // FREQUENT + 1)
+    words_, pairs = state.filter(f"kind = {_UNI}"), state.filter(f"kind = {_BI}")
+    histories = packed.checkpointed(packed.dealt(pairs.mapInArrow(_histories(bits), packed.SCHEMA), n).mapInArrow(_sum_histories, packed.SCHEMA))
+    frequent = _frequent(words_, least)
+    first = np.unique(np.append(frequent[0] & _HIGH, BEGIN32 << U64(32)))
+    sums = _found(histories, lambda x, n: look_up(first, first, x)[1])
+    model = Model(int(total[0]), int(total[1]), frequent, _frequent(pairs, least), sums)
+    return model, words_.union(histories).union(pairs.mapInArrow(_routed(bits, least, model.high), packed.SCHEMA)), bits
 
 
-def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of at least that count, which are FREQUENT at most as counts sum to all tokens."""
+def _routed(bits: int, least: int, high: np.ndarray):
+    """Sends each pair that is not broadcast to the bucket where documents ask for it."""
+
+    def run(incoming):
+        def rows():
+            held = [(x[n < least], n[n < least]) for x, n in (_counts(p) for _, _, p in packed.rows_of(incoming))]
+            if held:
+                x, n = (np.concatenate(c) for c in zip(*held))
+                w = second(x)
+                to = route(x, w, look_up(high, high, w)[1]) >> U64(64 - bits)
+                for b, (v, m) in packed.scattered(to.astype(np.int64), x, n):
+                    yield b, _BI, _pack_counts(v, m)
+
+        yield from packed.batches(rows())
+
+    return run
+
+
+def _found(counts: DataFrame, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts that are wanted, sorted; the caller bounds how many."""
 
     def run(incoming):
         def rows():
             for bucket, kind, p in packed.rows_of(incoming):
-                x, n = packed.unpack(p)
-                if (n >= least).any():
-                    yield bucket, kind, packed.pack(x[n >= least], n[n >= least])
+                x, n = _counts(p)
+                some = wanted(x, n)
+                if some.any():
+                    yield bucket, kind, packed.pack(x[some], n[some])
 
         yield from packed.batches(rows())
 
@@ -311,8 +325,17 @@ def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return x[order], n[order]
 
 
+def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words or pairs of at least that count, which are FREQUENT at most as counts sum to all tokens."""
+    return _found(counts, lambda x, n: n >= least)
+
+
+#: the entries of a bucket that has none: first document, documents, hashes, which occur again, how often
+NONE = tuple(np.zeros(n, dtype=t) for n, t in ((1, np.int64), (0, np.uint16), (0, np.uint8), (0, np.uint32), (0, np.uint8)))
+
+
 def _score(held, bits: int):
-    """Scores documents with the broadcast model; their rarer words go to the buckets that know the exact counts."""
+    """Scores documents by what is broadcast; rarer words and pairs go to the buckets that know their counts."""
     shift = U64(64 - bits)
 
     def run(incoming):
@@ -322,7 +345,7 @@ def _score(held, bits: int):
         model = held.value
         known, known_n = model.frequent
         made = TaskContext.get().partitionId() << 36
-        rare, size, docs = [], 0, 0
+        rare, size, docs = {_ENTRY: [], _PAIR: []}, 0, 0
         for batch in incoming:
             out = _flags(batch)
             valid = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -331,80 +354,109 @@ def _score(held, bits: int):
                 n = len(t)
                 uid = made + np.arange(n)
                 made += n
-                score = np.bincount(doc, weights=model.log10(tok, pair), minlength=n)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
-                    hit = known[at] == tok
-                    base = np.bincount(doc[hit], weights=np.log10(known_n[at[hit]] + 1.0), minlength=n)
-                    sure = np.bincount(doc[hit], minlength=n)
-                else:
-                    hit, base, sure = np.zeros(len(tok), dtype=bool), np.zeros(n), np.zeros(n, dtype=np.int64)
+                count, hit = look_up(known, known_n, tok)
+                base = np.bincount(doc[hit], weights=np.log10(count[hit] + 1.0), minlength=n)
+                sure = np.bincount(doc[hit], minlength=n)
+                left, _ = look_up(known, model.left, tok)
+                gain, met = look_up(*model.pairs, pair)
+                score = np.bincount(doc, weights=gain - left, minlength=n) - model.begin
                 a = slice(t.row, t.row + n)
                 yield int(uid[0] % (1 << bits)), _DOC, packed.pack(uid, t.ids, valid[a], out[a], np.bincount(doc, minlength=n), sure, base, score)
-                rare.append((tok[~hit], uid[doc[~hit]]))
-                size, docs = size + len(rare[-1][0]), docs + n
+                rare[_ENTRY].append((tok[~hit], uid[doc[~hit]]))
+                far, word = ~met, tok[~met] & _HIGH
+                rare[_PAIR].append((route(pair[far], word, look_up(model.high, model.high, word)[1]), uid[doc[far]]))
+                size, docs = size + len(word), docs + n
                 if size >= FLUSH or docs >= 60_000:
                     yield from flush(rare)
-                    rare, size, docs = [], 0, 0
+                    size, docs = 0, 0
         yield from flush(rare)
 
     def flush(rare):
-        if not rare or not sum(len(r[0]) for r in rare):
+        out = {}
+        for kind, held in rare.items():
+            for bucket, arrays in entries(held):
+                out.setdefault(bucket, {})[kind] = arrays
+            held.clear()
+        for bucket, kinds in out.items():
+            yield bucket, _ENTRY, packed.pack(*[a for kind in (_ENTRY, _PAIR) for a in kinds.get(kind, NONE)])
+
+    def entries(rare):
+        if not sum(len(r[0]) for r in rare):
             return
         x, uid = (np.concatenate(c) for c in zip(*rare))
-        table, short = np.unique(uid, return_inverse=True)
-        x = (x & U64((2**64 - 1) ^ 0xFFFF)) | short.astype(np.uint64)
-        x = np.sort(x)  # by word (its upper 48 bits), then document
+        low = uid.min()  # documents of a flush are numbered in a row
+        x = np.sort((x & _KEEP) | (uid - low).astype(np.uint64))  # by hash (its upper 48 bits), then document
         begins = np.flatnonzero(words.first_of_run(x))
         tf = np.diff(np.append(begins, len(x))).astype(np.uint32)
         x = x[begins]
         bucket = (x >> shift).astype(np.int64)
         edge = np.append(np.flatnonzero(words.first_of_run(bucket)), len(x))
         for a, b in zip(edge[:-1], edge[1:]):
-            used, local = np.unique((x[a:b] & U64(0xFFFF)).astype(np.int64), return_inverse=True)
-            y = (x[a:b] & U64((2**64 - 1) ^ 0xFFFF)) | local.astype(np.uint64)
+            used, local = np.unique((x[a:b] & ~_KEEP).astype(np.uint16), return_inverse=True)
+            y = (x[a:b] & _KEEP) | local.astype(np.uint64)
             more = np.flatnonzero(tf[a:b] > 1)
-            yield int(bucket[a]), _ENTRY, packed.pack(table[used], packed.planes(y), more.astype(np.uint32), tf[a:b][more])
+            many = tf[a:b][more]
+            yield int(bucket[a]), (np.array([low]), used, packed.planes(y), more.astype(np.uint32), many.astype(np.min_scalar_type(int(many.max(initial=0)))))
 
     return run
 
 
-def _exact(bits: int):
-    """Reduce side: what the rarer words add to the base score of each document."""
-    keep = U64((2**64 - 1) ^ 0xFFFF)
+def _exact(held, bits: int):
+    """Reduce side: what the rarer words and pairs add to the scores of each document."""
 
     def run(incoming):
         yield from packed.batches(rows(incoming))
 
+    def table(payloads):
+        columns = [_counts(p) for p in payloads or ()]
+        return tuple(np.concatenate(c) for c in zip(*columns)) if columns else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    def entries(payloads, at):
+        for p in payloads or ():
+            low, used, y, more, many = packed.unpack(p)[at : at + 5]
+            y = packed.from_planes(y)
+            tf = np.ones(len(y))
+            tf[more] = many
+            yield low[0] + used.astype(np.int64), y, (y & ~_KEEP).astype(np.int64), tf
+
+    def gains(payloads, x, n):
+        """Sorted routed hashes of the bucket's pairs with their gains; x, n are its words."""
+        model = held.value
+        pair, both = table(payloads)
+        word = second(pair)
+        count, frequent = look_up(model.high, model.frequent[1], word)
+        count = np.where(frequent, count, look_up(*_sum(x & _HIGH, n), word)[0])
+        to = route(pair, word, frequent) & _KEEP
+        order = np.argsort(to)
+        return to[order], model.gain(both, count)[order]
+
     def rows(incoming):
-        uids, sums, sure = [], [], []
+        found, more = [], []
         for bucket, kinds in packed.by_bucket(incoming).items():
             for p in kinds.get(_DOC, ()):
                 yield bucket, _DOC, p
-            counts = [packed.unpack(p) for p in kinds.get(_UNI, ())]
-            x, n = (np.concatenate(c) for c in zip(*counts)) if counts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            x = x & keep  # sorted still
-            for p in kinds.get(_ENTRY, ()):
-                table, y, more, many = packed.unpack(p)
-                y = packed.from_planes(y)
-                tf = np.ones(len(y))
-                tf[more] = many
-                if len(x):
-                    at = np.minimum(np.searchsorted(x, y & keep), len(x) - 1)
-                    c = np.where(x[at] == y & keep, n[at], 0)
-                else:
-                    c = np.zeros(len(y), dtype=np.int64)
-                short = (y & U64(0xFFFF)).astype(np.int64)
-                uids.append(table)
-                sums.append(np.bincount(short, weights=tf * np.log10(c + 1.0), minlength=len(table)))
-                sure.append(np.bincount(short, weights=tf * (c > 0), minlength=len(table)))
-        if uids:
-            uid, back = np.unique(np.concatenate(uids), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate(sums), minlength=len(uid))
-            known = np.bincount(back, weights=np.concatenate(sure), minlength=len(uid)).astype(np.int64)
-            # homes as _score deals them: by the first document of the chunk; here by blocks of documents
-            for b, cols in packed.scattered(uid >> 8 & (1 << bits) - 1, uid, total, known):
-                yield b, _PART, packed.pack(*cols)
+            x, n = table(kinds.get(_UNI))
+            first, after = table(kinds.get(_HISTORY))
+            left = fallen(after)
+            pairs = gains(kinds.get(_BI), x, n)
+            x = x & _KEEP  # sorted still
+            for uid, y, short, tf in entries(kinds.get(_ENTRY), 0):
+                c, _ = look_up(x, n, y & _KEEP)
+                found.append((uid, *(np.bincount(short, weights=tf * z, minlength=len(uid)) for z in (np.log10(c + 1.0), c > 0, -look_up(first, left, y & _HIGH)[0]))))
+            for uid, y, short, tf in entries(kinds.get(_ENTRY), 5):
+                g = np.bincount(short, weights=tf * look_up(*pairs, y & _KEEP)[0], minlength=len(uid))
+                more.append((uid[g > 0], g[g > 0]))
+        # homes as _score deals them: by the first document of the chunk; here by blocks of documents
+        out = {}
+        for at, (parts, types) in enumerate(((found, (np.float64, np.int64, np.float64)), (more, (np.float32,)))):
+            if parts:
+                uid, *columns = (np.concatenate(c) for c in zip(*parts))
+                uid, back = np.unique(uid, return_inverse=True)
+                columns = [np.bincount(back, weights=c, minlength=len(uid)).astype(t) for c, t in zip(columns, types)]
+                for b, cols in packed.scattered(uid >> 8 & (1 << bits) - 1, uid, *columns):
+                    out.setdefault(b, [[np.zeros(0, dtype=np.int64)] * 4, [np.zeros(0, dtype=np.int64)] * 2])[at] = cols
+        for b, (words_, pairs) in out.items():
+            yield b, _PART, packed.pack(*words_, *pairs)
 
     return run
 
@@ -415,7 +467,7 @@ def _documents(bits: int):
     def run(incoming):
         def rows():
             for bucket, kind, p in packed.rows_of(incoming):
-                if kind == _PART:
+                if kind != _DOC:
                     yield bucket, kind, p
                 else:
                     cols = packed.unpack(p)
@@ -441,14 +493,16 @@ def _finish(n_train: int, distinct: int):
                 continue
             order = np.argsort(docs[0])
             uid, ids, valid, held_out, n, sure, base, score = (c[order] for c in docs)
-            base = base.copy()
+            base, score = base - n * each, score.copy()
             sure = sure.astype(np.int64)
             for p in kinds.get(_PART, ()):
-                u, s, k = packed.unpack(p)
+                u, s, k, left, u2, gain = packed.unpack(p)
                 at = np.searchsorted(uid, u)
                 base[at] += s
                 sure[at] += k
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(held_out), pa.array(n.astype(np.int64)), pa.array(sure), pa.array(np.full(len(uid), n_train)), pa.array(base - n * each), pa.array(score)], schema=schema)
+                score[at] += left
+                score[np.searchsorted(uid, u2)] += gain
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(held_out), pa.array(n.astype(np.int64)), pa.array(sure), pa.array(np.full(len(uid), n_train)), pa.array(base), pa.array(base + score)], schema=schema)
 
     return run
 
@@ -457,7 +511,7 @@ def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """Every row of docs scored by a model of the rows whose crc32(key as text) mod 7 is not 2.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams with exact counts) and score
-    (log10 probability by the Bloom filter model). A null or empty text is its end token alone. Rows
+    (log10 probability by the pair model). A null or empty text is its end token alone. Rows
     with a null key train and are kept; repeated keys are rows of their own; extra columns are
     ignored; an empty table gives no rows. Texts of any length are read whole.
     """
@@ -468,6 +522,6 @@ def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     model, counts, bits = train(rows.select("doc_id", "text", "held_out"))
     held = spark.sparkContext.broadcast(model)
     scored = rows.mapInArrow(_score(held, bits), packed.SCHEMA)
-    met = packed.dealt(scored.union(counts), n).mapInArrow(_exact(bits), packed.SCHEMA)
+    met = packed.dealt(scored.union(counts), n).mapInArrow(_exact(held, bits), packed.SCHEMA)
     home = packed.dealt(met.mapInArrow(_documents(bits), packed.SCHEMA), n)
     return home.mapInArrow(_finish(model.n, model.v), OUT)

@@ -69,3 +69,27 @@ def test_filter_never_counts_too_little():
     absent = f.counts(words.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64)))
     assert (absent > 0).mean() < 0.03
     assert (B.unmix(words.mix(key)) == key).all()
+
+
+def test_every_counted_pair_is_in_the_model(spark, monkeypatch):
+    from brindle.llm import bloom_lm as B
+
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    phrases = [[r.choice(vocabulary) for _ in range(8)] for _ in range(60)]
+    rows = [(i, " ".join(" ".join(r.choice(phrases)) for _ in range(r.randint(0, 10)))) for i in range(200)] + [(900, None), (901, "never seen"), (902, " ".join(vocabulary * 3))]
+    toks = {k: (t or "").split() + [None] for k, t in rows}
+    train = [k for k in toks if zlib.crc32(str(k).encode()) % 7 != 2]
+    c = Counter(w for k in train for w in toks[k])
+    both = Counter(p for k in train for p in zip(["<"] + toks[k], toks[k]))
+    both = Counter({p: n for p, n in both.items() if n > 1})
+    after = Counter()
+    for (v, _), n in both.items():
+        after[v] += n
+    size = sum(c.values()) + len(c) + 1
+    want = {k: sum(math.log10((both[v, w] + B.MU * (c[w] + 1) / size) / (after[v] + B.MU)) for v, w in zip(["<"] + ws, ws)) for k, ws in toks.items()}
+    monkeypatch.setattr(B, "MAX_BYTES", 64, raising=False)  # a broadcast of that size must not decide what is learnt
+    for frequent in (100_000, 50, 1):
+        monkeypatch.setattr(B, "FREQUENT", frequent)
+        got = {x.doc_id: x.score for x in B.score_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert all(abs(got[k] - s) < 1e-4 * max(1, abs(s)) for k, s in want.items())
