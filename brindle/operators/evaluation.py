@@ -11,6 +11,8 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,46 +165,54 @@ def quality(table: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) ->
     return out
 
 
-def group_weights(spark, groups: list[str], repetitions: int, seed: int) -> DataFrame:
-    """(replicate, group_id, weight) of resampled groups, drawn as random.Random(seed).choices over the sorted ids."""
-    r, rows = random.Random(seed), []
-    groups = sorted(groups)
+def group_weights(groups: DataFrame, repetitions: int, seed: int) -> DataFrame:
+    """(replicate, group_id, weight) of resampled groups, drawn as random.Random(seed).choices over the sorted ids.
+
+    The one definition at every size. Groups are numbered in the cluster; the driver only runs the generator
+    ahead and keeps its state at the start of each replicate, from which tasks draw numbers of groups.
+    """
+    spark = groups.sparkSession
+    numbered = groups.filter("group_id is not null").distinct().sort("group_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("group_id string, at long")
+    n = groups.filter("group_id is not null").distinct().count()
+    if n < 2:
+        return spark.createDataFrame([], "replicate int, group_id string, weight long")
+    *key, position = random.Random(seed).getstate()[1]
+    ahead, states = np.random.RandomState(), []
+    ahead.set_state(("MT19937", np.array(key, dtype=np.uint32), position))
     for k in range(repetitions):
-        count: dict[str, int] = {}
-        for g in r.choices(groups, k=len(groups)):
-            count[g] = count.get(g, 0) + 1
-        rows += [(k, g, w) for g, w in count.items()]
-    return spark.createDataFrame(rows, "replicate int, group_id string, weight long")
+        _, words, at, *_ = ahead.get_state()
+        states.append((k, words.tobytes(), int(at)))
+        for lo in range(0, n, DRAWN_AT_ONCE):
+            ahead.random_sample(min(DRAWN_AT_ONCE, n - lo))
 
+    def draw(incoming):
+        generator = np.random.RandomState()
+        for batch in incoming:
+            for k, words, at in zip(*(c.to_pylist() for c in batch.columns)):
+                generator.set_state(("MT19937", np.frombuffer(words, dtype=np.uint32), at))
+                weight = np.zeros(n, dtype=np.int32)
+                for lo in range(0, n, DRAWN_AT_ONCE):
+                    np.add.at(weight, (generator.random_sample(min(DRAWN_AT_ONCE, n - lo)) * float(n)).astype(np.int64), 1)
+                drawn = np.flatnonzero(weight)
+                for lo in range(0, len(drawn), DRAWN_AT_ONCE):
+                    some = drawn[lo : lo + DRAWN_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(some), pa.array(weight[some].astype(np.int64))], names=["replicate", "at", "weight"])
 
-def poisson_weights(groups: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """The same for any number of groups, without the driver: independent Poisson(1) weights from a hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "group_id"), F.lit(1 << 52)) / float(1 << 52)
-    cdf, term, w = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(12):
-        cdf += term
-        w = w + F.when(u >= cdf, 1).otherwise(0)
-        term /= k + 1
-    each = groups.select("group_id", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("replicate"))
-    return each.select("replicate", "group_id", w.cast("long").alias("weight")).filter("weight > 0")
+    tasks = min(max(1, repetitions), spark.sparkContext.defaultParallelism * 4)
+    weights = spark.createDataFrame(states, "replicate int, words binary, position int").repartition(tasks).mapInArrow(draw, "replicate int, at long, weight long")
+    return weights.join(numbered, "at").select("replicate", "group_id", "weight")
 
 
-GROUPS_ON_DRIVER = 20_000
+DRAWN_AT_ONCE = 1 << 20
 
 
 def resampled(rows: DataFrame, repetitions: int, seed: int, columns: Sequence[str] = ("label", "score")) -> DataFrame:
     """(replicate, columns, w): distinct rows of each replicate with how often they were drawn.
 
-    Up to GROUPS_ON_DRIVER groups the seeded generator draws them on the driver; beyond, Poisson weights are
-    made where the rows are. Rows are summed by group first, so the join carries distinct rows only.
+    Rows are summed by group first, so the join carries distinct rows only.
     """
     per = rows.groupBy("group_id", *columns).agg(F.count("*").alias("n"))
-    groups = rows.select("group_id").distinct()
-    some = [r.group_id for r in groups.limit(GROUPS_ON_DRIVER + 1).collect()]
-    if len(some) > GROUPS_ON_DRIVER:
-        weights = poisson_weights(groups, repetitions, seed)
-    else:
-        weights = group_weights(rows.sparkSession, some, repetitions, seed) if len(some) > 1 else rows.sparkSession.createDataFrame([], "replicate int, group_id string, weight long")
+    weights = group_weights(rows.select("group_id"), repetitions, seed)
     return per.join(weights, "group_id").groupBy("replicate", *columns).agg(F.sum(F.col("n") * F.col("weight")).alias("w"))
 
 

@@ -380,3 +380,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(x.motif, x.source, x.sink) for x in spark.sql("select * from paths").collect()}
     assert got == {(x.motif, x.event_indexes[0], x.event_indexes[1]) for x in proximity_paths(e).collect()} and got
+
+
+def test_groups_are_drawn_by_one_rule_at_every_size(spark, monkeypatch):
+    from collections import Counter
+
+    from brindle.operators import evaluation as E
+
+    monkeypatch.setattr(E, "GROUPS_ON_DRIVER", 10, raising=False)  # no size may change the rule
+    monkeypatch.setattr(E, "DRAWN_AT_ONCE", 7, raising=False)
+    ids = [f"g{i}" for i in range(95)] + ["é", "Z"]
+    rows = spark.createDataFrame([(g, i % 2, float(i)) for i, g in enumerate(ids)], "group_id string, label int, score double")
+    got = {(x.replicate, x.score): x.w for x in E.resampled(rows.repartition(3), 5, 11).collect()}
+    r, want = random.Random(11), {}
+    for k in range(5):
+        want |= {(k, float(ids.index(g))): n for g, n in Counter(r.choices(sorted(ids), k=len(ids))).items()}
+    assert got == want
+    assert E.resampled(rows.filter("group_id = 'Z'"), 5, 11).count() == 0
