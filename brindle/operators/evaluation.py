@@ -234,7 +234,7 @@ def group_bootstrap(rows: DataFrame, thresholds: DataFrame, repetitions: int = 2
     return interval(out, ["recall", "false_positive_rate", "average_precision", "aurc"], confidence)
 
 
-def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 0, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """The locked evaluation as one nested row: the threshold comes from validation, everything else from test."""
     if not 0.0 < target_fpr < 1.0:
         raise ValueError("target_fpr must be in (0, 1)")

@@ -14,6 +14,7 @@ from brindle.operators import governance as G
 from brindle.plans import views as V
 
 TARGET = 0.05
+REPLICATES = 2000  # as the reference
 Z95, Z975 = NormalDist().inv_cdf(0.95), NormalDist().inv_cdf(0.975)
 
 
@@ -82,7 +83,7 @@ def a13_fpr_evidence(spark, d):
 
 def a14_group_bootstrap(spark, d):
     p = V.predictions(spark, d)
-    return _rounded(E.group_bootstrap(p.filter("split = 'test'"), _lock(p), 50))
+    return _rounded(E.group_bootstrap(p.filter("split = 'test'"), _lock(p), REPLICATES))
 
 
 def a15_conditional_compute(spark, d):
@@ -127,11 +128,11 @@ def a19_transitions(spark, d):
 
 def a20_paired_bootstrap(spark, d):
     p = _pairs(spark, d)
-    return _rounded(C.paired_bootstrap(p.filter("split = 'test'"), _both_locks(p), 30))
+    return _rounded(C.paired_bootstrap(p.filter("split = 'test'"), _both_locks(p), REPLICATES))
 
 
 def a21_claim_gate(spark, d):
-    return C.compare(V.predictions(spark, d), V.predictions(spark, d, 11), TARGET, 30)["claim"]
+    return C.compare(V.predictions(spark, d), V.predictions(spark, d, 11), TARGET, REPLICATES)["claim"]
 
 
 def a22_mixed_groups(spark, d):

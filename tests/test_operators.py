@@ -397,3 +397,30 @@ def test_groups_are_drawn_by_one_rule_at_every_size(spark, monkeypatch):
         want |= {(k, float(ids.index(g))): n for g, n in Counter(r.choices(sorted(ids), k=len(ids))).items()}
     assert got == want
     assert E.resampled(rows.filter("group_id = 'Z'"), 5, 11).count() == 0
+
+
+def test_queries_draw_as_many_replicates_as_the_reference(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from brindle.plans import evaluation_queries as Q
+
+    seen = {}
+
+    def heard(name):
+        def call(*args):
+            seen[name] = args[-1]
+            return MagicMock()
+
+        return call
+
+    for name in ("_lock", "_pairs", "_both_locks", "_rounded"):
+        monkeypatch.setattr(Q, name, lambda *args: MagicMock())
+    monkeypatch.setattr(Q.V, "predictions", lambda *args: MagicMock())
+    bootstrap_default = inspect.signature(Q.E.report).parameters["bootstrap"].default
+    monkeypatch.setattr(Q.E, "group_bootstrap", heard("a14"))
+    monkeypatch.setattr(Q.C, "paired_bootstrap", heard("a20"))
+    monkeypatch.setattr(Q.C, "compare", heard("a21"))
+    for query in (Q.a14_group_bootstrap, Q.a20_paired_bootstrap, Q.a21_claim_gate):
+        query(None, "")
+    assert seen == {"a14": 2000, "a20": 2000, "a21": 2000} and bootstrap_default == 2000
