@@ -1,19 +1,22 @@
-"""A bigram language model with exact counts in hash buckets, and corpus scoring with it.
+"""A bigram language model on log-frequency Bloom filters, dealt in slices, and corpus scoring with it.
 
-Counting: each map task combines its own n-grams; buckets of hashes are summed in the reducers, so
-every training document counts, and every word pair that occurs at least twice is in the model,
-whatever the corpus holds.
+Counting: each map task combines its own n-grams; buckets of hashes are summed in the reducers, so every training
+document and every pair counts, once or often, whatever the corpus holds. Words keep exact counts by 64-bit hashes.
 
-The model: P(w | v) = (c(v w) + MU P(w)) / (S(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1), and S(v) the
-sum of c(v w). The log of a document is a sum over its words and its pairs alone: log P(w) - log(1 + S(v) / MU)
-for each token and each first word, and log(1 + c(v w) / (MU P(w))) for each pair that is counted.
+The filter: counts of pairs are quantised to LEVELS, which grow by a quarter. A pair of level j is in the filter once
+for each of the levels 1 to j; a reader probes level after level until one is absent. With BITS_PER_ITEM bits and
+PROBES probes about one absent pair in 300 is taken for one that occurred once; none falls below its level. Each bucket
+has a slice of its own, as large as its own entries need, so the share of errors is the same at every size.
 
-No table that grows with the corpus is broadcast. Words and pairs that make up more than one in FREQUENT
-tokens (at most FREQUENT of each, whatever the corpus) are; all others meet the documents that hold
-them in a hash bucket, which none can then crowd. A pair goes to the bucket of its second word, which knows
-the count of that word, or to that of its own hash where the word is frequent.
+The model: P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1). The log of a document is a
+sum over its words and its pairs alone: log P(w) for each token, - log(1 + c(v) / MU) for each first word, and
+log(1 + c(v w) / (MU P(w))) for each pair.
 
-BloomCounts holds counts approximately in bounded space, for readers that may err; scoring doesn't need it.
+What is broadcast has a bound: words and pairs that make up more than one in FREQUENT tokens (at most FREQUENT of each,
+whatever the corpus), with exact counts. The filter as a whole grows with the corpus, so it isn't broadcast: each slice
+lies in its hash bucket, where the documents' rarer words and pairs come to probe it. A pair goes to the bucket of its
+second word, whose exact count is there and bounds its own, or where that word is frequent to the bucket of its
+own hash, so that no bucket is crowded.
 """
 
 from __future__ import annotations
@@ -30,17 +33,21 @@ from brindle.llm import packed, words
 
 U64 = np.uint64
 FLUSH = 1_000_000
+FLUSH_DOCUMENTS = 50_000
 FREQUENT = 100_000
-BITS_PER_ITEM = 10
-PROBES = 5
+BITS_PER_ITEM = 12
+PROBES = 8
 MU = 1000.0
 END = U64(0x8D58AC26AFE12E47)
-BEGIN32 = U64(0x5BD1E995)
-_UNI, _BI, _STAT, _HISTORY, _DOC, _ENTRY, _PAIR, _PART = range(8)
+BEGIN = U64(0x5BD1E9955BD1E995)
+_UNI, _PAIR, _SLICE, _STAT, _DOC, _ENTRY, _PART = range(7)
 _C = U64(0x9FB21C651E98DF25)
-_HIGH = U64(0xFFFFFFFF00000000)
-_KEEP = U64((2**64 - 1) ^ 0xFFFF)
-_TOP = U64(0xFFFFF00000000000)  # as many bits as buckets can have
+#: a pair in its bucket is known by so many bits of its hash
+PAIR_BITS = 40
+_PAIR_BYTES = PAIR_BITS // 8
+_LOW = U64((1 << PAIR_BITS) - 1)
+#: fixed-point places of the sums that buckets send back: exact parts, and those that rest on quantised counts
+EXACT, ROUGH = 2.0**32, 2.0**14
 
 
 def _levels() -> np.ndarray:
@@ -51,19 +58,59 @@ def _levels() -> np.ndarray:
 
 
 LEVELS = _levels()
-#: the count that a level stands for; level 0 is absence
-VALUE = np.concatenate([[0.0], np.sqrt(LEVELS * (np.append(LEVELS[1:], LEVELS[-1] * 5 // 4 + 1) - 1))])
+#: the count that a level stands for, its least, so that no probability is raised; level 0 is absence
+VALUE = np.concatenate([[0.0], LEVELS])
 
 
 def level(count: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, count.astype(np.float64), "right")
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of words.mix."""
-    x = (x ^ (x >> U64(31)) ^ (x >> U64(62))) * U64(pow(0x94D049BB133111EB, -1, 2**64))
-    x = (x ^ (x >> U64(27)) ^ (x >> U64(54))) * U64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
-    return x ^ (x >> U64(30)) ^ (x >> U64(60))
+def _salt(j: int) -> np.uint64:
+    return U64(j * int(_C) % 2**64)
+
+
+class LogFrequencyFilter:
+    """Quantised counts of hashes in a bit array, read by repeated probes; none falls below its level."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.size = data, 8 * len(data)
+
+    @classmethod
+    def of(cls, key: np.ndarray, count: np.ndarray) -> LogFrequencyFilter:
+        high = level(count)
+        f = cls(np.zeros(max(8, -(-int(high.sum()) * BITS_PER_ITEM // 8)), dtype=np.uint8))
+        bit = np.zeros(f.size, dtype=bool)
+        j = 1
+        while len(key):
+            for at in f.positions(key, j):
+                bit[at] = True
+            j += 1
+            key, high = key[high >= j], high[high >= j]
+        f.data = np.packbits(bit, bitorder="little")
+        return f
+
+    def positions(self, key: np.ndarray, j: int) -> Iterator[np.ndarray]:
+        r = words.mix(key ^ _salt(j))
+        for i in range(PROBES):
+            yield self.probe(r, i)
+
+    def probe(self, r: np.ndarray, i: int) -> np.ndarray:
+        return (((r & U64(0xFFFFFFFF)) + U64(i) * ((r >> U64(32)) | U64(1))) % U64(self.size)).astype(np.int64)
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(key), dtype=np.int64)
+        live = np.arange(len(key))
+        for j in range(1, len(LEVELS) + 1):
+            r = words.mix(key[live] ^ _salt(j))
+            for i in range(PROBES):
+                at = self.probe(r, i)
+                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                live, r = live[hit], r[hit]
+            if not len(live):
+                break
+            found[live] = j
+        return VALUE[found]
 
 
 def tokens(t: words.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,19 +122,9 @@ def tokens(t: words.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tok[np.arange(len(w.hash)) + w.doc] = w.hash
     tok[w.lo[1:] + np.arange(n)] = END
     before = np.empty(len(tok), dtype=np.uint64)
-    before[1:] = tok[:-1] >> U64(32)
-    before[w.lo[:-1] + np.arange(n)] = BEGIN32
-    return tok, doc, words.mix((before << U64(32)) | (tok >> U64(32)))
-
-
-def history(pair: np.ndarray) -> np.ndarray:
-    """The upper half of the first token's hash of pairs."""
-    return unmix(pair) & _HIGH
-
-
-def second(pair: np.ndarray) -> np.ndarray:
-    """The upper half of the second token's hash of pairs."""
-    return unmix(pair) << U64(32)
+    before[1:] = tok[:-1]
+    before[w.lo[:-1] + np.arange(n)] = BEGIN
+    return tok, doc, words.mix(before * _C + tok)
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +136,17 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
     return np.where(hit, values[at], 0), hit
 
 
-def route(pair: np.ndarray, word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The hash that deals pairs to buckets: led by the second word's unless that is frequent."""
-    return np.where(frequent, pair, (word & _TOP) | (pair >> U64(20)))
+def routed(pair: np.ndarray, word: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs as their bucket, then PAIR_BITS of their hash; the bucket is the second word's unless that is frequent."""
+    return (np.where(frequent, pair, word) >> U64(64 - bits)) << U64(PAIR_BITS) | (pair & _LOW)
 
 
 def _flags(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("held_out").to_numpy(zero_copy_only=False)
 
 
-def _count(bits: int):
-    """Map side: distinct training words and pairs of a flush with their counts, by bucket."""
-    shift = U64(64 - bits)
+def _count(kind: int, shift: int, width: int, keys):
+    """Map side: distinct keys of the training tokens of a flush with their counts, by bucket (the bits above shift)."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed.batches(rows(incoming))
@@ -122,7 +158,7 @@ def _count(bits: int):
             for t in words.texts(batch):
                 tok, doc, pair = tokens(t)
                 train = ~out[t.row : t.row + len(t)][doc]
-                held.append((tok[train], pair[train]))
+                held.append(keys(tok[train], pair[train]))
                 size += len(tok)
                 if size >= FLUSH:
                     yield from flush(held)
@@ -130,351 +166,298 @@ def _count(bits: int):
         yield from flush(held)
 
     def flush(held):
-        for kind, x in ((_UNI, [h[0] for h in held]), (_BI, [h[1] for h in held])):
-            x = np.sort(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64)
-            if not len(x):
-                continue
-            begins = np.flatnonzero(words.first_of_run(x))
-            n = np.diff(np.append(begins, len(x))).astype(np.uint32)
-            x = x[begins]
-            bucket = (x >> shift).astype(np.int64)
-            edge = np.append(np.flatnonzero(words.first_of_run(bucket)), len(x))
-            for a, b in zip(edge[:-1], edge[1:]):
-                more = n[a:b] > 1
-                yield int(bucket[a]), kind, packed.pack(packed.planes(x[a:b][~more]), packed.planes(x[a:b][more]), n[a:b][more])
+        x = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint64)
+        if not len(x):
+            return
+        begins = np.flatnonzero(words.first_of_run(x))
+        n = np.diff(np.append(begins, len(x))).astype(np.uint32)
+        x = x[begins]
+        for b, a, z in _buckets(x, shift):
+            more = n[a:z] > 1
+            yield b, kind, packed.pack(packed.planes(x[a:z][~more], width), packed.planes(x[a:z][more], width), _small(n[a:z][more]))
 
     return run
 
 
-def _summed(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _small(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
+def _buckets(x: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of sorted keys, whose bits above shift are their bucket."""
+    bucket = (x >> U64(shift)).astype(np.int64)
+    edge = np.append(np.flatnonzero(words.first_of_run(bucket)), len(x))
+    for a, z in zip(edge[:-1], edge[1:]):
+        yield int(bucket[a]), int(a), int(z)
+
+
+def _summed(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for p in payloads:
         one, more, n = packed.unpack(p)
-        keys += [packed.from_planes(one), packed.from_planes(more)]
-        counts += [np.ones(len(one) // 8, dtype=np.int64), n.astype(np.int64)]
-    return _sum(np.concatenate(keys), np.concatenate(counts))
-
-
-def _sum(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys += [packed.from_planes(one, width), packed.from_planes(more, width)]
+        counts += [np.ones(len(one) // width, dtype=np.int64), n.astype(np.int64)]
+    x, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(x, kind="stable")
     x, n = x[order], n[order]
     begins = np.flatnonzero(words.first_of_run(x))
     return x[begins], np.add.reduceat(n, begins) if len(begins) else n
 
 
-def _pack_counts(x: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes, or upper halves of them, and counts in few bytes."""
-    x = packed.planes(x) if (x & ~_HIGH).any() else (x >> U64(32)).astype(np.uint32)
-    return packed.pack(x, n.astype(np.min_scalar_type(int(n.max(initial=0)))))
-
-
-def _counts(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x, n = packed.unpack(payload)
-    return packed.from_planes(x) if x.dtype == np.uint8 else x.astype(np.uint64) << U64(32), n.astype(np.int64)
-
-
-def _reduce(incoming):
-    """Reduce side: exact counts of a bucket's words, its pairs that occur twice or more, and the totals."""
+def _word_counts(incoming):
+    """Reduce side: exact counts of each bucket's words, and the totals."""
 
     def rows():
-        tokens_, distinct = 0, 0
-        for bucket, kinds in packed.by_bucket(incoming).items():
-            for kind, payloads in kinds.items():
-                x, n = _summed(payloads)
-                if kind == _UNI:
-                    tokens_ += int(n.sum())
-                    distinct += len(x)
-                else:
-                    x, n = x[n > 1], n[n > 1]
-                if len(x):
-                    yield bucket, kind, _pack_counts(x, n)
-        yield 0, _STAT, packed.pack(np.array([tokens_, distinct]))
+        total, distinct = 0, 0
+        for bucket, kinds in packed.by_bucket(incoming):
+            x, n = _summed(kinds[_UNI], 8)
+            total, distinct = total + int(n.sum()), distinct + len(x)
+            yield bucket, _UNI, packed.pack(packed.planes(x), _small(n))
+        yield 0, _STAT, packed.pack(np.array([total, distinct]))
 
     yield from packed.batches(rows())
 
 
-def _histories(bits: int):
+def _slices(least: int):
+    """Reduce side: frequent pairs with exact counts, and a filter slice for all others of a bucket."""
+
     def run(incoming):
-        def rows():
-            held = [_sum(history(x), n) for x, n in (_counts(p) for _, _, p in packed.rows_of(incoming))]
-            if held:
-                x, n = _sum(*(np.concatenate(c) for c in zip(*held)))
-                for b, (v, s) in packed.scattered((x >> U64(64 - bits)).astype(np.int64), x, n):
-                    yield b, _HISTORY, _pack_counts(v, s)
+        yield from packed.batches(rows(incoming))
 
-        yield from packed.batches(rows())
+    def rows(incoming):
+        for bucket, kinds in packed.by_bucket(incoming):
+            x, n = _summed(kinds[_PAIR], _PAIR_BYTES)
+            often = n >= least
+            if often.any():
+                yield bucket, _PAIR, packed.pack(x[often] | (U64(bucket) << U64(PAIR_BITS)), n[often])
+            if not often.all():
+                yield bucket, _SLICE, packed.pack(LogFrequencyFilter.of(x[~often], n[~often]).data)
 
     return run
 
 
-def _sum_histories(incoming):
-    def rows():
-        for bucket, kinds in packed.by_bucket(incoming).items():
-            x, n = _sum(*(np.concatenate(c) for c in zip(*map(_counts, kinds[_HISTORY]))))
-            yield bucket, _HISTORY, _pack_counts(x, n)
-
-    yield from packed.batches(rows())
+class Model:
+    """What is broadcast: totals, frequent words with exact counts, and frequent pairs once they are known."""
 
+    def __init__(self, n: int, v: int, begin: int, least: int, frequent: tuple[np.ndarray, np.ndarray]):
+        self.n, self.v, self.begin, self.least, self.frequent = n, v, begin, least, frequent
+        self.pairs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        #: frequent words' counts travel as one of 255 steps between the least count and all tokens
+        self.step = np.log10(max(n, 2 * least) / least) / 255
 
-def _positions(key: np.ndarray, at: np.ndarray | int, size: int) -> list[np.ndarray]:
-    """Bit positions of (key, level) inside its slice."""
-    r = words.mix(key ^ (np.asarray(at).astype(np.uint64) * _C))
-    first, step = r & U64(0xFFFFFFFF), (r >> U64(32)) | U64(1)
-    return [(first + U64(i) * step) % U64(size) for i in range(PROBES)]
+    def gain(self, both: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """What the log10 of a pair has over that of its second word, from the counts of both."""
+        return np.log10(1.0 + both * ((self.n + self.v + 1) / MU) / (word + 1.0))
 
+    def code(self, word: np.ndarray) -> np.ndarray:
+        return np.round(np.log10(np.maximum(word, self.least) / self.least) / self.step).clip(0, 255).astype(np.uint8)
 
-class BloomCounts:
-    """One filter: counts of hashes, read by repeated probes."""
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        return self.least * 10.0 ** (code * self.step)
 
-    def __init__(self, bits: int, size: int):
-        self.bits, self.size = bits, size
-        self.data = np.zeros((1 << bits) * (size // 8), dtype=np.uint8)
 
-    def put(self, bucket: int, part: np.ndarray) -> None:
-        self.data[bucket * (self.size // 8) : (bucket + 1) * (self.size // 8)] = part
+def fallen(after: np.ndarray | float) -> np.ndarray:
+    """What the log10 of any word loses after a first word, from that one's count."""
+    return np.log10(1.0 + after / MU)
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(key), dtype=np.int64)
-        live = np.arange(len(key))
-        base = (key >> U64(64 - self.bits)).astype(np.int64) * (self.size // 8)
-        for j in range(1, len(LEVELS) + 1):
-            ok = np.ones(len(live), dtype=bool)
-            for at in _positions(key[live], j, self.size):
-                ok &= (self.data[base[live] + (at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
-            live = live[ok]
-            if not len(live):
-                break
-            found[live] = j
-        return VALUE[found]
 
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of packed rows on the driver, sorted; the caller bounds how many."""
+    found = [packed.unpack(bytes(p)) for (p,) in rows.select("payload").collect()]
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    x, n = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(x)
+    return x[order], n[order]
 
-class Model:
-    """What is broadcast: frequent words with exact counts and sums of their pairs, frequent pairs, and totals."""
 
-    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], sums: tuple[np.ndarray, np.ndarray]):
-        self.n, self.v, self.frequent = n, v, frequent
-        self.high = frequent[0] & _HIGH
-        self.left = fallen(look_up(*sums, self.high)[0])
-        self.begin = float(fallen(look_up(*sums, np.array([BEGIN32 << U64(32)]))[0])[0])
-        self.pairs = pairs[0], self.gain(pairs[1], look_up(self.high, frequent[1], second(pairs[0]))[0])
+def _frequent(least: int):
+    """Words of at least that count, which are FREQUENT at most as counts sum to all tokens."""
 
-    def gain(self, both: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """What the log10 of a pair has over that of its second word, from the counts of both."""
-        return np.log10(1.0 + both * ((self.n + self.v + 1) / MU) / (word + 1.0))
+    def run(incoming):
+        def rows():
+            for bucket, kind, p in packed.rows_of(incoming):
+                x, n = packed.unpack(p)
+                x, n = packed.from_planes(x)[n >= least], n[n >= least].astype(np.int64)
+                if len(x):
+                    yield bucket, kind, packed.pack(x, n)
 
+        yield from packed.batches(rows())
 
-def fallen(after: np.ndarray) -> np.ndarray:
-    """What the log10 of any word loses after a first word, from the sum of that one's pairs."""
-    return np.log10(1.0 + after / MU)
+    return run
 
 
 def train(rows: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model of rows (text, held_out), its exact counts by bucket, and the number of bucket bits."""
+    """The model of rows (text, held_out), its word counts and filter slices by bucket, and the number of bucket bits."""
     spark = rows.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
-    state = packed.checkpointed(packed.dealt(rows.mapInArrow(_count(bits), packed.SCHEMA), n).mapInArrow(_reduce, packed.SCHEMA))
+    counted = rows.mapInArrow(_count(_UNI, 64 - bits, 8, lambda tok, pair: tok), packed.SCHEMA)
+    state = packed.checkpointed(packed.dealt(counted, n, bits).mapInArrow(_word_counts, packed.SCHEMA))
     total = np.zeros(2, dtype=np.int64)
     for (p,) in state.filter(f"kind = {_STAT}").select("payload").collect():  # one small row a partition
         total = total + packed.unpack(p)[0]
-    least = max(1, int(total[0]) // FREQUENT + 1)
-    words_, pairs = state.filter(f"kind = {_UNI}"), state.filter(f"kind = {_BI}")
-    histories = packed.checkpointed(packed.dealt(pairs.mapInArrow(_histories(bits), packed.SCHEMA), n).mapInArrow(_sum_histories, packed.SCHEMA))
-    frequent = _frequent(words_, least)
-    first = np.unique(np.append(frequent[0] & _HIGH, BEGIN32 << U64(32)))
-    sums = _found(histories, lambda x, n: look_up(first, first, x)[1])
-    model = Model(int(total[0]), int(total[1]), frequent, _frequent(pairs, least), sums)
-    return model, words_.union(histories).union(pairs.mapInArrow(_routed(bits, least, model.high), packed.SCHEMA)), bits
+    least = int(total[0]) // FREQUENT + 1
+    known = state.filter(f"kind = {_UNI}")
+    frequent = _gathered(known.mapInArrow(_frequent(least), packed.SCHEMA))
+    begin = rows.filter(~F.col("held_out")).count()
+    model = Model(int(total[0]), int(total[1]), begin, least, frequent)
+    held = spark.sparkContext.broadcast(model)
 
+    def pairs(tok, pair):
+        return routed(pair, tok, look_up(*held.value.frequent, tok)[1], bits)
 
-def _routed(bits: int, least: int, high: np.ndarray):
-    """Sends each pair that is not broadcast to the bucket where documents ask for it."""
+    del counted
+    packed.released(spark)
+    counted = rows.mapInArrow(_count(_PAIR, PAIR_BITS, _PAIR_BYTES, pairs), packed.SCHEMA)
+    slices = packed.checkpointed(packed.dealt(counted, n, bits).mapInArrow(_slices(least), packed.SCHEMA))
+    model.pairs = _gathered(slices.filter(f"kind = {_PAIR}"))
+    del counted
+    packed.released(spark)
+    return model, known.union(slices.filter(f"kind = {_SLICE}")), bits
 
-    def run(incoming):
-        def rows():
-            held = [(x[n < least], n[n < least]) for x, n in (_counts(p) for _, _, p in packed.rows_of(incoming))]
-            if held:
-                x, n = (np.concatenate(c) for c in zip(*held))
-                w = second(x)
-                to = route(x, w, look_up(high, high, w)[1]) >> U64(64 - bits)
-                for b, (v, m) in packed.scattered(to.astype(np.int64), x, n):
-                    yield b, _BI, _pack_counts(v, m)
 
-        yield from packed.batches(rows())
+def _distinct(key: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, how many documents have each, those documents, which have it more than once and how often.
 
-    return run
+    last is any number known by a key; that of each distinct key comes last.
+    """
+    order = np.lexsort((doc, key))
+    key, doc, last = key[order], doc[order], last[order]
+    begins = np.flatnonzero(words.first_of_run(key, doc))
+    often = np.diff(np.append(begins, len(key)))
+    key, doc, last = key[begins], doc[begins], last[begins]
+    begins = np.flatnonzero(words.first_of_run(key))
+    return key[begins], np.diff(np.append(begins, len(key))), doc, often, last[begins]
 
 
-def _found(counts: DataFrame, wanted) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts that are wanted, sorted; the caller bounds how many."""
+class _Group:
+    """The distinct keys of a flush with their documents, sorted by bucket; parts are what goes to one bucket."""
 
-    def run(incoming):
-        def rows():
-            for bucket, kind, p in packed.rows_of(incoming):
-                x, n = _counts(p)
-                some = wanted(x, n)
-                if some.any():
-                    yield bucket, kind, packed.pack(x[some], n[some])
+    def __init__(self, key: np.ndarray, doc: np.ndarray, last: np.ndarray, shift: int, width: int):
+        self.key, self.in_docs, self.doc, self.often, self.last = _distinct(key, doc, last)
+        self.at = np.concatenate([[0], np.cumsum(self.in_docs)])
+        self.width = width
+        self.part = {b: (a, z) for b, a, z in _buckets(self.key, shift)}
 
-        yield from packed.batches(rows())
+    def documents(self, bucket: int) -> np.ndarray:
+        a, z = self.part.get(bucket, (0, 0))
+        return self.doc[self.at[a] : self.at[z]]
 
-    found = [packed.unpack(bytes(p)) for (p,) in counts.mapInArrow(run, packed.SCHEMA).select("payload").collect()]
-    if not found:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    x, n = (np.concatenate(c) for c in zip(*found))
-    order = np.argsort(x)
-    return x[order], n[order]
-
-
-def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words or pairs of at least that count, which are FREQUENT at most as counts sum to all tokens."""
-    return _found(counts, lambda x, n: n >= least)
-
-
-#: the entries of a bucket that has none: first document, documents, hashes, which occur again, how often
-NONE = tuple(np.zeros(n, dtype=t) for n, t in ((1, np.int64), (0, np.uint16), (0, np.uint8), (0, np.uint32), (0, np.uint8)))
+    def packed(self, bucket: int, used: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, z = self.part.get(bucket, (0, 0))
+        of, often = slice(self.at[a], self.at[z]), self.often[self.at[a] : self.at[z]]
+        more = np.flatnonzero(often > 1)
+        local = np.searchsorted(used, self.doc[of]).astype(np.uint64)
+        return packed.planes(self.key[a:z], self.width), _small(self.in_docs[a:z]), packed.planes(local, 2), more.astype(np.uint32), _small(often[more]), self.last[a:z]
 
 
 def _score(held, bits: int):
     """Scores documents by what is broadcast; rarer words and pairs go to the buckets that know their counts."""
-    shift = U64(64 - bits)
 
     def run(incoming):
         yield from packed.batches(rows(incoming))
 
     def rows(incoming):
-        model = held.value
-        known, known_n = model.frequent
-        made = TaskContext.get().partitionId() << 36
-        rare, size, docs = {_ENTRY: [], _PAIR: []}, 0, 0
+        model, task, flushes = held.value, TaskContext.get().partitionId(), 0
+        docs, rare, near, far, size, count = [], [], [], [], 0, 0
         for batch in incoming:
             out = _flags(batch)
             valid = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for t in words.texts(batch):
                 tok, doc, pair = tokens(t)
                 n = len(t)
-                uid = made + np.arange(n)
-                made += n
-                count, hit = look_up(known, known_n, tok)
-                base = np.bincount(doc[hit], weights=np.log10(count[hit] + 1.0), minlength=n)
-                sure = np.bincount(doc[hit], minlength=n)
-                left, _ = look_up(known, model.left, tok)
-                gain, met = look_up(*model.pairs, pair)
-                score = np.bincount(doc, weights=gain - left, minlength=n) - model.begin
+                known, hit = look_up(*model.frequent, tok)
+                key = routed(pair, tok, hit, bits)
+                both, met = look_up(*model.pairs, key)
+                met &= hit
+                # a pair that is frequent has a frequent second word, whose count is at hand
+                delta = np.where(met, model.gain(both, known), 0.0) - np.where(hit & (tok != END), fallen(known), 0.0)
+                base = np.bincount(doc[hit], weights=np.log10(known[hit] + 1.0), minlength=n)
+                delta = np.bincount(doc, weights=delta, minlength=n) - fallen(model.begin)
                 a = slice(t.row, t.row + n)
-                yield int(uid[0] % (1 << bits)), _DOC, packed.pack(uid, t.ids, valid[a], out[a], np.bincount(doc, minlength=n), sure, base, score)
-                rare[_ENTRY].append((tok[~hit], uid[doc[~hit]]))
-                far, word = ~met, tok[~met] & _HIGH
-                rare[_PAIR].append((route(pair[far], word, look_up(model.high, model.high, word)[1]), uid[doc[far]]))
-                size, docs = size + len(word), docs + n
-                if size >= FLUSH or docs >= 60_000:
-                    yield from flush(rare)
-                    size, docs = 0, 0
-        yield from flush(rare)
-
-    def flush(rare):
-        out = {}
-        for kind, held in rare.items():
-            for bucket, arrays in entries(held):
-                out.setdefault(bucket, {})[kind] = arrays
-            held.clear()
-        for bucket, kinds in out.items():
-            yield bucket, _ENTRY, packed.pack(*[a for kind in (_ENTRY, _PAIR) for a in kinds.get(kind, NONE)])
-
-    def entries(rare):
-        if not sum(len(r[0]) for r in rare):
+                docs.append((t.ids, valid[a], out[a], np.bincount(doc, minlength=n), np.bincount(doc[hit], minlength=n), base, delta))
+                doc = doc + count
+                rare.append((tok[~hit], doc[~hit]))
+                some = ~met & ~hit
+                near.append((key[some], doc[some], tok[some]))
+                some = ~met & hit
+                far.append((key[some], doc[some], model.code(known[some])))
+                size, count = size + len(tok), count + n
+                if size >= FLUSH or count >= FLUSH_DOCUMENTS:
+                    yield from flush((task << 32) + flushes, docs, rare, near, far)
+                    docs, rare, near, far, size, count, flushes = [], [], [], [], 0, 0, flushes + 1
+        yield from flush((task << 32) + flushes, docs, rare, near, far)
+
+    def flush(name, docs, rare, near, far):
+        if not docs:
             return
-        x, uid = (np.concatenate(c) for c in zip(*rare))
-        low = uid.min()  # documents of a flush are numbered in a row
-        x = np.sort((x & _KEEP) | (uid - low).astype(np.uint64))  # by hash (its upper 48 bits), then document
-        begins = np.flatnonzero(words.first_of_run(x))
-        tf = np.diff(np.append(begins, len(x))).astype(np.uint32)
-        x = x[begins]
-        bucket = (x >> shift).astype(np.int64)
-        edge = np.append(np.flatnonzero(words.first_of_run(bucket)), len(x))
-        for a, b in zip(edge[:-1], edge[1:]):
-            used, local = np.unique((x[a:b] & ~_KEEP).astype(np.uint16), return_inverse=True)
-            y = (x[a:b] & _KEEP) | local.astype(np.uint64)
-            more = np.flatnonzero(tf[a:b] > 1)
-            many = tf[a:b][more]
-            yield int(bucket[a]), (np.array([low]), used, packed.planes(y), more.astype(np.uint32), many.astype(np.min_scalar_type(int(many.max(initial=0)))))
+        joined = lambda parts: [np.concatenate(c) for c in zip(*parts)]
+        home = int(words.mix(np.array([name], dtype=np.uint64))[0] >> U64(64 - bits))
+        yield home, _DOC, packed.pack(np.array([name]), *joined(docs))
+        x, doc = joined(rare)
+        rare = _Group(x, doc, np.zeros(len(x), dtype=np.uint8), 64 - bits, 8)
+        x, doc, tok = joined(near)
+        # the second word's place among the rare words of its bucket, which sorted distinct words give
+        of = np.searchsorted(rare.key, tok) - np.array([a for a, _ in rare.part.values()], dtype=np.int64)[np.searchsorted(list(rare.part), (tok >> U64(64 - bits)).astype(np.int64))] if len(tok) else tok.astype(np.int64)
+        near = _Group(x, doc, of, PAIR_BITS, _PAIR_BYTES)
+        far = _Group(*joined(far), PAIR_BITS, _PAIR_BYTES)
+        for b in sorted(rare.part.keys() | near.part.keys() | far.part.keys()):
+            used = np.unique(np.concatenate([g.documents(b) for g in (rare, near, far)]))
+            n = near.packed(b, used)
+            yield b, _ENTRY, packed.pack(np.array([name]), packed.planes(used.astype(np.uint64), 2), *rare.packed(b, used)[:5], *n[:5], packed.planes(n[5].astype(np.uint64), 4), *far.packed(b, used))
 
     return run
 
 
-def _exact(held, bits: int):
+def _fixed(x: np.ndarray, by: float) -> np.ndarray:
+    """Numbers as whole multiples of 1 / by, small ones of either sign in few bytes that are not zero."""
+    v = np.round(x * by).astype(np.int64)
+    return packed.planes(((v << 1) ^ (v >> 63)).view(np.uint64))
+
+
+def _floats(x: np.ndarray, by: float) -> np.ndarray:
+    v = packed.from_planes(x)
+    return ((v >> U64(1)).astype(np.int64) ^ -(v & U64(1)).astype(np.int64)) / by
+
+
+def _probe(held, bits: int):
     """Reduce side: what the rarer words and pairs add to the scores of each document."""
+    counts = lambda p: (lambda x, n: (packed.from_planes(x), n.astype(np.int64)))(*packed.unpack(p))
 
     def run(incoming):
         yield from packed.batches(rows(incoming))
 
-    def table(payloads):
-        columns = [_counts(p) for p in payloads or ()]
-        return tuple(np.concatenate(c) for c in zip(*columns)) if columns else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-
-    def entries(payloads, at):
-        for p in payloads or ():
-            low, used, y, more, many = packed.unpack(p)[at : at + 5]
-            y = packed.from_planes(y)
-            tf = np.ones(len(y))
-            tf[more] = many
-            yield low[0] + used.astype(np.int64), y, (y & ~_KEEP).astype(np.int64), tf
-
-    def gains(payloads, x, n):
-        """Sorted routed hashes of the bucket's pairs with their gains; x, n are its words."""
-        model = held.value
-        pair, both = table(payloads)
-        word = second(pair)
-        count, frequent = look_up(model.high, model.frequent[1], word)
-        count = np.where(frequent, count, look_up(*_sum(x & _HIGH, n), word)[0])
-        to = route(pair, word, frequent) & _KEEP
-        order = np.argsort(to)
-        return to[order], model.gain(both, count)[order]
+    def spread(group, n, *values):
+        """Sums of the values of distinct keys over the documents that have them."""
+        _, in_docs, doc, more, many = group
+        often = np.ones(len(doc) // 2)
+        often[more] = many
+        doc = packed.from_planes(doc, 2).astype(np.int64)
+        return [np.bincount(doc, weights=np.repeat(v, in_docs) * often, minlength=n).astype(np.float64) for v in values]
 
     def rows(incoming):
-        found, more = [], []
-        for bucket, kinds in packed.by_bucket(incoming).items():
+        model = held.value
+        for bucket, kinds in packed.by_bucket(incoming):
             for p in kinds.get(_DOC, ()):
                 yield bucket, _DOC, p
-            x, n = table(kinds.get(_UNI))
-            first, after = table(kinds.get(_HISTORY))
-            left = fallen(after)
-            pairs = gains(kinds.get(_BI), x, n)
-            x = x & _KEEP  # sorted still
-            for uid, y, short, tf in entries(kinds.get(_ENTRY), 0):
-                c, _ = look_up(x, n, y & _KEEP)
-                found.append((uid, *(np.bincount(short, weights=tf * z, minlength=len(uid)) for z in (np.log10(c + 1.0), c > 0, -look_up(first, left, y & _HIGH)[0]))))
-            for uid, y, short, tf in entries(kinds.get(_ENTRY), 5):
-                g = np.bincount(short, weights=tf * look_up(*pairs, y & _KEEP)[0], minlength=len(uid))
-                more.append((uid[g > 0], g[g > 0]))
-        # homes as _score deals them: by the first document of the chunk; here by blocks of documents
-        out = {}
-        for at, (parts, types) in enumerate(((found, (np.float64, np.int64, np.float64)), (more, (np.float32,)))):
-            if parts:
-                uid, *columns = (np.concatenate(c) for c in zip(*parts))
-                uid, back = np.unique(uid, return_inverse=True)
-                columns = [np.bincount(back, weights=c, minlength=len(uid)).astype(t) for c, t in zip(columns, types)]
-                for b, cols in packed.scattered(uid >> 8 & (1 << bits) - 1, uid, *columns):
-                    out.setdefault(b, [[np.zeros(0, dtype=np.int64)] * 4, [np.zeros(0, dtype=np.int64)] * 2])[at] = cols
-        for b, (words_, pairs) in out.items():
-            yield b, _PART, packed.pack(*words_, *pairs)
-
-    return run
-
-
-def _documents(bits: int):
-    """Sends each document to the home of its block."""
-
-    def run(incoming):
-        def rows():
-            for bucket, kind, p in packed.rows_of(incoming):
-                if kind != _DOC:
-                    yield bucket, kind, p
-                else:
-                    cols = packed.unpack(p)
-                    for b, part in packed.scattered(cols[0] >> 8 & (1 << bits) - 1, *cols):
-                        yield b, kind, packed.pack(*part)
-
-        yield from packed.batches(rows())
+            if _ENTRY not in kinds:
+                continue
+            x, n = counts(kinds[_UNI][0]) if _UNI in kinds else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            seen = LogFrequencyFilter(packed.unpack(kinds[_SLICE][0])[0]) if _SLICE in kinds else LogFrequencyFilter(np.zeros(8, dtype=np.uint8))
+            for p in kinds[_ENTRY]:
+                cols = packed.unpack(p)
+                name, used, rare, near, of, far, code = cols[0], cols[1], cols[2:7], cols[7:12], cols[12], cols[13:18], cols[18]
+                docs = len(used) // 2
+                word = packed.from_planes(rare[0])
+                c, _ = look_up(x, n, word)
+                base, sure, delta = spread(rare, docs, np.log10(c + 1.0), c > 0, np.where(word == END, 0.0, -fallen(c)))
+                word = c[packed.from_planes(of, 4).astype(np.int64)]
+                both = np.minimum(seen.counts(packed.from_planes(near[0], _PAIR_BYTES)), word)
+                delta += spread(near, docs, model.gain(both, word))[0]
+                word = model.decoded(code)
+                delta += spread(far, docs, model.gain(np.minimum(seen.counts(packed.from_planes(far[0], _PAIR_BYTES)), word), word))[0]
+                home = int(words.mix(name.astype(np.uint64))[0] >> U64(64 - bits))
+                yield home, _PART, packed.pack(name, used, _fixed(base, EXACT), _small(sure.astype(np.int64)), _fixed(delta, ROUGH))
 
     return run
 
@@ -487,22 +470,20 @@ def _finish(n_train: int, distinct: int):
     each = np.log10(float(n_train + distinct + 1))
 
     def run(incoming):
-        for kinds in packed.by_bucket(incoming).values():
-            docs = [np.concatenate(c) for c in zip(*map(packed.unpack, kinds.get(_DOC, ())))]
-            if not docs:
-                continue
-            order = np.argsort(docs[0])
-            uid, ids, valid, held_out, n, sure, base, score = (c[order] for c in docs)
-            base, score = base - n * each, score.copy()
-            sure = sure.astype(np.int64)
+        for _, kinds in packed.by_bucket(incoming):
+            parts: dict[int, list] = {}
             for p in kinds.get(_PART, ()):
-                u, s, k, left, u2, gain = packed.unpack(p)
-                at = np.searchsorted(uid, u)
-                base[at] += s
-                sure[at] += k
-                score[at] += left
-                score[np.searchsorted(uid, u2)] += gain
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(held_out), pa.array(n.astype(np.int64)), pa.array(sure), pa.array(np.full(len(uid), n_train)), pa.array(base), pa.array(base + score)], schema=schema)
+                name, *columns = packed.unpack(p)
+                parts.setdefault(int(name[0]), []).append(columns)
+            for p in kinds.get(_DOC, ()):
+                name, ids, valid, held_out, n, sure, base, delta = packed.unpack(p)
+                base, delta, sure = base - n * each, delta.copy(), sure.astype(np.int64)
+                for used, b, s, d in parts.pop(int(name[0]), ()):
+                    at = packed.from_planes(used, 2).astype(np.int64)
+                    base[at] += _floats(b, EXACT)
+                    sure[at] += s
+                    delta[at] += _floats(d, ROUGH)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(held_out), pa.array(n.astype(np.int64)), pa.array(sure), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(base + delta)], schema=schema)
 
     return run
 
@@ -522,6 +503,5 @@ def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     model, counts, bits = train(rows.select("doc_id", "text", "held_out"))
     held = spark.sparkContext.broadcast(model)
     scored = rows.mapInArrow(_score(held, bits), packed.SCHEMA)
-    met = packed.dealt(scored.union(counts), n).mapInArrow(_exact(held, bits), packed.SCHEMA)
-    home = packed.dealt(met.mapInArrow(_documents(bits), packed.SCHEMA), n)
-    return home.mapInArrow(_finish(model.n, model.v), OUT)
+    met = packed.dealt(scored.union(counts), n, bits).mapInArrow(_probe(held, bits), packed.SCHEMA)
+    return packed.dealt(met, n, bits).mapInArrow(_finish(model.n, model.v), OUT)

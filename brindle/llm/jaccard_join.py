@@ -145,7 +145,7 @@ def _shared(bits: int):
 
     def rows(incoming):
         found = []
-        for bucket, kinds in packed.by_bucket(incoming).items():
+        for bucket, kinds in packed.by_bucket(incoming):
             for kind in (_DOC, _CLASS, _OWN):
                 for payload in kinds.pop(kind, ()):
                     yield bucket, kind, payload
@@ -207,7 +207,7 @@ def _survivors(bits: int, top: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow.types)], schema=arrow)
 
     def rows(incoming):
-        for kinds in packed.by_bucket(incoming).values():
+        for _, kinds in packed.by_bucket(incoming):
             for payload in kinds.pop(_DOC, ()):
                 yield _DOC, None, None, None, None, None, None, payload
             if _CLASS not in kinds:
@@ -281,8 +281,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     spark = docs.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
     rows = packed.small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    cells = packed.dealt(rows.mapInArrow(_cells(bits, 1 << bits, width, "text", "doc_id"), packed.SCHEMA), n)
-    shared = packed.dealt(cells.mapInArrow(_shared(bits), packed.SCHEMA), n)
+    cells = packed.dealt(rows.mapInArrow(_cells(bits, 1 << bits, width, "text", "doc_id"), packed.SCHEMA), n, bits)
+    shared = packed.dealt(cells.mapInArrow(_shared(bits), packed.SCHEMA), n, bits)
     state = packed.checkpointed(shared.mapInArrow(_survivors(bits, percent), SURVIVORS))
     members = state.filter(f"kind = {_DOC}").select("ids").mapInArrow(_documents, "doc_id long, sig long, n_shingles long")
     known = state.filter(f"kind <> {_DOC}").select("sig", "rep")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -15,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "bucket int, kind int, payload binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -38,13 +41,17 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
-def planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of sorted 64-bit numbers, most significant bytes together, which then compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).reshape(-1)
+def planes(x: np.ndarray, width: int = 8) -> np.ndarray:
+    """The lower bytes of sorted 64-bit numbers, bytes of one weight together, which then compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
 
 
-def from_planes(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.uint64)
+def from_planes(x: np.ndarray, width: int = 8) -> np.ndarray:
+    if width == 8:
+        return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.uint64)
+    out = np.zeros((len(x) // width, 8), dtype=np.uint8)
+    out[:, :width] = x.reshape(width, -1).T
+    return out.reshape(-1).view(np.uint64)
 
 
 def trim() -> None:
@@ -74,12 +81,18 @@ def rows_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, byte
         yield from zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("payload").to_pylist())
 
 
-def by_bucket(incoming: Iterable[pa.RecordBatch]) -> dict[int, dict[int, list[bytes]]]:
-    """All packed rows of a partition: bucket -> kind -> payloads. A partition holds a bounded share of the data."""
-    held: dict[int, dict[int, list[bytes]]] = defaultdict(lambda: defaultdict(list))
+def by_bucket(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """The packed rows of one bucket after another: (bucket, kind -> payloads). Rows come as ``dealt`` sorts them."""
+    held: dict[int, list[bytes]] = defaultdict(list)
+    last = None
     for bucket, kind, payload in rows_of(incoming):
-        held[bucket][kind].append(payload)
-    return held
+        if bucket != last and held:
+            yield last, held
+            held = defaultdict(list)
+        last = bucket
+        held[kind].append(payload)
+    if held:
+        yield last, held
 
 
 def scattered(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -112,15 +125,31 @@ def bucket_bits(spark: SparkSession) -> int:
     return min(20, max(6, (2 * partitions(spark) - 1).bit_length()))
 
 
-def dealt(df: DataFrame, n: int) -> DataFrame:
-    """Each bucket to one of n partitions."""
-    return df.repartition(n, "bucket")
+def dealt(df: DataFrame, n: int, bits: int, *then: str) -> DataFrame:
+    """Each of 2 ** bits buckets to one of n partitions, as many to each as can be, in order of bucket.
+
+    The sort spills where it must, so readers hold one bucket at a time and not a partition.
+    """
+    part = F.shiftright(F.col("bucket").cast("long") * n, bits).cast("int")
+    return df.repartitionById(n, part).sortWithinPartitions("bucket", *then)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to, which else stay until the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by reliable files in the shared checkpoint folder; sets one only where none is set."""
+    """Cuts the lineage by reliable files in the shared checkpoint folder.
+
+    The folder is the context's, or the one that spark.checkpoint.dir names. Where none is set, a local
+    master gets one below /tmp, and any other raises: its executors would not share the folder.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or "/tmp/brindle-checkpoints")
     return df.checkpoint()

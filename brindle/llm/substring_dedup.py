@@ -110,7 +110,7 @@ def _first_places(bits: int, homes: int):
 
     def rows(incoming):
         found = []
-        for bucket, kinds in packed.by_bucket(incoming).items():
+        for bucket, kinds in packed.by_bucket(incoming):
             for p in kinds.get(_ANSWER, ()):
                 yield bucket, _ANSWER, p
             entries = [(table, packed.from_planes(x)) for table, x in map(packed.unpack, kinds.get(_ENTRY, ()))]
@@ -246,7 +246,7 @@ def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> D
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
     homes = _prime(1 << bits)
     plain = packed.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = packed.dealt(plain.filter("doc_id is not null").mapInArrow(_occurrences(bits, homes, width), packed.SCHEMA), n)
+    found = packed.dealt(plain.filter("doc_id is not null").mapInArrow(_occurrences(bits, homes, width), packed.SCHEMA), n, bits)
     answers = found.mapInArrow(_first_places(bits, homes), packed.SCHEMA)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
     carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("boolean")
@@ -255,7 +255,7 @@ def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> D
     kind = texts.schema["rest"].dataType
     empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind).alias("rest")]
     both = answers.select("bucket", F.lit(0).alias("kind"), "payload", *empty).union(texts)
-    both = packed.dealt(both, n).sortWithinPartitions("bucket", "kind")
+    both = packed.dealt(both, n, bits, "kind")
     from pyspark.sql.pandas.types import to_arrow_type
 
     run = _removal(bits, width, with_text, to_arrow_type(kind))

@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+CHUNK_TEXTS = 4096
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -86,14 +87,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts(batch: pa.RecordBatch, text: str = "text", key: str = "doc_id", chunk: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """Cuts a batch between rows into parts of about chunk bytes; a longer text is a part of its own."""
+    """Cuts a batch between rows into parts of about chunk bytes and CHUNK_TEXTS texts; a longer text is a part of its own."""
     if not batch.num_rows:
         return
     data, at = string_buffers(batch.column(text))
     ids = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
     a, n = 0, len(ids)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + chunk, "right")) - 1)
+        b = min(n, a + CHUNK_TEXTS, max(a + 1, int(np.searchsorted(at, at[a] + chunk, "right")) - 1))
         yield Texts(ids[a:b], data[at[a] : at[b]], at[a : b + 1] - at[a], a)
         a = b
 
