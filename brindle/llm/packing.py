@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.packed import small_batches
-from brindle.llm.piece_cache import ByteLevel
+from brindle.llm.piece_cache import END_OF_TEXT, ByteLevel
 
 SIZE = 2048
 OPEN = 8
@@ -90,9 +90,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
 
 
-def _pack(ranks_file: str, pattern: str, size: int, most: int):
+def _pack(made_of: tuple, size: int, most: int):
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteLevel.held(ranks_file, pattern)
+        tokens = ByteLevel.held(*made_of)
         packer, made, held = Packer(size, most), TaskContext.get().partitionId() << 33, []
 
         def emit(w: Window) -> None:
@@ -117,14 +117,16 @@ def _pack(ranks_file: str, pattern: str, size: int, most: int):
     return run
 
 
-def pack_documents(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, most: int = OPEN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, most: int = OPEN, text: str = "text", key: str = "doc_id", special: tuple = END_OF_TEXT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Null and repeated keys are packed as documents of their
     own. No row gives no pieces. Extra columns are ignored. A text of any length is cut over as many
     sequences as it needs. The input's partitions decide which documents meet; the same partitions
     give the same pieces, so a task that runs again repeats itself. sequence_id is the partition's
-    number times 2 ** 33 plus a count. size is a power of two.
+    number times 2 ** 33 plus a count. Of windows that fit equally well, or are equally full, the one that was
+    opened first is taken. special are (string, id) pairs that the vocabulary adds to its ranks; they are single
+    tokens wherever they stand in a text. size is a power of two.
     """
     rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(ranks_file, pattern, size, most), PIECE)
+    return rows.mapInArrow(_pack((ranks_file, pattern, tuple(special)), size, most), PIECE)

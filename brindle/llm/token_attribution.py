@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.packed import small_batches
-from brindle.llm.piece_cache import ByteLevel
+from brindle.llm.piece_cache import END_OF_TEXT, ByteLevel
 
 RULES = ("first", "last", "most", "share")
 SECTIONS = ("table", "list", "shout", "prose", "blank")
@@ -81,11 +81,11 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tup
     return out, len(crossing)
 
 
-def _sections(ranks_file: str, pattern: str, rule: str):
+def _sections(made_of: tuple, rule: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), *[(f"tokens_{s}", pa.float64()) for s in SECTIONS]])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteLevel.held(ranks_file, pattern)
+        tokens = ByteLevel.held(*made_of)
         for batch in incoming:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -102,7 +102,7 @@ def _sections(ranks_file: str, pattern: str, rule: str):
     return run
 
 
-def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "most", text: str = "text", key: str = "doc_id") -> DataFrame:
+def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "most", text: str = "text", key: str = "doc_id", special: tuple = END_OF_TEXT) -> DataFrame:
     """doc_id, n_tokens of the whole text, n_crossing, and tokens_<section> of each kind of section.
 
     Sections are runs of lines of one kind (SECTIONS); a line feed belongs to the line before it. A null or
@@ -113,13 +113,14 @@ def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = "doc_id long, n_tokens long, n_crossing long, " + ", ".join(f"tokens_{s} double" for s in SECTIONS)
-    return rows.mapInArrow(_sections(ranks_file, pattern, rule), kind)
+    return rows.mapInArrow(_sections((ranks_file, pattern, tuple(special)), rule), kind)
 
 
-def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: str, rule: str = "most", between: str = "\n") -> DataFrame:
+def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: str, rule: str = "most", between: str = "\n", special: tuple = END_OF_TEXT) -> DataFrame:
     """rows with tokens_<field> of each field and n_tokens, n_crossing of all fields joined and encoded once.
 
-    Null fields count as empty and hold no tokens; each separator belongs to the field before it.
+    Null fields count as empty and hold no tokens; each separator belongs to the field before it. Columns of rows
+    that are named like a new one are replaced; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
@@ -129,7 +130,7 @@ def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: s
     def counted(*columns):
         import pandas as pd
 
-        tokens = ByteLevel.held(ranks_file, pattern)
+        tokens = ByteLevel.held(ranks_file, pattern, tuple(special))
         out = []
         for values in zip(*columns):
             values = [v or "" for v in values]
@@ -141,5 +142,9 @@ def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: s
             out.append((len(ids), crossing, n.tolist()))
         return pd.DataFrame(out, columns=["n_tokens", "n_crossing", "parts"])
 
-    c = rows.withColumn("__c", counted(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
-    return c.select(*rows.columns, "__c.n_tokens", "__c.n_crossing", *[F.col("__c.parts")[i].alias(f"tokens_{f}") for i, f in enumerate(fields)])
+    new = "counted"
+    while new in rows.columns:
+        new += "_"
+    c = rows.withColumn(new, counted(*[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]))
+    made = {"n_tokens": F.col(new)["n_tokens"], "n_crossing": F.col(new)["n_crossing"], **{f"tokens_{f}": F.col(new)["parts"][i] for i, f in enumerate(fields)}}
+    return c.select(*[F.col(f"`{x}`") for x in rows.columns if x not in made], *[v.alias(x) for x, v in made.items()])
