@@ -160,19 +160,23 @@ def ordinary_strings(words: list[str], n: int, seed: int = 20240612) -> list[str
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS) -> LikelihoodRatio:
-    """Fits both models to at most strings labelled strings each; words come from at most documents texts.
+    """Fits both models to at most strings labelled strings each; words come from about documents texts.
 
-    The bound is a parameter. The texts are those whose keys hash lowest, and of each at most 4000 characters.
+    Both bounds are parameters. The texts are those whose keys hash into that share of all rows, read whole in the
+    executors; only distinct words without long runs of hex digits reach the driver, and of these the
+    strings words that hash lowest.
     """
-    some = docs.filter("text is not null").select(F.substring("text", 1, 4000).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(documents).collect()
-    words = sorted({w for r in some for w in re.findall(r"[A-Za-z]{2,20}", r.text) if not _HEX_LONG.search(w)})
+    share = documents / max(1, docs.count())
+    some = docs.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
+    word = some.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,20}"), F.lit(0))).alias("word")).distinct()
+    word = word.filter(~F.col("word").rlike(_HEX_LONG.pattern)).orderBy(F.xxhash64("word"), "word").limit(strings)
+    words = sorted(r.word for r in word.collect())
     labelled = [(s, 1) for s in random_strings(strings)] + [(s, 0) for s in ordinary_strings(words, strings)]
     return LikelihoodRatio(labelled)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
-    # any key word of the pattern holds one of these; most texts hold none and skip the slow pattern
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= LEAST["assign"]:
             out.append(("assign", m.start(), m.end()))

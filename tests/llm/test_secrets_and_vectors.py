@@ -119,3 +119,27 @@ def test_keys_are_found_inside_runs_of_words():
     assert sum(found("", "".join(r.choices(letters, k=32))) for _ in range(200)) > 180  # letters only
     assert sum(found("0123456789abcdef" * 2 + "/", k) for k in keys) > 180  # the rest of a run that a fixed pattern touches
     assert not markov_spans(path * 20 + "1999-2024-06-11-12-30-45-678", [], model)
+
+
+def test_held_out_precision_and_recall_by_alphabet():
+    from brindle.llm.secret_scan import ALPHABET, LikelihoodRatio, base_spans, markov_spans, ordinary_strings, random_strings
+
+    words = "the of and table window customer order price stream token value index reader writer compress thinking".split()
+    model = LikelihoodRatio([(s, 1) for s in random_strings(8000)] + [(s, 0) for s in ordinary_strings(words, 8000)])
+    r = random.Random(31)
+    alphabets = {"letters and digits": ALPHABET[:62], "letters": ALPHABET[:52], "base64": ALPHABET[:64], "base32": ALPHABET[:26] + "234567", "upper hex": "0123456789ABCDEF"}
+    caught = lambda s: bool(markov_spans(s, base_spans(s), model) or base_spans(s))
+    for name, letters in alphabets.items():
+        for n, least in ((20, 0.6), (32, 0.85), (48, 0.9)):
+            keys = ["".join(r.choices(letters, k=n)) for _ in range(150)]
+            assert sum(map(caught, keys)) >= least * len(keys), (name, n, sum(map(caught, keys)))
+    plain = [s for s in ordinary_strings(words, 3000, seed=77) if len(s) >= 16]
+    assert sum(bool(markov_spans(s, base_spans(s), model)) for s in plain) <= 0.005 * len(plain)
+
+
+def test_scan_of_extra_columns_and_training_without_text_on_the_driver(spark):
+    from brindle.llm.secret_scan import scan, train
+
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} other{chr(98 + i % 20)}", 1, "s") for i in range(50)], "doc_id long, text string, n_hex long, spans string")
+    assert scan(docs).columns == ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"] and scan(docs).count() == 50
+    assert train(docs.filter("false")).value("plain") is not None
