@@ -76,7 +76,7 @@ def measure(t: words.Texts) -> list[np.ndarray]:
     cut = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate([lo, cut + 1])) if len(data) else lo[:0]
     start = start[start < len(data)]
-    end = np.append(start[1:], len(data))
+    end = np.append(start[1:], len(data))[: len(start)]
     end = np.where(data[end - 1] == 10, end - 1, end) if len(end) else end
     has_word = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end = start[has_word], end[has_word]

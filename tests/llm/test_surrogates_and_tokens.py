@@ -116,3 +116,19 @@ def test_field_tokens(spark):
     rows = spark.createDataFrame([("user", "hello there", None), (None, None, None), ("a", "", "tail words")], "role string, body string, note string")
     for x in field_tokens(rows, ["role", "body", "note"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "share").collect():
         assert abs(x.tokens_role + x.tokens_body + x.tokens_note - x.n_tokens) < 1e-9
+
+
+def test_sections_of_special_tokens_null_keys_and_nothing(spark):
+    from tokenizers import Tokenizer
+
+    from brindle.llm.token_attribution import field_tokens, section_tokens
+
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = ["a <|endoftext|> b\n- x<|endoftext|>", "A | b\n\nplain", "<|endoftext|>"]
+    docs = spark.createDataFrame([(None, t, 1) for t in texts] + [(7, texts[0], 1)] * 2, "doc_id long, text string, n_tokens long")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted(len(t.encode(x, add_special_tokens=False).ids) for x in [*texts, texts[0], texts[0]])
+    assert sorted(x.n_tokens for x in section_tokens(docs, *files).collect()) == want
+    assert section_tokens(docs.filter("false"), *files).count() == 0
+    clash = field_tokens(docs.withColumnRenamed("doc_id", "counted"), ["text"], *files)
+    assert sorted(x.n_tokens for x in clash.collect()) == want and clash.columns == ["counted", "text", "n_tokens", "n_crossing", "tokens_text"]

@@ -177,8 +177,9 @@ def test_packing_is_a_partition_of_all_ids(spark):
     from brindle.llm.packing import pack_documents
 
     rows = corpus(11, 70) + [(None, "no key", None, None, None, None, None)]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\n<|endoftext|> ", "<|endoftext", " <|endoftext|>\n\n z"]
+    rows += [(10_000 + i, t, None, None, None, None, None) for i, t in enumerate(special)]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in rows}
     got = pack_documents(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     at, places = Counter(), {}
@@ -211,3 +212,71 @@ def test_agenda_equals_the_library(spark):
     got = {x.doc_id: (x.ids, x.decoded) for x in encode_decode(frame(spark, rows), model).collect()}
     for k in want:
         assert got[k] == want[k], (k, got[k], want[k])
+
+
+def test_packing_of_nothing_and_of_repeated_keys(spark):
+    from brindle.llm.packing import pack_documents
+
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "one two", 5), (1, "one two", 6), (None, None, 7), (2, "", 8)], "doc_id long, text string, length long").coalesce(1)
+    assert pack_documents(docs.filter("false"), *files).count() == 0
+    got = pack_documents(docs, *files).collect()
+    assert sum(p.length for p in got) == 2 * 3 + 2 and [p.doc_id for p in got].count(1) >= 2 and {p.doc_tokens for p in got} == {3, 1}
+
+
+def test_packing_places_best_fit():
+    """Against a plain reading of the rule: least room left, the window opened first of equals."""
+    from brindle.llm.packing import Packer
+
+    r = random.Random(2)
+    for _ in range(50):
+        lengths = [r.randint(1, 40) for _ in range(60)]
+        packer, done = Packer(16, 3), []
+        for i, n in enumerate(lengths):
+            done += list(packer.take(i, b"abcd" * n))
+        windows, full = [], []
+        for i, n in enumerate(lengths):
+            at = 0
+            while at < n:
+                room = [w for w in windows if sum(p[2] for p in w) + n - at <= 16]
+                if room:
+                    w = min(room, key=lambda w: 16 - sum(p[2] for p in w))
+                elif len(windows) < 3:
+                    w = []
+                    windows.append(w)
+                else:
+                    w = min(windows, key=lambda w: 16 - sum(p[2] for p in w))
+                used = sum(p[2] for p in w)
+                m = min(n - at, 16 - used)
+                w.append((i, at, m, used))
+                at += m
+                if used + m == 16:
+                    windows = [x for x in windows if x is not w]
+                    full.append(w)
+        assert [[p[:4] for p in w.pieces] for w in done] == full
+
+
+def test_agenda_without_rows_or_keys(spark):
+    from brindle.llm.sp_agenda import encode_decode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, None, 3)], "doc_id long, text string, n_tokens long")
+    got = encode_decode(docs, model).collect()
+    assert sorted((x.doc_id is None, x.n_tokens > 0, x.decoded) for x in got) == [(False, False, ""), (True, True, "a b"), (True, True, "a b")]
+    assert encode_decode(docs.filter("false"), model).count() == 0
+
+
+def test_ledger_of_nothing_and_of_clashing_names(spark):
+    from brindle.llm import quality_ledger as L
+
+    docs = spark.createDataFrame([(None, "a b c " * 9, 3), (1, None, 4), (1, None, 4)], "doc_id long, text string, n_words long")
+    got = sorted((x.doc_id is None, x.n_words) for x in L.ledger(docs).collect())
+    assert got == [(False, 0), (False, 0), (True, 27)] and L.ledger(docs.filter("false")).count() == 0
+    assert L.quality_filter(docs).columns == docs.columns
+
+
+def test_jaccard_join_of_repeated_keys(spark):
+    from brindle.llm.jaccard_join import jaccard_join
+
+    docs = spark.createDataFrame([(4, "a b c d e f g", "x"), (4, "a b c d e f g", "y"), (9, "A b c d e f g", "z"), (None, "a b c d e f g", "z")], "doc_id long, text string, component_id string")
+    assert sorted(tuple(x) for x in jaccard_join(docs)[0].collect()) == [(4, 3, 4), (4, 3, 4), (9, 3, 4)]
