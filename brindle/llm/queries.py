@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SURROGATE_KEY = "key of the synthetic tables"  # who has data to hide passes one of their own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +30,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.surrogates import replace_private
 
-    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

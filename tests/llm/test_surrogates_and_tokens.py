@@ -15,7 +15,7 @@ def replaced(spark, texts, **more):
     from brindle.llm.surrogates import replace_private
 
     rows = [(i, t, "x", "k") for i, t in enumerate(texts)]
-    out = replace_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars string, key string"), **more)
+    out = replace_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars string, key string"), **{"secret": "k1"} | more)
     assert out.columns == ["doc_id", "text", "n_chars", "key", "n_replaced"]
     return {r.doc_id: (r.text, r.n_replaced) for r in out.collect()}
 
@@ -59,7 +59,95 @@ def test_collisions_are_resolved(spark):
 def test_nothing(spark):
     from brindle.llm.surrogates import replace_private
 
-    assert replace_private(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert replace_private(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+    with pytest.raises(ValueError):
+        replace_private(spark.createDataFrame([], "doc_id long, text string"), "")
+    clash = spark.createDataFrame([(None, "a@b.cc", 1, 2), (None, None, 1, 2), (3, "a@b.cc", 1, 2), (3, "a@b.cc", 1, 2)], "doc_id long, text string, n_replaced int, n_replaced_now int")
+    got = replace_private(clash, "k")
+    assert got.columns[-1] == "n_replaced_now_now" and sorted(x[-1] for x in got.collect()) == [0, 1, 1, 1] and {(x[2], x[3]) for x in got.collect()} == {(1, 2)}
+
+
+def test_known_names_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mr. John Smith called. Smith said that John Smith would pay. SMITH paid; Smith's cheque, John's word. Smithson did not.",
+        "Dr. Anna Weber and Prof. Dr. Weber met Ms J. R. Keller. Weber left, Keller stayed.",
+        "Smith and Weber are no names here without a title.",
+    ]
+    got = replaced(spark, texts)
+    one = got[0][0]
+    assert not re.search(r"Smith(?!son)|SMITH|John", one) and "Smithson did not." in one
+    m = re.fullmatch(r"Mr\. (\w+ton) (\w+) called\. (\w+) said that (\w+) (\w+) would pay\. (\w+) paid; (\w+)'s cheque, (\w+)'s word\. Smithson did not\.", one)
+    assert m and m[2] == m[3] == m[5] == m[7] and m[1] == m[4] == m[8] and m[6] == m[2].upper() and got[0][1] == 7
+    m = re.fullmatch(r"Dr\. (\w+en) (\w+) and Prof\. Dr\. (\w+) met Ms (\w+)\. (\w+) left, (\w+) stayed\.", got[1][0])
+    assert m and m[2] == m[3] == m[5] and m[4] == m[6] and "Weber" not in got[1][0]
+    assert got[2] == (texts[2], 0)
+
+
+def test_phones_and_check_digits(spark):
+    def valid(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    texts = ["call 555 123 4567 or 0171 2345678", "pay GB82WEST12345698765432 now", "pay GB83WEST12345698765432 now", "rows 123 456 7890 1 and 1 555 123 4567"]
+    got = replaced(spark, texts)
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} or \d{4} \d{7}", got[0][0]) and got[0][1] == 2 and "555 123 4567" not in got[0][0]
+    a, b = (got[i][0].split()[1] for i in (1, 2))
+    assert valid("GB82WEST12345698765432") and valid(a) and a[:2] == "GB" and a != "GB82WEST12345698765432" and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", a)
+    assert not valid("GB83WEST12345698765432") and b != "GB83WEST12345698765432"
+    assert got[3] == (texts[3], 0)  # parts of longer rows of numbers
+
+
+def test_detection_and_surrogates_by_brute_force(spark):
+    import regex
+
+    from brindle.llm import surrogates as S
+
+    r = random.Random(12)
+    parts = ["a.b@c.example", "10.1.2.3", "999.1.1.1", "Mr. Ada Lovelace", "Frau Noll", "Noll", "Ada", "123-45-6789", "+49 171 2345678", "555-123-4567", "4111 1111 1111 1111", "DE89370400440532013000", "word", "Mr", "12", ".", ",", "\n", "Dr. Prof. X", "é", "(555) 123-4567"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(150)]
+    got = replaced(spark, texts)
+    pattern = regex.compile(S.PATTERN)
+    bare = regex.compile(S.BARE)
+    keys, cut = set(), {}
+
+    def key(raw):
+        kind = next((k for k, p in S.KINDS if regex.fullmatch(p, raw)), "email" if "@" in raw else "card")
+        if kind != "name":
+            return kind, f"{kind}{S.MARK}" + (raw.lower() if kind == "email" else re.sub("[^0-9]", "", raw) if kind in S.DIGITS else raw), None
+        words = regex.sub(f"^{S.TITLES}{S.INITIALS}", "", raw).split(" ")
+        gender = "f" if regex.match(rf"(?:{S.TITLES})?(?:{S.FEMALE})\.? ", raw) else "m" if regex.match(rf"(?:{S.TITLES})?(?:{S.MALE})\.? ", raw) else "n"
+        return kind, f"family{S.MARK}{words[-1]}", f"given_{gender}{S.MARK}{words[0]}" if len(words) > 1 else None
+
+    for i, t in enumerate(texts):
+        cut[i] = [key(m.group()) + (m.group(),) for m in pattern.finditer(t)], pattern.split(t)
+        keys |= {k for e in cut[i][0] for k in e[1:3] if k}
+    table = {x.k: x.s for x in S.surrogate_table(spark.createDataFrame([(k,) for k in keys], "k string"), "k1").collect()}
+    assert len(set(table.values())) == len(keys)
+
+    def written(kind, a, b, raw):
+        if kind in S.DIGITS:
+            digits = iter(table[a])
+            return "".join(next(digits) if c.isascii() and c.isdigit() else c for c in raw)
+        if kind == "name":
+            return regex.match(S.TITLES, raw).group() + " ".join([table[k] for k in (b, a) if k])
+        return table[a].upper() if raw.upper() == raw and raw.lower() != raw else table[a]
+
+    for i, t in enumerate(texts):
+        found, gaps = cut[i]
+        names = {k.split(S.MARK)[1]: table[k] for e in reversed(found) for k in (e[2], e[1]) if k and e[0] == "name"}
+        n = len(found) + sum(w in names for g in gaps for w in bare.findall(g))
+        gaps = [bare.sub(lambda m: names.get(m.group(), m.group()), g) for g in gaps] if names else gaps
+        want = gaps[0] + "".join(written(*e) + g for e, g in zip(found, gaps[1:]))
+        assert got[i] == (want, n), t
+
+
+def test_surrogates_of_a_dense_form_need_rounds(spark):
+    from brindle.llm import surrogates as S
+
+    keys = [f"ip{S.MARK}192.168.{i}.{j}" for i in range(120) for j in range(1, 255)]  # about half of all that are free
+    got = S.surrogate_table(spark.createDataFrame([(k,) for k in keys], "k string"), "key").collect()
+    out = [x.s for x in got]
+    assert len(out) == len(set(out)) == len(keys) and not any(x.startswith("[") for x in out)
+    assert not {f"ip{S.MARK}{x}" for x in out} & set(keys)
 
 
 def brute_sections(text, tokens, rule):
