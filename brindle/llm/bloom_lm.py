@@ -42,8 +42,8 @@ END = U64(0x8D58AC26AFE12E47)
 BEGIN = U64(0x5BD1E9955BD1E995)
 _UNI, _PAIR, _SLICE, _STAT, _DOC, _ENTRY, _PART = range(7)
 _C = U64(0x9FB21C651E98DF25)
-#: a pair in its bucket is known by so many bits of its hash
-PAIR_BITS = 40
+#: a pair in its bucket is known by so many bits of its hash; of a million pairs there one in 4,000 shares them
+PAIR_BITS = 32
 _PAIR_BYTES = PAIR_BITS // 8
 _LOW = U64((1 << PAIR_BITS) - 1)
 #: fixed-point places of the sums that buckets send back: exact parts, and those that rest on quantised counts
@@ -96,7 +96,8 @@ class LogFrequencyFilter:
             yield self.probe(r, i)
 
     def probe(self, r: np.ndarray, i: int) -> np.ndarray:
-        return (((r & U64(0xFFFFFFFF)) + U64(i) * ((r >> U64(32)) | U64(1))) % U64(self.size)).astype(np.int64)
+        h = ((r & U64(0xFFFFFFFF)) + U64(i) * ((r >> U64(32)) | U64(1))) & U64(0xFFFFFFFF)
+        return ((h * U64(self.size)) >> U64(32)).astype(np.int64)
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         found = np.zeros(len(key), dtype=np.int64)
@@ -317,11 +318,11 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame, int]:
 
 
 def _distinct(key: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys, how many documents have each, those documents, which have it more than once and how often.
+    """Sorted distinct keys, how many documents have each, those documents, and how often each of them has it.
 
-    last is any number known by a key; that of each distinct key comes last.
+    Documents come in ascending order. last is any number known by a key; that of each distinct key comes last.
     """
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable")
     key, doc, last = key[order], doc[order], last[order]
     begins = np.flatnonzero(words.first_of_run(key, doc))
     often = np.diff(np.append(begins, len(key)))
@@ -343,11 +344,12 @@ class _Group:
         a, z = self.part.get(bucket, (0, 0))
         return self.doc[self.at[a] : self.at[z]]
 
-    def packed(self, bucket: int, used: np.ndarray) -> tuple[np.ndarray, ...]:
+    def packed(self, bucket: int, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """place: of each document among those that the bucket hears of."""
         a, z = self.part.get(bucket, (0, 0))
         of, often = slice(self.at[a], self.at[z]), self.often[self.at[a] : self.at[z]]
         more = np.flatnonzero(often > 1)
-        local = np.searchsorted(used, self.doc[of]).astype(np.uint64)
+        local = place[self.doc[of]]
         return packed.planes(self.key[a:z], self.width), _small(self.in_docs[a:z]), packed.planes(local, 2), more.astype(np.uint32), _small(often[more]), self.last[a:z]
 
 
@@ -401,10 +403,12 @@ def _score(held, bits: int):
         of = np.searchsorted(rare.key, tok) - np.array([a for a, _ in rare.part.values()], dtype=np.int64)[np.searchsorted(list(rare.part), (tok >> U64(64 - bits)).astype(np.int64))] if len(tok) else tok.astype(np.int64)
         near = _Group(x, doc, of, PAIR_BITS, _PAIR_BYTES)
         far = _Group(*joined(far), PAIR_BITS, _PAIR_BYTES)
+        place = np.zeros(sum(len(d[0]) for d in docs), dtype=np.uint64)
         for b in sorted(rare.part.keys() | near.part.keys() | far.part.keys()):
             used = np.unique(np.concatenate([g.documents(b) for g in (rare, near, far)]))
-            n = near.packed(b, used)
-            yield b, _ENTRY, packed.pack(np.array([name]), packed.planes(used.astype(np.uint64), 2), *rare.packed(b, used)[:5], *n[:5], packed.planes(n[5].astype(np.uint64), 4), *far.packed(b, used))
+            place[used] = np.arange(len(used))
+            n = near.packed(b, place)
+            yield b, _ENTRY, packed.pack(np.array([name]), packed.planes(used.astype(np.uint64), 2), *rare.packed(b, place)[:5], *n[:5], packed.planes(n[5].astype(np.uint64), 4), *far.packed(b, place))
 
     return run
 
@@ -444,18 +448,21 @@ def _probe(held, bits: int):
                 continue
             x, n = counts(kinds[_UNI][0]) if _UNI in kinds else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
             seen = LogFrequencyFilter(packed.unpack(kinds[_SLICE][0])[0]) if _SLICE in kinds else LogFrequencyFilter(np.zeros(8, dtype=np.uint8))
-            for p in kinds[_ENTRY]:
-                cols = packed.unpack(p)
+            cells = [packed.unpack(p) for p in kinds.pop(_ENTRY)]
+            found = {}
+            for at in (7, 13):  # all pairs of the bucket are probed at once
+                keys = [packed.from_planes(c[at], _PAIR_BYTES) for c in cells]
+                found[at] = np.split(seen.counts(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
+            for cols, both_near, both_far in zip(cells, found[7], found[13]):
                 name, used, rare, near, of, far, code = cols[0], cols[1], cols[2:7], cols[7:12], cols[12], cols[13:18], cols[18]
                 docs = len(used) // 2
                 word = packed.from_planes(rare[0])
                 c, _ = look_up(x, n, word)
                 base, sure, delta = spread(rare, docs, np.log10(c + 1.0), c > 0, np.where(word == END, 0.0, -fallen(c)))
                 word = c[packed.from_planes(of, 4).astype(np.int64)]
-                both = np.minimum(seen.counts(packed.from_planes(near[0], _PAIR_BYTES)), word)
-                delta += spread(near, docs, model.gain(both, word))[0]
+                delta += spread(near, docs, model.gain(np.minimum(both_near, word), word))[0]
                 word = model.decoded(code)
-                delta += spread(far, docs, model.gain(np.minimum(seen.counts(packed.from_planes(far[0], _PAIR_BYTES)), word), word))[0]
+                delta += spread(far, docs, model.gain(np.minimum(both_far, word), word))[0]
                 home = int(words.mix(name.astype(np.uint64))[0] >> U64(64 - bits))
                 yield home, _PART, packed.pack(name, used, _fixed(base, EXACT), _small(sure.astype(np.int64)), _fixed(delta, ROUGH))
 

@@ -11,6 +11,7 @@ import ctypes
 import gc
 import re
 import struct
+import time
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -135,9 +136,14 @@ def dealt(df: DataFrame, n: int, bits: int, *then: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to, which else stay until the driver's heap fills."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that nothing refers to, which else stay until the driver's heap fills.
+
+    References go in turns (Python's, the bridge's, those of the last events), so one collection isn't enough.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
