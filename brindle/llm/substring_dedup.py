@@ -237,6 +237,7 @@ def remaining(data: np.ndarray, start: np.ndarray, gone: np.ndarray) -> str:
 def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, with_text, all columns of docs with text reduced.
 
+    Columns of docs keep their names; a new one whose name is taken gets "_now" behind it, as often as it must.
     kept_sha256 is of the kept words joined by one space. The reduced text loses each removed word
     and the white space after it; a text that loses nothing stays as it is, null included. Null and
     empty texts have no words; texts of fewer than width words lose nothing. A row with a null doc_id
@@ -264,7 +265,14 @@ def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> D
         return both.mapInArrow(run, schema)
     out = both.mapInArrow(run, schema + f", text string, rest {kind.simpleString()}")
     back = [F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(rest)]
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "text", *back)
+    new = [F.col(c).alias(_free(c, docs.columns)) for c in ("n_words", "n_removed", "kept_sha256")]
+    return out.select("doc_id", *new, "text", *back)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_now"
+    return name
 
 
 class SuffixAutomaton:
@@ -327,7 +335,8 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, width: int = W
 
     The reference is read to the driver only after its words are counted: above REFERENCE_WORDS this
     raises, and ``self_dedup`` over the union is the way to go. Shards of SHARD_WORDS words become
-    one broadcast automaton each. Null texts stay null with 0 removed; other columns are kept.
+    one broadcast automaton each. Null texts stay null with 0 removed; other columns are kept, and where one is
+    called n_removed, the new one is n_removed_now. An empty reference removes nothing.
     """
     spark = docs.sparkSession
     counted = reference.agg(F.coalesce(F.sum(F.size(F.split(F.col(reference_text), r"[\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
@@ -358,8 +367,9 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, width: int = W
             out.append((value if not gone else " ".join(x for i, x in enumerate(sequence) if i not in gone), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_removed"])
 
-    s = docs.withColumn("__s", stream(F.col(text)))
-    return s.withColumn(text, F.col("__s.text")).withColumn("n_removed", F.col("__s.n_removed")).drop("__s")
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    s = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]).withColumn("found", stream(F.col(names[text])))
+    return s.select(*[(F.col("found.text") if c == text else F.col(x)).alias(c) for c, x in names.items()], F.col("found.n_removed").alias(_free("n_removed", docs.columns)))
 
 
 def split_words(value: str) -> list[str]:

@@ -56,3 +56,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     for k in want:
         mine = sorted((p.start, p.length, p.doc_tokens) for p in pieces if p.doc_id == k)
         assert mine[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:])) and mine[-1][0] + mine[-1][1] == mine[0][2]
+
+
+def test_stages_of_nulls_nothing_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = " ".join(f"plain{i} word{i * 7}" for i in range(30))
+    more = " ".join(f"other{i} thing{i * 5}" for i in range(30)) + " mail a.b@mail.example.com"
+    rows = [(1, text, "en", "s", 5, 7, "k", 1), (2, text, "en", "s", 5, 7, "k", 1), (2, more, "en", "s", 5, 7, "k", 1), (None, more + " x", "en", None, 5, 7, "k", 1), (4, None, None, "s", None, None, None, None), (5, "", "en", "s", 0, 0, "", 0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept_sha256 string, n_replaced int"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all((r.n_words, r.kept_sha256, r.n_replaced) in {(7, "k", 1), (None, None, None), (0, "", 0)} for r in got), name
+        assert stage(spark, docs.filter("false"), "").count() == 0, name
+    assert sorted(str(r.doc_id) for r in P.quality_rules(spark, docs, "").collect()) == ["1", "2", "2", "None"]
+    assert sorted(str(r.doc_id) for r in P.near_duplicates(spark, docs.filter("doc_id <> 2 or text = '" + text + "'"), "").collect()) == ["1", "4", "5"]
+    assert len(P.private_data(spark, docs, "").filter("text like '%mail.example.com%'").collect()) == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() > 0
+    docs.filter("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0

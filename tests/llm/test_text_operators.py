@@ -280,3 +280,15 @@ def test_jaccard_join_of_repeated_keys(spark):
 
     docs = spark.createDataFrame([(4, "a b c d e f g", "x"), (4, "a b c d e f g", "y"), (9, "A b c d e f g", "z"), (None, "a b c d e f g", "z")], "doc_id long, text string, component_id string")
     assert sorted(tuple(x) for x in jaccard_join(docs)[0].collect()) == [(4, 3, 4), (4, 3, 4), (9, 3, 4)]
+
+
+def test_spans_beside_columns_of_the_same_names(spark):
+    from brindle.llm.substring_dedup import remove_reference_spans, self_dedup
+
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = spark.createDataFrame([(1, text, 4, "a"), (2, "x " + text, 5, "b"), (2, None, 6, None)], "doc_id long, text string, n_removed long, found string")
+    out = self_dedup(docs)
+    assert sorted((r.doc_id, r.n_removed, r.n_removed_now) for r in out.collect()) == [(1, 4, 0), (2, 5, 25), (2, 6, 0)]
+    out = remove_reference_spans(docs, docs.filter("doc_id = 1"))
+    assert out.columns == [*docs.columns, "n_removed_now"] and sorted((r.n_removed, r.n_removed_now) for r in out.collect()) == [(4, 25), (5, 25), (6, 0)]
+    assert remove_reference_spans(docs, docs.filter("false")).filter("n_removed_now > 0").count() == 0
