@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 #: the added token of the byte-level vocabulary of 50,257 ids, which its rank file leaves out
 END_OF_TEXT = (("<|endoftext|>", 50256),)
 _HELD: dict = {}
