@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def row_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(digest): SHA-256 of each row as compact JSON with sorted keys."""
+def json_lines(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(key, json): each row's columns as compact JSON with sorted keys, numbers as Python writes them."""
+    import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def digest(frame):
-        import pandas as pd
+    def plain(v):
+        return v if v is None or isinstance(v, str | int | float | bool) else str(v)
 
-        def plain(v):
-            if v is None or v is pd.NaT or isinstance(v, float) and v != v:
-                return None
-            return v.item() if hasattr(v, "item") else v if isinstance(v, str | int | float | bool) else str(v)
+    def run(batches):
+        for b in batches:
+            records = b.select(columns).to_pylist()
+            text = [json.dumps({k: None if isinstance(v, float) and v != v else plain(v) for k, v in r.items()}, sort_keys=True, separators=(",", ":")) for r in records]
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(text, pa.string())], names=["key", "json"])
 
-        records = frame.astype(object).to_dict("records")
-        return pd.Series([hashlib.sha256(json.dumps({k: plain(v) for k, v in r.items()}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for r in records])
+    keyed = rows.select(*columns, F.col(key).alias("_k"))
+    return keyed.mapInArrow(run, f"key {dict(rows.dtypes)[key]}, json string")
 
-    return rows.select(digest(F.struct(*columns)).alias("digest"))
+
+def row_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(digest): SHA-256 of each row as compact JSON with sorted keys."""
+    return json_lines(rows, columns, columns[0]).select(F.sha2("json", 256).alias("digest"))
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,6 +41,22 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256).alias("fingerprint"))
 
 
-def sequential_fingerprint(records: list[dict], key: str) -> str:
-    """The fingerprint of one canonical JSON list in key order, for tables that fit a report."""
-    return hashlib.sha256(json.dumps(sorted(records, key=lambda r: r[key]), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def canonical_fingerprint(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """One row: SHA-256 of all rows as one compact JSON list with sorted keys, in the order of key, as reports publish it.
+
+    A digest of one text is sequential: rows are made and sorted in the cluster, and one task streams through their JSON
+    in constant memory. For tables too large for that, fingerprint() is the way.
+    """
+    import pyarrow as pa
+
+    def digest(batches):
+        h, first = hashlib.sha256(b"["), True
+        for b in batches:
+            for text in b.column("json").to_pylist():
+                h.update(text.encode() if first else b"," + text.encode())
+                first = False
+        h.update(b"]")
+        yield pa.RecordBatch.from_pydict({"fingerprint": [h.hexdigest()]})
+
+    lines = json_lines(rows, columns, key)
+    return lines.repartition(1).sortWithinPartitions("key").select("json").mapInArrow(digest, "fingerprint string")

@@ -137,4 +137,5 @@ def display_path(path: Column, root: str) -> Column:
 
 
 def seeded_rank(seed: int, namespace: str, value: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(namespace), value.cast("string")), 256)
+    """The digest by which a seed orders values within a namespace."""
+    return F.sha2(F.concat_ws("\x00", F.lit(str(seed)), F.lit(namespace), value.cast("string")), 256)

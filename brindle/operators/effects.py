@@ -55,27 +55,37 @@ def primary_purpose(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*FILE).agg(F.min_by("label", "position").alias("primary_purpose"))
 
 
-def effect_summary(analyses: DataFrame, events: DataFrame, paths: DataFrame) -> DataFrame:
+def effect_summary(analyses: DataFrame, events: DataFrame, paths: DataFrame, lexical: bool = False) -> DataFrame:
     """One row per file: entry points, origins, destinations, transformations, flows and purpose candidates.
 
-    What only the syntax tree tells (main guards, functions, what guards reach, code-transforming calls) comes from analyses.
+    What only the text tells (main guards, functions, what guards reach, code-transforming calls) comes from analyses.
+    Those of the lexical frontend are read more narrowly: a file that can be called is so only where nothing else enters
+    it, and local pipelines count only where a guard calls them.
     """
     pipelines = local_pipelines(events).groupBy(*FILE).agg(F.collect_set("function").alias("pipelines"))
     early = import_time_effects(events, analyses.select(*FILE, F.explode("guards").alias("g")).select(*FILE, "g.first", "g.last")).withColumn("early", F.lit(True))
     ops = events.groupBy(*FILE).agg(F.collect_set("op").alias("ops"))
     found = purpose_candidates(paths, events).groupBy(*FILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "confidence", "reason", "lines"))), lambda x: F.struct(x["label"].alias("label"), x["confidence"].alias("confidence"), x["reason"].alias("reason"), x["lines"].alias("lines"))).alias("candidates"))
-    j = analyses.select(*FILE, "guards", "functions", "main_functions", "anchors")
+    j = analyses.select(*FILE, "guards", "functions", "main_functions", "anchors", "anchor_lines")
+    if lexical:
+        io = events.filter(F.col("op").isin("FILE_READ", "FILE_WRITE")).groupBy(*FILE).agg(F.collect_set(F.struct("function", F.col("line").cast("int").alias("line"))).alias("io"))
+        j = j.join(io, FILE, "left")
     for part in (origin_sets(events), flows(paths), pipelines, early, ops, found):
         j = j.join(part, FILE, "left")
     none = F.array().cast("array<string>")
     guarded, anchored = F.size("guards") > 0, F.size("anchors") >= 2
     mine = F.coalesce("pipelines", none)
     reached = F.size(F.array_intersect(mine, F.col("main_functions"))) > 0
-    local = reached | ~guarded & (F.size(mine) > 0)
-    entry = F.filter(F.array(F.when(guarded, "explicit-cli"), F.when(F.col("early"), "import-time-effects"), F.when(~guarded & (F.size("functions") > 0), "library-callable")), lambda x: x.isNotNull())
+    local = reached if lexical else reached | ~guarded & (F.size(mine) > 0)
+    callable_ = ~guarded & (F.size("functions") > 0) & (F.col("early").isNull() if lexical else F.lit(True))
+    entry = F.filter(F.array(F.when(guarded, "explicit-cli"), F.when(F.col("early"), "import-time-effects"), F.when(callable_, "library-callable")), lambda x: x.isNotNull())
     blocked = F.arrays_overlap(F.coalesce("ops", none), F.array(*map(F.lit, V.TRANSFORM_BLOCKERS)))
     transformer = local & anchored & ~blocked & F.col("candidates").isNull()
-    own = F.struct(F.lit("local-code-transformer").alias("label"), F.when(guarded & reached, "high").otherwise("medium").alias("confidence"), F.lit("a local file pipeline is combined with code transformations").alias("reason"), F.array().cast("array<int>").alias("lines"))
+    lines, sure = F.array().cast("array<int>"), F.when(guarded & reached, "high").otherwise("medium")
+    if lexical:
+        touched = F.transform(F.filter(F.coalesce("io", F.array().cast("array<struct<function:string,line:int>>")), lambda x: F.array_contains(F.array_intersect(mine, F.col("main_functions")), x["function"])), lambda x: x["line"])
+        lines, sure = F.slice(F.array_sort(F.array_union(touched, F.col("anchor_lines"))), 1, 12), F.lit("medium")
+    own = F.struct(F.lit("local-code-transformer").alias("label"), sure.alias("confidence"), F.lit("a local file pipeline is combined with code transformations").alias("reason"), lines.alias("lines"))
     kind = found.schema["candidates"].dataType.simpleString()
     return j.select(
         *FILE, F.when(F.size(entry) > 0, entry).otherwise(F.array(F.lit("module-import"))).alias("entrypoints"), F.coalesce("data_origins", none).alias("data_origins"), F.coalesce("data_destinations", none).alias("data_destinations"),

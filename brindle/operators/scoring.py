@@ -105,43 +105,48 @@ def context_max(rows: DataFrame) -> DataFrame:
     return _targets(rows, _top(best, CONTEXT, 4).groupBy("target_id").agg(F.max("score").alias("score")))
 
 
-def _covered(rows: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
-    """(context, path, event_index, kind, name): events that paths of a context cover."""
-    p = rows.filter("covered is not null")
-    p = p if kinds is None else p.filter(F.col("kind").isin(*kinds))
-    return p.select(*CONTEXT, "kind", "name", "path", F.explode("covered").alias("event_index")).distinct()
+def _groups(rows: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
+    """One row per (context, kind, name): best score, the strongest event that paths of these kinds cover, and kept.
 
-
-def _groups(rows: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Path groups with their best score and strongest covered event; event groups that keep an uncovered event."""
-    mine = rows.filter("event_index is not null").select(*CONTEXT, "path", "event_index", F.col("score").alias("event_score"))
-    strongest = covered.join(mine, [*CONTEXT, "path", "event_index"]).groupBy(*CONTEXT, "kind", "name").agg(F.max("event_score").alias("strongest"))
-    paths = rows.filter("covered is not null").groupBy(*CONTEXT, "kind", "name").agg(F.max("score").alias("score")).join(strongest, [*CONTEXT, "kind", "name"], "left")
-    free = rows.filter("kind = 'event'").join(covered.select(*CONTEXT, "path", "event_index").distinct(), [*CONTEXT, "path", "event_index"], "left_anti")
-    score = rows.filter("kind = 'event'").groupBy(*CONTEXT, "name").agg(F.max("score").alias("score"))
-    events = score.join(free.select(*CONTEXT, "name").distinct(), [*CONTEXT, "name"], "left_semi").withColumn("kind", F.lit("event"))
-    return paths, events
+    Events and what covers them meet once, by event; then one aggregate makes the groups. Event groups are kept where
+    some event of theirs is not covered; path groups always.
+    """
+    own = rows.filter("event_index is not null").select(*CONTEXT, "path", "event_index", F.col("score").alias("event_score"), F.col("name").alias("event"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"))
+    paths = rows.filter("covered is not null")
+    covering = paths if kinds is None else paths.filter(F.col("kind").isin(*kinds))
+    cover = covering.select(*CONTEXT, "path", F.explode("covered").alias("event_index"), F.lit(None).cast("double").alias("event_score"), F.lit(None).cast("string").alias("event"), "kind", "name")
+    met = own.unionByName(cover).groupBy(*CONTEXT, "path", "event_index").agg(
+        F.max("event_score").alias("event_score"), F.max("event").alias("event"), F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("kind", "name"))).alias("by"),
+    )
+    none, zero = F.lit(None).cast("double"), F.lit(0)
+    part = lambda kind, name, score, strongest, free: F.struct(kind.alias("kind"), name.alias("name"), score.alias("score"), strongest.alias("strongest"), free.alias("free"))
+    event = F.when(F.col("event").isNotNull(), F.array(part(F.lit("event"), F.col("event"), F.col("event_score"), none, (F.size("by") == 0).cast("int"))))
+    covered = F.transform("by", lambda x: part(x["kind"], x["name"], none, F.col("event_score"), zero))
+    spread = met.select(*CONTEXT, F.explode(F.concat(F.coalesce(event, F.array().cast("array<struct<kind:string,name:string,score:double,strongest:double,free:int>>")), covered)).alias("g")).select(*CONTEXT, "g.*")
+    # events under an analysis limit have no index, and no path covers them
+    bare = rows.filter("event_index is null and covered is null").select(*CONTEXT, "kind", "name", "score", none.alias("strongest"), F.lit(1).alias("free"))
+    whole = paths.select(*CONTEXT, "kind", "name", "score", none.alias("strongest"), F.lit(1).alias("free"))
+    g = spread.unionByName(bare).unionByName(whole).groupBy(*CONTEXT, "kind", "name")
+    return g.agg(F.max("score").alias("score"), F.coalesce(F.max("strongest"), F.lit(0.0)).alias("strongest"), F.max("free").alias("free")).filter("free = 1 and score is not null").drop("free")
 
 
 def context_cover(rows: DataFrame) -> DataFrame:
     """Strong paths absorb the events they cover and count at least as much as the strongest of them."""
-    paths, events = _groups(rows, _covered(rows, STRONG))
-    both = paths.select(*CONTEXT, F.greatest("score", F.coalesce("strongest", F.lit(0.0))).alias("score")).unionByName(events.select(*CONTEXT, "score"))
-    return _targets(rows, _top(both, CONTEXT, 4).groupBy("target_id").agg(F.max("score").alias("score")))
+    best = _groups(rows, STRONG).select(*CONTEXT, F.greatest("score", "strongest").alias("score"))
+    return _targets(rows, _top(best, CONTEXT, 4).groupBy("target_id").agg(F.max("score").alias("score")))
 
 
 def contributions(rows: DataFrame) -> DataFrame:
     """What each kind of evidence adds to its context under the causal strategy."""
-    paths, events = _groups(rows, _covered(rows, None))
     exact = F.max(F.col("kind").isin(*EXACT).cast("int")).over(Window.partitionBy(*CONTEXT, "name")) == 1
-    strongest = F.coalesce("strongest", F.lit(0.0))
+    strongest = F.col("strongest")
     score = (
         F.when(F.col("kind") == "proximity", F.col("score") + strongest)
         .when((F.col("kind") == "structural") & (F.col("name") == "destructive_file_action"), F.when(strongest > 0, strongest).otherwise(F.col("score")))
-        .otherwise(F.greatest("score", strongest))
+        .otherwise(F.greatest("score", "strongest"))
     )
-    p = paths.withColumn("dominated", (F.col("kind") == "proximity") & exact).filter(~F.col("dominated")).select(*CONTEXT, "kind", "name", score.alias("score"))
-    return p.unionByName(events.select(*CONTEXT, "kind", "name", "score"))
+    g = _groups(rows, None).withColumn("dominated", (F.col("kind") == "proximity") & exact).filter(~F.col("dominated"))
+    return g.select(*CONTEXT, "kind", "name", score.alias("score"))
 
 
 def context_causal(rows: DataFrame) -> DataFrame:

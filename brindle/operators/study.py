@@ -45,6 +45,23 @@ def operating_points(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return E._rates(d, [])
 
 
+def holdout_report(pairs: DataFrame, baseline: float, candidate: float, least_groups: int = 450, confidence: float = 0.975, limit: float = 0.01) -> DataFrame:
+    """One row per system and one row of both: alerts of benign groups, exact upper bounds, and whether the candidate passes.
+
+    pairs have group_id, b_score and c_score. A group alerts where any of its rows does.
+    """
+    g = pairs.groupBy("group_id").agg(F.max("b_score").alias("b"), F.max("c_score").alias("c"))
+    b, c = F.col("b") >= baseline, F.col("c") >= candidate
+    r = g.agg(F.count("*").alias("n"), F.count_if(b).alias("kb"), F.count_if(c).alias("kc"), F.count_if(b & ~c).alias("only_b"), F.count_if(~b & c).alias("only_c"), F.count_if(b & c).alias("both"), F.max("b").alias("mb"), F.max("c").alias("mc")).first()
+    upper = lambda k: S.clopper_pearson_upper(k, r.n, confidence) if r.n else 1.0
+    passed = r.n >= least_groups and r.kc == 0 and upper(r.kc) < limit
+    none = r.n - r.only_b - r.only_c - r.both
+    rows = [("baseline", baseline, r.kb, r.n, upper(r.kb), r.mb, None), ("candidate", candidate, r.kc, r.n, upper(r.kc), r.mc, passed)]
+    counts = [(r.only_b, r.only_c, r.both, none)] * 2
+    schema = "system string, threshold double, alert_groups long, `groups` long, fpr_upper_bound double, maximum_score double, passed boolean, baseline_only long, candidate_only long, both long, neither long"
+    return pairs.sparkSession.createDataFrame([(*a, *c) for a, c in zip(rows, counts)], schema)
+
+
 def holdout_decision(rows: DataFrame, threshold: float, least_groups: int = 450, confidence: float = 0.975, limit: float = 0.01) -> dict:
     """Whether benign holdout groups pass: enough of them, no alert, and an exact upper bound under the limit."""
     r = group_maxima(rows).filter("label = 0").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= threshold).alias("k")).first()

@@ -9,6 +9,7 @@ from brindle.functions import tokens as T
 from brindle.functions import vocabulary as W
 from brindle.operators import effects, models, patterns, scoring, support
 from brindle.plans import views as V
+from brindle.sources.generators import SCENARIOS, VARIANTS
 
 
 def _paths(spark, d):
@@ -111,7 +112,8 @@ def f14_sparse_vectors(spark, d):
 
 
 def f15_token_ids(spark, d):
-    return _conversations(spark, d).select("conv_id", T.encode_ids(F.col("tokens"), 32, 512).alias("e")).select("conv_id", "e.*")
+    e = _conversations(spark, d).select("conv_id", T.encode_ids(F.col("tokens"), 32, 512).alias("e"))
+    return e.select("conv_id", F.array_join("e.ids", ",").alias("ids"), F.aggregate("e.mask", F.lit(0).cast("long"), lambda t, m: t + m).alias("used"))
 
 
 def w10_first_tokens(spark, d):
@@ -131,7 +133,7 @@ def m7_support(spark, d):
 
 def m1_sparse_scores(spark, d):
     weights = spark.range(1024).select(F.col("id").cast("int").alias("index"), (F.sin("id")).alias("weight"))
-    return models.predict(_conversations(spark, d).withColumnRenamed("conv_id", "sample_id"), weights, 0.1, 1024)
+    return models.predict(_conversations(spark, d).withColumnRenamed("conv_id", "sample_id"), weights, 0.1, 1024).select("sample_id", F.round("probability", 6).alias("probability"))
 
 
 def m2_sparse_training(spark, d):
@@ -144,18 +146,6 @@ def m6_temperature(spark, d):
     return models.fit_temperature(p.select("split", ((F.col("score") - 0.5) * 30.0).alias("logit"), "label"), ["split"]).select("split", F.round("temperature", 6).alias("temperature"), F.round("nll", 6).alias("nll"))
 
 
-def f2_f5_targets(spark, d):
-    """The target classifiers over URLs and part names."""
-    u = F.col("url")
-    return V.table(spark, d, "pages").select("page_id", P.is_sensitive_path(u).alias("sensitive"), P.is_persistence_path(u).alias("persistent"), P.process_target_class(u).alias("process"), P.delete_target_class(u).alias("deletion"), P.is_auxiliary_path(u).alias("auxiliary"))
-
-
-def f1_classified_names(spark, d):
-    """Call-like names in page markup, classified."""
-    names = V.table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\("), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return P.classify_calls(names)
-
-
 def _corpus(spark, d):
     """A file for every tenth order, made in the cluster."""
     from brindle.sources.generators import corpus
@@ -166,7 +156,7 @@ def _corpus(spark, d):
 def x1_scan_decisions(spark, d):
     from brindle.plans.scan import scan
 
-    return scan(_corpus(spark, d))["decisions"]
+    return scan(_corpus(spark, d))["decisions"].select("target_id", "rule_score", "model_used", "risk_score", "verdict")
 
 
 def x2_events(spark, d):
@@ -181,12 +171,6 @@ def x13_exact_paths(spark, d):
     return frontend.exact_of(frontend.extract(_corpus(spark, d))).groupBy("motif", "through_summary").agg(F.count("*").alias("n"))
 
 
-def x23_lexical_events(spark, d):
-    from brindle.sources import frontend
-
-    return frontend.lexical_events(V.table(spark, d, "pages").select(F.lit("pages").alias("target_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("source"))).groupBy("op").agg(F.count("*").alias("n"))
-
-
 def a36_effect_summaries(spark, d):
     from brindle.plans.scan import scan
 
@@ -255,11 +239,14 @@ def f8_canonical_tokens(spark, d):
 
 
 def f9_model_tokens(spark, d):
+    """Event, path and effect tokens of scanned targets, each once, under a mark for each file that adds one."""
     from brindle.functions.canonical import model_tokens
+    from brindle.plans.scan import scan
 
-    e, p = _paths(spark, d)
-    none = e.select("target_id", "path").limit(0).select("target_id", "path", F.lit(0).alias("position"), F.lit("").alias("token"))
-    return model_tokens(e.withColumn("category", F.lit("source")), p, none, e.select("target_id", "path", "file_ord").distinct()).select("target_id", F.array_join("tokens", " ").alias("tokens"))
+    p = scan(_corpus(spark, d))
+    effects_ = effects.effect_tokens(effects.effect_summary(p["analyses"], p["events"], p["paths"]))
+    files = p["analyses"].select("target_id", "path", F.regexp_extract("path", "([0-9]+)", 1).cast("int").alias("file_ord"))
+    return model_tokens(p["events"], p["paths"], effects_, files).select("target_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def session_summaries(spark, d):
@@ -284,9 +271,40 @@ _NEAR = f"""near AS (SELECT *, list({{'i': event_index, 'op': op, 'secret': cont
 _EVIDENCE = f"""{_NEAR}, ev AS (SELECT target_id, path, function, 'event' kind, op AS name, CASE op {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in W.WEIGHTS.items())} END score, line, op FROM behavior WHERE op IN {_IN(W.WEIGHTS)}
     UNION ALL SELECT p.target_id, p.path, b.function, 'proximity', motif, score, b.line, 'BEHAVIOR_PATH' FROM proximity p JOIN behavior b ON b.target_id = p.target_id AND b.event_index = p.source
     UNION ALL SELECT s.target_id, s.path, b.function, 'structural', motif, score, b.line, 'BEHAVIOR_PATH' FROM structural s JOIN behavior b ON b.target_id = s.target_id AND b.event_index = s.event_index)"""
+_WEIGHT = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in W.WEIGHTS.items())
+# events, what paths cover, and which events nothing of the kinds {kinds} covers
+_COVER = """ee AS (SELECT target_id, path, function, op AS name, CASE op {weight} END score, event_index::BIGINT i FROM behavior WHERE op IN {ops}),
+    pc AS (SELECT p.target_id, p.path, b.function, 'proximity' kind, motif AS name, p.score, unnest([p.source, p.sink]) i FROM proximity p JOIN behavior b ON b.target_id = p.target_id AND b.event_index = p.source
+      UNION ALL SELECT s.target_id, s.path, b.function, 'structural', motif, s.score, s.event_index FROM structural s JOIN behavior b ON b.target_id = s.target_id AND b.event_index = s.event_index),
+    cv AS (SELECT DISTINCT target_id, path, function, kind, name, i FROM pc WHERE kind IN {kinds}), st AS (SELECT cv.target_id, cv.path, cv.function, cv.kind, cv.name, max(ee.score) st FROM cv JOIN ee ON ee.target_id = cv.target_id AND ee.path = cv.path AND ee.function = cv.function AND ee.i = cv.i GROUP BY ALL),
+    pg AS (SELECT target_id, path, function, kind, name, max(score) score FROM pc GROUP BY ALL), ps AS (SELECT pg.*, coalesce(st, 0) st FROM pg LEFT JOIN st USING (target_id, path, function, kind, name)),
+    eg AS (SELECT target_id, path, function, name, max(score) score FROM (SELECT ee.*, EXISTS (SELECT 1 FROM cv WHERE cv.target_id = ee.target_id AND cv.path = ee.path AND cv.function = ee.function AND cv.i = ee.i) c FROM ee) GROUP BY ALL HAVING bool_or(NOT c))"""
+_TOP4 = "r AS (SELECT *, row_number() OVER (PARTITION BY target_id, path, function ORDER BY score DESC) k FROM x), y AS (SELECT target_id, sum(score) s FROM r WHERE k <= 4 GROUP BY target_id, path, function) SELECT target_id, least(100.0::DOUBLE, max(s)) score FROM y GROUP BY 1"
 _CONV = "c AS (SELECT conv_id, list(role ORDER BY turn) t FROM conversations GROUP BY 1)"
 _SETS = "dw AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) t FROM documents WHERE text IS NOT NULL), pw AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) t FROM benchmark WHERE text IS NOT NULL), kn AS (SELECT DISTINCT unnest(t) w FROM pw), de AS (SELECT doc_id, unnest(t) w FROM dw)"
 
+_GENERATED = "c AS (SELECT unnest(range(0, (SELECT count(*) // 10 FROM orders))) i)"
+# Feature hashes of every run of up to three turns, by the library that defines them.
+_ROLES = ("system", "user", "assistant", "tool")
+
+
+def _person(text: str, size: int, person: bytes) -> tuple[int, float]:
+    import hashlib
+
+    v = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, person=person).digest(), "little")
+    return v % size, -1.0 if v >> 63 else 1.0
+
+
+def _runs():
+    import itertools
+
+    words = ("BOS", *_ROLES, "EOS")
+    return ["→".join(x) for n in (1, 2, 3) for x in itertools.product(words, repeat=n)]
+
+
+_HASHED = f"""hs(g, index, sign) AS (VALUES {", ".join(f"('{g}', {i}, {s}::DOUBLE)" for g in _runs() for i, s in [_person(g, 1024, b"brindle1")])}),
+    tt AS (SELECT conv_id, list_concat(['BOS'], t, ['EOS']) t FROM c), gr AS (SELECT conv_id, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], '→'))) g FROM tt, (VALUES (1), (2), (3)) v(n))"""
+
 _A5 = "g AS (SELECT target_id, path, function, max(score) s FROM ev GROUP BY target_id, path, function, kind, name), r AS (SELECT *, row_number() OVER (PARTITION BY target_id, path, function ORDER BY s DESC) k FROM g), x AS (SELECT target_id, sum(s) s FROM r WHERE k <= 4 GROUP BY target_id, path, function), a5 AS (SELECT target_id, least(100.0::DOUBLE, max(s)) s FROM x GROUP BY 1)"
 
 SQL = {
@@ -310,5 +328,24 @@ SQL = {
     "f16_windows": f"WITH {_CONV}, n AS (SELECT *, least(16, greatest(1, ceil((len(t) - 4) / 3.0)::BIGINT + 1)) n FROM c) SELECT conv_id, k::BIGINT k, array_to_string(t[k * 3 + 1:k * 3 + 4], ' ') w FROM (SELECT conv_id, t, unnest(range(0, n)) k FROM n)",
     "w10_first_tokens": f"WITH {_CONV}, e AS (SELECT conv_id, unnest(t) x, generate_subscripts(t, 1) i FROM c), f AS (SELECT conv_id, x, min(i) i FROM e GROUP BY 1, 2) SELECT conv_id, array_to_string(list(x ORDER BY i), ',') tokens FROM f GROUP BY 1",
     "m7_support": f"WITH {_SETS}, cov AS (SELECT doc_id, count(*) n, count(kn.w) k FROM de LEFT JOIN kn ON kn.w = de.w GROUP BY 1), j AS (SELECT doc_id, item_id, count(*) b FROM de JOIN (SELECT item_id, unnest(t) w FROM pw) p ON p.w = de.w GROUP BY 1, 2), m AS (SELECT j.doc_id, max(b::DOUBLE / (len(dw.t) + len(pw.t) - b)) x FROM j JOIN dw ON dw.doc_id = j.doc_id JOIN pw ON pw.item_id = j.item_id GROUP BY 1) SELECT cov.doc_id sample_id, round(k::DOUBLE / n, 6) token_coverage, round(coalesce(x, 0), 6) nearest, (n - k)::BIGINT unknown, k::DOUBLE / n >= 0.2 AND coalesce(x, 0) >= 0.05 supported FROM cov LEFT JOIN m ON m.doc_id = cov.doc_id",
+    "a6_context_cover": WITH + _NEAR + ", " + _COVER.format(weight=_WEIGHT, ops=_IN(W.WEIGHTS), kinds="('structural')") + f", x AS (SELECT target_id, path, function, greatest(score, st) score FROM ps UNION ALL SELECT target_id, path, function, score FROM eg), {_TOP4}",
+    "a7_context_causal": WITH + _NEAR + ", " + _COVER.format(weight=_WEIGHT, ops=_IN(W.WEIGHTS), kinds="('structural', 'proximity')") + f", x AS (SELECT target_id, path, function, CASE WHEN kind = 'proximity' THEN score + st ELSE greatest(score, st) END score FROM ps UNION ALL SELECT target_id, path, function, score FROM eg WHERE name NOT IN {_IN(W.CONTEXT_ONLY)} UNION ALL SELECT target_id, path, function, max(score) FROM eg WHERE name IN {_IN(W.CONTEXT_ONLY)} GROUP BY 1, 2, 3), {_TOP4}",
+    "a38_purposes": WITH + _NEAR + f""", al AS (SELECT target_id, path, motif, score, [source, sink] x, 'proximity' k, 'low' confidence FROM proximity UNION ALL SELECT target_id, path, motif, score, [event_index], 'structural', 'high' FROM structural),
+        lb AS (SELECT *, CASE motif {" ".join(f"WHEN '{m}' THEN '{p[0]}'" for m, p in W.PURPOSE_OF_MOTIF.items())} END AS label FROM al), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, path, label ORDER BY score DESC, x, motif, k) r FROM lb WHERE label IS NOT NULL) WHERE r = 1)
+        SELECT f.target_id, label, confidence, array_to_string(list_sort(list(DISTINCT b.line)), ',') AS lines FROM f JOIN behavior b ON b.target_id = f.target_id AND b.path = f.path AND list_contains(f.x, b.event_index) GROUP BY f.target_id, f.path, label, confidence""",
+    "x1_scan_decisions": f"WITH {_GENERATED} SELECT DISTINCT 'pkg' || (i // 20) target_id, 36.0::DOUBLE rule_score, false model_used, 36.0::DOUBLE risk_score, 'review' verdict FROM c",
+    "x2_events": f"WITH {_GENERATED}, m AS (SELECT i FROM c WHERE i % 20 = 0) SELECT 'IMPORT' op, 'import' phase, '<module>' AS function, (SELECT count(*) FROM c)::BIGINT + 2 * (SELECT count(*) FROM m)::BIGINT n UNION ALL SELECT 'FILE_READ', 'runtime', 'load', count(*)::BIGINT FROM c WHERE i % 20 <> 0 UNION ALL SELECT unnest(['ENV_READ', 'ENCODE']), 'runtime', 'collect_' || i, 1::BIGINT FROM m UNION ALL SELECT 'NETWORK_SEND', 'runtime', 'push_' || i, 1::BIGINT FROM m",
+    "x13_exact_paths": f"WITH {_GENERATED} SELECT 'credential_or_file_exfil' motif, true through_summary, count(*)::BIGINT n FROM c WHERE i % 20 = 0",
+    "a36_effect_summaries": f"WITH {_GENERATED} SELECT 'library-callable' entrypoints, CASE WHEN i % 20 = 0 THEN 'environment' ELSE 'local-file' END data_origins, CASE WHEN i % 20 = 0 THEN 'network' ELSE '' END data_destinations, CASE WHEN i % 20 = 0 THEN 'encoding' ELSE '' END transformations, CASE WHEN i % 20 = 0 THEN 'sensitive-data-to-network' ELSE '' END flows, count(*)::BIGINT files FROM c GROUP BY ALL",
+    "f14_sparse_vectors": f"WITH {_CONV}, {_HASHED}, s AS (SELECT conv_id, index, sum(sign) v FROM gr JOIN hs ON hs.g = gr.g GROUP BY 1, 2), q AS (SELECT conv_id, sqrt(sum(v * v)) z FROM s GROUP BY 1) SELECT s.conv_id sample_id, count(*)::BIGINT n, round(sum(CASE WHEN z > 0 THEN (v / z) * (v / z) ELSE v * v END), 6) norm FROM s JOIN q ON q.conv_id = s.conv_id GROUP BY 1",
+    "m1_sparse_scores": f"WITH {_CONV}, {_HASHED}, s AS (SELECT conv_id, index, sum(sign) v FROM gr JOIN hs ON hs.g = gr.g GROUP BY 1, 2), q AS (SELECT conv_id, sqrt(sum(v * v)) z FROM s GROUP BY 1) SELECT s.conv_id sample_id, round(1 / (1 + exp(-(sum(CASE WHEN z > 0 THEN v / z ELSE v END * sin(index)) + 0.1::DOUBLE))), 6) probability FROM s JOIN q ON q.conv_id = s.conv_id GROUP BY 1",
+    "f15_token_ids": f"""WITH {_CONV}, hv(w, id) AS (VALUES {", ".join(f"('{w}', {_person(w, 512 - T.FIRST, b'brindle2')[0] + T.FIRST})" for w in _ROLES)}), e AS (SELECT conv_id, unnest(t[1:30]) w, generate_subscripts(t[1:30], 1) i FROM c), s AS (SELECT conv_id, list(id ORDER BY i) x FROM e JOIN hv ON hv.w = e.w GROUP BY 1)
+        SELECT conv_id, array_to_string(list_concat(list_concat([{T.BEGIN}], x), list_concat([{T.END}], list_transform(range(30 - len(x)), lambda i: {T.PAD}))), ',') ids, (len(x) + 2)::BIGINT used FROM s""",
+    "f22_fingerprint": f"""WITH {V.SQL['pred']}, j AS (SELECT sha256('{{"group_id":"' || group_id || '","label":' || label || ',"period":"' || period || '","sample_id":"' || sample_id || '","score":' || score::VARCHAR || ',"split":"' || split || '"}}') d FROM pred), b AS (SELECT d[1:3] b, sha256(string_agg(d, ',' ORDER BY d)) h FROM j GROUP BY 1) SELECT sha256(string_agg(h, ',' ORDER BY b)) fingerprint FROM b""",
+    "s24_training_rows": f"""WITH s(scenario, label, ops, o) AS (VALUES {", ".join(f"('{n}', {y}, [{', '.join(repr(x) for x in ops)}], {i})" for i, (n, y, ops) in enumerate(SCENARIOS))}), v(variant, b, a) AS (VALUES {", ".join(f"('{n}', [{', '.join(repr(x) for x in b)}]::VARCHAR[], [{', '.join(repr(x) for x in a)}]::VARCHAR[])" for n, b, a in VARIANTS)})
+        SELECT scenario || '--' || variant sample_id, scenario group_id, 'pair' || (o // 2) pair_id, variant, label::INTEGER AS label, CASE WHEN o % 8 >= 6 THEN 'validation' ELSE 'train' END split, array_to_string(list_transform(list_concat(list_concat(b, ops), a), lambda x: 'P:runtime|C:context|O:' || x || '|T:generic'), ' ') tokens FROM s, v""",
+    # the tokens of a target's moving file, then what its first plain file adds
+    "f9_model_tokens": f"""WITH {_GENERATED} SELECT DISTINCT 'pkg' || (i // 20) target_id, 'FILE P:import|C:context|O:IMPORT|T:generic P:runtime|C:source|O:ENV_READ|T:sensitive P:runtime|C:transform|O:ENCODE|T:generic P:runtime|C:sink|O:NETWORK_SEND|T:network PATH:credential_or_file_exfil|K:summary|Q:medium EFFECT:ENTRY:library_callable EFFECT:ORIGIN:environment EFFECT:DESTINATION:network '
+        || 'EFFECT:FLOW:sensitive_data_to_network EFFECT:TRANSFORM:encoding PURPOSE:sensitive_data_transfer|Q:medium FILE P:runtime|C:source|O:FILE_READ|T:file EFFECT:ORIGIN:local_file' tokens FROM c""",
     "m6_temperature": f"WITH {V.SQL['pred']}, z AS (SELECT split, exp(ln(20::DOUBLE) * k / 240) t, (score - 0.5) * 30.0 / exp(ln(20::DOUBLE) * k / 240) * CASE WHEN label = 1 THEN 1 ELSE -1 END z FROM pred, range(241) r(k)), g AS (SELECT split, t, avg(CASE WHEN z > 0 THEN ln(1 + exp(-z)) ELSE ln(1 + exp(z)) - z END) n FROM z GROUP BY 1, 2) SELECT split, round(min_by(t, n), 6) temperature, round(min(n), 6) nll FROM g GROUP BY 1",
 }

@@ -12,6 +12,7 @@ from brindle.operators import comparison as C
 from brindle.operators import evaluation as E
 from brindle.operators import governance as G
 from brindle.plans import views as V
+from brindle.sources.storage import checkpointed
 
 TARGET = 0.05
 REPLICATES = 2000  # as the reference
@@ -22,8 +23,13 @@ def _rounded(d: DataFrame, *skip: str) -> DataFrame:
     return d.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if t == "double" and c not in skip else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in d.dtypes])
 
 
+def _once(few: DataFrame) -> DataFrame:
+    """A table of a row per system or less, computed now, so that its readers do not each compute it again."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def _lock(pred: DataFrame, target: float = TARGET) -> DataFrame:
-    return E.select_threshold(E.score_table(pred.filter("split = 'validation'")), target).select("threshold")
+    return _once(E.select_threshold(E.score_table(pred.filter("split = 'validation'")), target).select("threshold"))
 
 
 def _lock_sql(score: str = "score", name: str = "lock") -> str:
@@ -108,7 +114,7 @@ def _pairs(spark, d):
 
 
 def _both_locks(pairs):
-    return E.select_threshold(E.score_table(C.systems(pairs).filter("split = 'validation'"), ["system"]), TARGET, ["system"]).select("system", "threshold")
+    return _once(E.select_threshold(E.score_table(C.systems(pairs).filter("split = 'validation'"), ["system"]), TARGET, ["system"]).select("system", "threshold"))
 
 
 def j1_alignment(spark, d):
@@ -116,18 +122,18 @@ def j1_alignment(spark, d):
 
 
 def a18_point_effects(spark, d):
-    p = _pairs(spark, d)
+    p = checkpointed(_pairs(spark, d))  # read by the locks and by every metric
     return _rounded(C.point_effects(p.filter("split = 'test'"), _both_locks(p)))
 
 
 def a19_transitions(spark, d):
-    p = _pairs(spark, d)
+    p = checkpointed(_pairs(spark, d))
     lock = _both_locks(p)
     return C.transitions(p.filter("split = 'test'"), lock.filter("system = 'baseline'"), lock.filter("system = 'candidate'"))
 
 
 def a20_paired_bootstrap(spark, d):
-    p = _pairs(spark, d)
+    p = checkpointed(_pairs(spark, d))
     return _rounded(C.paired_bootstrap(p.filter("split = 'test'"), _both_locks(p), REPLICATES))
 
 
@@ -136,7 +142,9 @@ def a21_claim_gate(spark, d):
 
 
 def a22_mixed_groups(spark, d):
-    return C.mixed_groups(_pairs(spark, d)).select("group_id", F.col("identities").cast("long"))
+    """Groups of customers by the first digits of their key, which are in several splits or of both labels."""
+    p = _pairs(spark, d).withColumn("group_id", F.substring("group_id", 1, 2))
+    return C.mixed_groups(p).select("group_id", F.col("identities").cast("long"))
 
 
 def f30_rate_bounds(spark, d):
@@ -288,7 +296,7 @@ SQL = {
     "a19_transitions": WITH + f"{_BOTH}, r AS (SELECT group_id, label, score >= (SELECT threshold FROM bl) b, score_b >= (SELECT threshold FROM cl) c FROM pred WHERE split = 'test'), u AS (SELECT 'rows' unit, label, b, c FROM r UNION ALL SELECT 'groups_any_alert', max(label), bool_or(b), bool_or(c) FROM r GROUP BY group_id)," + """
         cells(class, l, b, c, state) AS (VALUES ('benign', 0, false, false, 'both_clear'), ('benign', 0, true, false, 'candidate_fixed_false_alert'), ('benign', 0, false, true, 'candidate_introduced_false_alert'), ('benign', 0, true, true, 'both_alert'), ('malicious', 1, false, false, 'both_missed'), ('malicious', 1, false, true, 'candidate_recovered_detection'), ('malicious', 1, true, false, 'candidate_lost_detection'), ('malicious', 1, true, true, 'both_detected'))
         SELECT un.unit, class, state, (SELECT count(*) FROM u WHERE u.unit = un.unit AND u.label = cells.l AND u.b = cells.b AND u.c = cells.c)::BIGINT n FROM cells, (VALUES ('rows'), ('groups_any_alert')) un(unit)""",
-    "a22_mixed_groups": WITH[:-2] + " SELECT group_id, count(DISTINCT (label, split))::BIGINT identities FROM pred GROUP BY group_id HAVING count(DISTINCT (label, split)) > 1",
+    "a22_mixed_groups": WITH[:-2] + " SELECT group_id[1:2] group_id, count(DISTINCT (label, split))::BIGINT identities FROM pred GROUP BY 1 HAVING count(DISTINCT (label, split)) > 1",
     "f30_rate_bounds": WITH + f"c AS (SELECT period, count(*)::BIGINT n, count_if(model_invoked)::BIGINT k FROM pred WHERE model_invoked IS NOT NULL GROUP BY period) SELECT period, n, k AS events, round(1 - pow({1 - 0.95!r}, 1.0::DOUBLE / n), 6) zero_upper, round({_wilson('k', 'n', Z95)}, 6) wilson_upper FROM c",
     "f17_f26_scores": WITH[:-2] + " SELECT sample_id, round(1 / (1 + exp(-((score - 0.5) * 20))), 6) sigmoid, round(greatest(score, 1 - score), 6) max_probability, round(CASE WHEN score >= 0.6::DOUBLE THEN (score - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) ELSE (0.6::DOUBLE - score) / 0.6::DOUBLE END, 6) margin, nextafter(score, 'infinity'::DOUBLE) next_up FROM pred",
     "a25_duplicates": _MANIFEST[:-2] + f" SELECT CASE WHEN count(DISTINCT label) > 1 OR count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END severity, CASE WHEN count(DISTINCT label) > 1 THEN 'conflicting-label-duplicate' ELSE 'exact-duplicate' END code, sha256 AS value, count(*)::BIGINT n, {_IDS} sample_ids FROM manifest GROUP BY sha256 HAVING count(*) > 1",
@@ -302,6 +310,8 @@ SQL = {
     "w8_alternating_split": _MANIFEST + "n AS (SELECT g, row_number() OVER (ORDER BY sha256('study-1|' || g)) - 1 p FROM (SELECT DISTINCT group_id g FROM manifest)) SELECT g AS \"group\", p::BIGINT AS position, CASE WHEN p % 2 = 0 THEN 'development' ELSE 'holdout' END split FROM n",
     "j9_group_exclusion": _MANIFEST + "tr AS (SELECT * FROM manifest WHERE split = 'train'), te AS (SELECT * FROM manifest WHERE split = 'test'), bad AS (SELECT group_id FROM te WHERE sha256 IN (SELECT sha256 FROM tr) OR representation_hash IN (SELECT representation_hash FROM tr WHERE representation_hash IS NOT NULL)) SELECT sample_id, group_id FROM te WHERE group_id NOT IN (SELECT group_id FROM bad)",
     "j8_overlap_counts": _MANIFEST[:-2] + " " + " UNION ALL ".join(f"SELECT '{k}' AS key, count(*)::BIGINT shared FROM (SELECT {k} FROM manifest WHERE split = 'test' AND {k} IS NOT NULL INTERSECT SELECT {k} FROM manifest WHERE split = 'train' AND {k} IS NOT NULL)" for k in ("sha256", "representation_hash", "family")),
+    "g3_closest_subset": _MANIFEST.replace("WITH ", "WITH RECURSIVE ", 1) + """g AS (SELECT label, n, row_number() OVER (PARTITION BY label ORDER BY group_id) i FROM (SELECT label, group_id, count(*) n FROM manifest GROUP BY 1, 2)),
+        r(label, i, s) AS (SELECT DISTINCT label, 0::BIGINT, 0::BIGINT FROM g UNION SELECT r.label, g.i, r.s + x * g.n FROM r JOIN g ON g.label = r.label AND g.i = r.i + 1, (VALUES (0), (1)) t(x) WHERE r.s + x * g.n <= 200) SELECT label, arg_min(s, abs(s - 100) * 1000 + s)::BIGINT chosen_rows FROM r GROUP BY label""",
     "a30_group_maxima": WITH + "g AS (SELECT group_id, max(label) l, max(score) s FROM pred WHERE split = 'validation' GROUP BY 1), t AS (SELECT nextafter(max(CASE WHEN l = 0 THEN s END), 'infinity'::DOUBLE) t FROM g) SELECT round(t, 6) threshold, count_if(l = 0)::BIGINT benign_groups, count_if(l = 1)::BIGINT malicious_groups, count_if(l = 1 AND s >= t)::BIGINT detected_groups, round(count_if(l = 1 AND s >= t)::DOUBLE / greatest(1, count_if(l = 1)), 6) recall FROM g, t GROUP BY t",
     "a31_holdout": WITH + _lock_sql() + ", g AS (SELECT group_id, max(label) AS label, max(score) s FROM pred WHERE split = 'test' GROUP BY 1) SELECT label, count(*)::BIGINT AS \"groups\", count_if(s >= (SELECT threshold FROM lock))::BIGINT alerts FROM g GROUP BY label",
     "a32_fixed_thresholds": WITH + f"c AS (SELECT {COUNTS.format(s='score', t='threshold')}, threshold FROM pred, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(threshold) WHERE split = 'test' GROUP BY threshold) SELECT {RATES} FROM c",

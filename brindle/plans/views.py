@@ -35,7 +35,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("sample_id"), F.coalesce("quality", F.lit(0)).cast("int").alias("label"), F.col("lang").alias("ecosystem"), F.col("source").alias("package"), (k % 7).cast("string").alias("version"),
         F.sha2("text", 256).alias("sha256"), F.concat(F.lit("g"), (k % 41).cast("string")).alias("group_id"), F.date_add(F.to_date(F.lit("2024-01-01")), (k % 365).cast("int")).alias("first_seen"),
         F.when(k % 11 == 0, F.lit(None)).when(k % 3 == 0, "train").when(k % 3 == 1, "validation").otherwise("test").alias("split"),
-        F.when(k % 5 != 0, F.sha2(F.lower(F.substring("text", 1, 40)), 256)).alias("representation_hash"), F.when(k % 2 == 0, F.concat(F.lit("f"), (k % 13).cast("string"))).alias("family"), F.lit(None).cast("string").alias("campaign"),
+        F.when(k % 5 != 0, F.sha2(F.regexp_replace(F.lower("text"), "[ \t\r\n]+", " "), 256)).alias("representation_hash"), F.when(k % 2 == 0, F.concat(F.lit("f"), (k % 13).cast("string"))).alias("family"), F.when(k % 4 == 0, F.concat(F.lit("c"), (k % 17).cast("string"))).alias("campaign"),
     )
 
 
@@ -68,7 +68,7 @@ SQL = {
         FROM (SELECT *, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END label FROM orders JOIN customer ON o_custkey = c_custkey))""",
     "manifest": """manifest AS (SELECT d.doc_id::VARCHAR sample_id, coalesce(quality, 0)::INTEGER AS label, lang ecosystem, source package, sha256(text) sha256, 'g' || (d.doc_id % 41) group_id, (DATE '2024-01-01' + (d.doc_id % 365)::INTEGER)::DATE first_seen,
         CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.doc_id % 3 = 0 THEN 'train' WHEN d.doc_id % 3 = 1 THEN 'validation' ELSE 'test' END split,
-        CASE WHEN d.doc_id % 5 <> 0 THEN sha256(lower(substr(text, 1, 40))) END representation_hash, CASE WHEN d.doc_id % 2 = 0 THEN 'f' || (d.doc_id % 13) END family, NULL::VARCHAR campaign FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
+        CASE WHEN d.doc_id % 5 <> 0 THEN sha256(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) END representation_hash, CASE WHEN d.doc_id % 2 = 0 THEN 'f' || (d.doc_id % 13) END family, CASE WHEN d.doc_id % 4 = 0 THEN 'c' || (d.doc_id % 17) END campaign FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
     "behavior": """behavior AS (SELECT 't' || (user_id % 10) target_id, 'pkg/mod' || (user_id % 10) || '.py' AS path, user_id * 100000 + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) event_index,
         CASE event_type WHEN 'signup' THEN 'ENV_READ' WHEN 'view' THEN 'FILE_READ' WHEN 'click' THEN 'DECODE' WHEN 'purchase' THEN 'NETWORK_SEND' WHEN 'error' THEN 'DYNAMIC_EXEC' END op,
         CASE WHEN event_id % 3 = 0 THEN 'API_TOKEN' ELSE 'HOME' END target, (event_id % 500)::INTEGER line, 'f' || user_id AS function, CASE WHEN user_id % 5 = 0 THEN 'install' ELSE 'runtime' END phase FROM events)""",

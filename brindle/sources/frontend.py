@@ -1,22 +1,21 @@
-"""Source texts to event rows: a syntax frontend in Arrow batches, and a lexical one in DataFrame functions."""
+"""Source texts to event rows through the syntax tree, in Arrow batches."""
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import policy as P
 from brindle.sources import syntax
 from brindle.sources.provenance import value_paths
 
 EVENT = "event_index int, op string, category string, target string, path string, line int, column int, function string, phase string, detail string"
 PATH = "motif string, event_indexes array<int>, through_summary boolean"
 SPAN = "first int, last int"
-ANALYSIS = f"target_id string, path string, sha256 string, bytes_read long, truncated boolean, parse_error string, event_limit_reached boolean, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>, exact array<struct<{PATH.replace(' ', ':').replace(',:', ',')}>>, guards array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>, functions array<string>, main_functions array<string>, anchors array<string>"
+ANALYSIS = f"target_id string, path string, sha256 string, bytes_read long, truncated boolean, parse_error string, event_limit_reached boolean, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>, exact array<struct<{PATH.replace(' ', ':').replace(',:', ',')}>>, guards array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>, functions array<string>, main_functions array<string>, anchors array<string>, anchor_lines array<int>"
 
 
 def _structure(tree: ast.Module) -> dict:
@@ -36,7 +35,7 @@ def _structure(tree: ast.Module) -> dict:
 
 def analyse(source: str, path: str, most: int = 2000, flow: bool = True, depth: int = 3, expansions: int = 64) -> dict:
     """Events, exact paths and structure of one text; errors are data."""
-    out = {"parse_error": None, "event_limit_reached": False, "events": [], "exact": [], "guards": [], "functions": [], "main_functions": [], "anchors": []}
+    out = {"parse_error": None, "event_limit_reached": False, "events": [], "exact": [], "guards": [], "functions": [], "main_functions": [], "anchors": [], "anchor_lines": []}
     tree, out["parse_error"] = syntax.parse(source)
     if tree is None:
         return out
@@ -53,8 +52,8 @@ def analyse(source: str, path: str, most: int = 2000, flow: bool = True, depth:
     return out
 
 
-def extract(sources: DataFrame, max_bytes: int = 1_000_000, max_events: int = 2000, flow: bool = True, depth: int = 3, expansions: int = 64) -> DataFrame:
-    """One analysis row per source row (target_id, path, content binary); only the first max_bytes of a file are read."""
+def analysed(sources: DataFrame, max_bytes: int, analyse: Callable[[str, str], dict]) -> DataFrame:
+    """One row per source row (target_id, path, content binary) with what analyse(text, path) finds; only max_bytes are read."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -68,12 +67,17 @@ def extract(sources: DataFrame, max_bytes: int = 1_000_000, max_events: int = 20
             for target, path, content in zip(*(batch.column(c).to_pylist() for c in ("target_id", "path", "content"))):
                 raw = (content or b"")[:max_bytes]
                 head = {"target_id": target, "path": path, "sha256": hashlib.sha256(raw).hexdigest(), "bytes_read": len(raw), "truncated": len(content or b"") > max_bytes}
-                rows.append(head | analyse(raw.decode("utf-8", "replace"), path or "", max_events, flow, depth, expansions))
+                rows.append(head | analyse(raw.decode("utf-8", "replace"), path or ""))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return sources.select("target_id", "path", "content").mapInArrow(run, ANALYSIS)
 
 
+def extract(sources: DataFrame, max_bytes: int = 1_000_000, max_events: int = 2000, flow: bool = True, depth: int = 3, expansions: int = 64) -> DataFrame:
+    """One analysis row per source row by the syntax tree."""
+    return analysed(sources, max_bytes, lambda text, path: analyse(text, path, max_events, flow, depth, expansions))
+
+
 def events_of(analyses: DataFrame) -> DataFrame:
     return analyses.select("target_id", F.explode("events").alias("e")).select("target_id", "e.*")
 
@@ -86,26 +90,6 @@ def limited_of(analyses: DataFrame) -> DataFrame:
     return analyses.filter("event_limit_reached").select("target_id", "path")
 
 
-def lexical_events(sources: DataFrame, most: int = 2000) -> DataFrame:
-    """Events of texts (target_id, path, source) by lines and patterns alone, for texts that no parser takes.
-
-    Calls of a line come from the right, as arguments run first; the enclosing function is the last def above that is
-    indented less. Strings and comments are blanked by pattern, which triple quotes over several lines escape.
-    """
-    lines = sources.select("target_id", "path", F.posexplode(F.split("source", "\n")).alias("n", "text"))
-    blank = F.regexp_replace(F.regexp_replace("text", r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "''"), "#.*$", "")
-    lines = lines.withColumn("code", blank).withColumn("indent", F.length(F.regexp_extract("code", r"^(\s*)", 1))).withColumn("def", F.regexp_extract("code", r"^\s*(?:async\s+)?def\s+(\w+)", 1))
-    above = Window.partitionBy("target_id", "path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("def") != "", F.struct("def", "indent")), ignorenulls=True).over(above)
-    lines = lines.withColumn("f", last).withColumn("function", F.when(F.col("f").isNotNull() & (F.col("indent") > F.col("f.indent")), F.col("f.def")).otherwise("<module>"))
-    calls = F.reverse(F.regexp_extract_all("code", F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\("), F.lit(1)))
-    c = P.classify_calls(lines.filter(F.col("def") == "").select("target_id", "path", "n", "function", F.posexplode(calls).alias("k", "name"))).filter("op is not null")
-    order = Window.partitionBy("target_id", "path").orderBy("n", "k")
-    c = c.withColumn("event_index", F.row_number().over(order) - 1).filter(F.col("event_index") < most)
-    phase = P.lifecycle_phase(F.col("path"), F.col("function"), F.lit(False))
-    return c.select("target_id", "path", "event_index", "op", "category", F.col("name").alias("target"), (F.col("n") + 1).alias("line"), "function", F.when((phase == "runtime") & (F.col("function") == "<module>"), "import").otherwise(phase).alias("phase"), "detail")
-
-
 def normalised_hash(files: DataFrame) -> DataFrame:
     """(target_id, ast_hash): of a target's texts with identifiers and literals levelled, whatever their names and order."""
     from brindle.functions.tokens import multiset_hash

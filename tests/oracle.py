@@ -14,7 +14,7 @@ def compare(frame, sql, connection, places=9):
     want = connection.sql(sql).df()
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} and {sorted(want.columns)}"
-    text = lambda v: None if v is None or v != v else f"{v:.{places}g}" if isinstance(v, float) else str(v)
+    text = lambda v: None if v is None or str(v) == "<NA>" or v != v else f"{v:.{places}g}" if isinstance(v, float) else str(v)
     rows = lambda d: sorted((tuple(map(text, r)) for r in d[sorted(d.columns)].itertuples(index=False)), key=repr)
     a, b = rows(got), rows(want)
     kinds = [(c, got[c].dtype, want[c].dtype) for c in sorted(got.columns) if got[c].dtype != want[c].dtype and got[c].dtype != object and got[c].dtype.kind != "M"]

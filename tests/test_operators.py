@@ -355,7 +355,7 @@ def test_readers(spark, tmp_path):
     assert sorted((r.sample_id, r.label) for r in R.predictions(spark, str(tmp_path / "p.jsonl")).collect()) == [("a", 1), ("b", 0)]
     bad = [good | {"label": True}, good | {"sample_id": "u", "x": 1}, good | {"sample_id": "v", "score": 2}, {k: v for k, v in good.items() if k != "group_id"} | {"sample_id": "w"}, good | {"sample_id": "r"}, good | {"sample_id": "r"}]
     (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(x) for x in bad) + '\n{"sample_id": "n", "label": 1, "score": NaN, "split": "test", "group_id": "g"}\nnot json')
-    found = [r.problem for r in R.prediction_problems(spark, str(tmp_path / "b.jsonl")).collect()]
+    found = [r.problem for r in R.prediction_problems(spark.read.text(str(tmp_path / "b.jsonl"))).collect()]
     assert all(found) and len(found) == 8
     with pytest.raises(Exception):
         R.predictions(spark, str(tmp_path / "b.jsonl")).collect()
