@@ -15,7 +15,9 @@ Jaccard distance d = 1 - J is a metric. Documents that link have d <= theta = 1/
    computed once. Members within theta of p are one component with it and need no further
    pairs. Members x, y in different components are compared only if |d(p,x) - d(p,y)| <= theta,
    their sizes allow it and parity sketches (a lower bound of the symmetric difference, itself a
-   metric) allow it; these are then verified exactly. No other pair of the cell can change the result.
+   metric) allow it; these are then verified exactly. No other pair of the cell can change a component.
+   Large cells are cut into tiles that meet in tasks of their own. All links between classes, also
+   inside a component, come from the same join without the components, when they are asked for.
 
 Exact copies form one class by a 64-bit hash of the shingle set before any of this, so copies
 never meet as pairs. Shingles are compared by 64-bit hashes.
@@ -40,6 +42,7 @@ HEAVY = 64
 _DOC, _CLASS, _ENTRY, _HEAVY_COUNT, _OWN, _SHARED = range(6)
 _MANY = np.uint32(2**32 - 1)
 SKETCH_WORDS = 8
+TILE = 512
 
 
 def shingle_sets(t: words.Texts, w: words.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,12 +274,12 @@ def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Documents with their class and component, and the links between classes.
 
-    Returns (members, links): members has doc_id, n_shingles, component_id, one row per input row;
-    links has (a, b) pairs of class representatives (smallest doc_id of equal sets) that connect
-    every component. Words are lower-cased in A-Z. Null or wordless texts have no shingles and link
-    with nothing; texts of fewer than width words are one shingle. Rows with a null key cannot be
-    referred to and are left out; a repeated key gives a row each time. An empty table gives none.
-    Extra columns are ignored.
+    Returns (members, links): members has doc_id, n_shingles, component_id, class_id, one row per input row; links has
+    (a, b), a < b, every pair of different classes that link, named by their class_id, the smallest doc_id of equal
+    sets. links is computed when it is read; members doesn't need it. Words are lower-cased in A-Z. Null or wordless
+    texts have no shingles and link with nothing; texts of fewer than width words are one shingle. Rows with a null key
+    cannot be referred to and are left out; a repeated key gives a row each time. An empty table gives none. Extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     bits, n = packed.bucket_bits(spark), packed.partitions(spark)
@@ -284,19 +287,34 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     cells = packed.dealt(rows.mapInArrow(_cells(bits, 1 << bits, width, "text", "doc_id"), packed.SCHEMA), n, bits)
     shared = packed.dealt(cells.mapInArrow(_shared(bits), packed.SCHEMA), n, bits)
     state = packed.checkpointed(shared.mapInArrow(_survivors(bits, percent), SURVIVORS))
+    del cells, shared
+    packed.released(spark)
     members = state.filter(f"kind = {_DOC}").select("ids").mapInArrow(_documents, "doc_id long, sig long, n_shingles long")
     known = state.filter(f"kind <> {_DOC}").select("sig", "rep")
     classes = state.filter(f"kind = {_CLASS}").select("rep", "n", "cells", "shared", "sketch")
 
     links, component = _cell_join(classes, percent)
-    labelled = known.join(component, known.rep == component.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = members.join(labelled, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labelled = known.join(component, known.rep == component.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    out = members.join(labelled, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
     return out, links
 
 
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links): how many other rows each row links to, copies of the same set among them.
+
+    Links stay between classes; a class counts as many times as it has rows, so copies are never paired up.
+    """
+    size = members.filter("n_shingles > 0").groupBy("class_id").agg(F.count("*").alias("rows"))
+    ends = links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    far = ends.join(size.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("rows").alias("far"))
+    per = size.join(far, "class_id", "left").select("class_id", (F.coalesce("far", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    return members.join(per, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _cell_join(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links, read when they are needed, and the components."""
     placed = classes.select(F.explode("cells").alias("cell"), "rep")
-    centre = placed.groupBy("cell").agg(F.min("rep").alias("p"), F.count("*").alias("m")).filter("m > 1").select("cell", "p")
+    centre = placed.groupBy("cell").agg(F.min("rep").alias("p"), F.count("*").alias("m")).filter("m > 1")
     replicas = packed.checkpointed(placed.join(centre, "cell"))
     star = replicas.filter("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
     sized = classes.select("rep", "n", (F.col("n") - F.size("shared")).alias("o"), F.col("sketch").alias("k"))
@@ -304,22 +322,34 @@ def _cell_join(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     first = near.filter("linked").select("a", "b")
     label = packed.checkpointed(connected_components(first))
 
-    # cells whose members are not yet one component: the other pairs inside the windows
     d = near.select(F.col("a").alias("p"), F.col("b").alias("rep"), (1 - F.col("i") / F.col("u")).alias("d"))
-    left = replicas.join(label, replicas.rep == label.node, "left").select("cell", "p", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("cell")
-    inside = left.filter("rep <> p").join(mixed, "cell").join(d, ["p", "rep"], "left").join(sized, "rep")
-    side = lambda x: inside.select("cell", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("k").alias(f"k{x}"))
+    # cells whose members are not yet one component: the pairs of different components inside the windows
+    left = replicas.join(label, replicas.rep == label.node, "left").select("cell", "p", "rep", "m", F.coalesce("component", "rep").alias("c"))
+    mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cell")
+    apart = _tiled(left.filter("rep <> p").join(mixed, "cell"), d, sized, percent)
+    second = _links(apart, classes, percent).filter("linked").select("a", "b")
+    component = connected_components(first.union(second))
+    every = _tiled(replicas.filter("rep <> p").withColumn("c", F.col("rep")), d, sized, percent)
+    links = _links(every, classes, percent).filter("linked").select("a", "b").union(first).distinct()
+    return links, component
+
+
+def _tiled(members: DataFrame, d: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (cell, p, rep, m, c) of one cell and different c that may link, each once.
+
+    A cell of m members is cut into tiles of about TILE; two tiles meet under a key of their own, so no task has more
+    than TILE ** 2 pairs of a cell to look at. Distances to the cell's pivot, where they are known, sizes and sketches
+    leave out what can't link before anything is written.
+    """
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    inside = members.join(d, ["p", "rep"], "left").join(sized, "rep").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    fields = lambda x: [F.col("rep").alias(x), *[F.col(f).alias(f"{f}{x}") for f in ("c", "d", "n", "o", "k", "t")]]
+    a = inside.select("cell", *fields("a"), F.explode(F.sequence("t", F.col("tiles") - 1)).alias("j")).withColumn("i", F.col("ta"))
+    b = inside.select("cell", *fields("b"), F.explode(F.sequence(F.lit(0), "t")).alias("i")).withColumn("j", F.col("tb"))
     theta = 1 - percent / 100 + 1e-9
-    more = (
-        side("a").join(side("b"), "cell")
-        .filter("a < b and ca <> cb")
-        .filter(F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= theta))
-        .filter(_allowed(percent)).select("a", "b").distinct()
-    )
-    second = _links(more, classes, percent).filter("linked").select("a", "b")
-    links = packed.checkpointed(first.union(second))
-    return links, connected_components(links)
+    met = a.join(b, ["cell", "i", "j"]).filter("(ta < tb or a < b) and ca <> cb")
+    met = met.filter(F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= theta)).filter(_allowed(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sketch(h: np.ndarray) -> np.ndarray:

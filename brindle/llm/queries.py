@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.jaccard_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"))[0]
+    return jaccard_join(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,8 +62,24 @@ def test_jaccard_join_equals_brute_force(spark):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(frame(spark, rows))[0].collect()}
+    members, links = jaccard_join(frame(spark, rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()}
     assert got == {k: (len(s), find(k)) for k, s in sets.items()}
+    check_links(members, links, sets, rows)
+
+
+def check_links(members, links, sets, rows):
+    """Every link between different sets, and the number of links of each row."""
+    from brindle.llm.jaccard_join import link_counts
+
+    linked = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    own = {k: min(j for j in sets if sets[j] == s) if s else k for k, s in sets.items()}
+    assert {(r.doc_id, r.class_id) for r in members.collect()} == set(own.items())
+    reps = sorted(set(own.values()))
+    assert sorted(tuple(r) for r in links.collect()) == [(a, b) for a in reps for b in reps if a < b and linked(a, b)]
+    ids = [r[0] for r in rows]
+    want = sorted((k, sum(linked(k, j) for j in ids) - bool(sets[k])) for k in ids)
+    assert sorted((r.doc_id, r.n_links) for r in link_counts(members, links).collect()) == want
 
 
 def test_jaccard_join_of_a_dense_cell(spark):
@@ -90,12 +106,39 @@ def test_jaccard_join_of_a_dense_cell(spark):
             if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    was, J.HEAVY = J.HEAVY, 8  # as in larger flushes
+    was = J.HEAVY, J.TILE
+    J.HEAVY, J.TILE = 8, 16  # as in larger flushes and cells
     try:
-        got = {x.doc_id: x.component_id for x in J.jaccard_join(frame(spark, rows))[0].collect()}
+        members, links = J.jaccard_join(frame(spark, rows))
+        assert {x.doc_id: x.component_id for x in members.collect()} == {k: find(k) for k in sets}
+        check_links(members, links, sets, rows)
     finally:
-        J.HEAVY = was
-    assert got == {k: find(k) for k in sets}
+        J.HEAVY, J.TILE = was
+
+
+def test_components_of_chains_stars_and_loops(spark, monkeypatch):
+    from brindle.llm import components as C
+
+    r = random.Random(6)
+    order = r.sample(range(3000), 3000)
+    edges = [(a, b) for a, b in zip(order[:400], order[1:400])] + [(order[500], x) for x in order[501:900]] + [(order[900 + i], order[900 + i // 2]) for i in range(1, 500)]
+    edges += [(7, 7), (None, 3), (3, None)] + r.choices(edges, k=50)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    frame_ = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for roots in (500_000, 40):
+        monkeypatch.setattr(C, "ROOTS", roots)
+        assert {x.node: x.component for x in C.connected_components(frame_).collect()} == {k: find(k) for k in list(root)}
+    assert C.connected_components(frame_.filter("false")).count() == 0
 
 
 def test_jaccard_join_of_nothing(spark):
@@ -279,7 +322,7 @@ def test_jaccard_join_of_repeated_keys(spark):
     from brindle.llm.jaccard_join import jaccard_join
 
     docs = spark.createDataFrame([(4, "a b c d e f g", "x"), (4, "a b c d e f g", "y"), (9, "A b c d e f g", "z"), (None, "a b c d e f g", "z")], "doc_id long, text string, component_id string")
-    assert sorted(tuple(x) for x in jaccard_join(docs)[0].collect()) == [(4, 3, 4), (4, 3, 4), (9, 3, 4)]
+    assert sorted(tuple(x) for x in jaccard_join(docs)[0].collect()) == [(4, 3, 4, 4), (4, 3, 4, 4), (9, 3, 4, 4)]
 
 
 def test_spans_beside_columns_of_the_same_names(spark):
