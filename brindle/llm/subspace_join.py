@@ -6,8 +6,12 @@ dimensions. If every block of two vectors were farther apart than its share of t
 (proportional to its dimensions), the sum would exceed the budget; so close vectors are within
 the share in one block at least. Each block is range-joined on a grid of its first dimensions
 with cells as wide as the share's radius: a vector visits its own cell and is copied to half of the
-neighbours. A pair found in several blocks counts in the first block that is within its share, and
-is verified with the exact cosine of the unrotated vectors in double precision.
+neighbours.
+
+The grid is met twice. First only the block itself travels, a byte a dimension: a row is a candidate in a cell if some
+other row there is within the share, widened by the rounding to bytes. Cells of more than CROWD rows keep all theirs.
+Then whole vectors go to the cells where they are candidates. A pair found in several blocks counts in the first block
+that is within its share, and is verified with the exact cosine of the unrotated vectors in double precision.
 
 Exact copies (same label and bytes) are one vector with a multiplicity. A cell is cut into tiles of
 TILE vectors, and pairs of tiles are tasks of their own, so neither memory nor a single task grows
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import packed, words
 from brindle.llm.components import connected_components
 from brindle.llm.packed import checkpointed
 
-WIDTH = 8
+WIDTH = 16
 GRID = 2
 TILE = 2048
+CROWD = 8192
+SCALE = 127.0
 COSINE = 0.98
 SLACK = 1e-5  # on squared distances, above the rounding of float32 input in double arithmetic
 
@@ -76,30 +83,88 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _place(cosine: float, width: int, grid: int):
-    """Each vector to its grid cells in every block: its own (home) and the neighbours that come after it."""
-    schema = pa.schema([("g", pa.string()), ("block", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("mult", pa.int64()), ("v", pa.binary())])
+def _label_hash(label: str, d: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{d}|{label}".encode(), digest_size=8).digest(), "little")
+
+
+def _place(cosine: float, width: int, grid: int, bits: int):
+    """Each vector's blocks to its grid cells: its own (home) and the neighbours that come after it; packed by bucket."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed.batches(rows(incoming))
+
+    def rows(incoming):
         for batch in incoming:
             groups: dict[int, list[int]] = {}
             for i, v in enumerate(batch.column("dims").to_pylist()):
                 groups.setdefault(v, []).append(i)
-            for d, rows in groups.items():
-                for some in np.array_split(rows, -(-len(rows) // 2048)):
+            for d, mine in groups.items():
+                for some in np.array_split(mine, -(-len(mine) // 2048)):
                     part = batch.take(pa.array(some))
                     y = _unit(_rows(part.column("v"))) @ rotation(d)
-                    labels = part.column("label").to_pylist()
-                    budget = 2 - 2 * cosine + SLACK
-                    for k, (a, b) in enumerate(_bounds(d, width)):
-                        radius = np.sqrt(budget * (b - a) / d)
-                        cell = np.floor(y[:, a : min(a + grid, b)] / radius).astype(np.int64)
-                        for step in _half(cell.shape[1]):
-                            g = [f"{d}|{k}|" + ".".join(map(str, c)) + f"|{l}" for l, c in zip(labels, (cell + step).tolist())]
-                            n = len(g)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(g), pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.full(n, not any(step))), part.column("rep"), part.column("mult"), part.column("v")], schema=schema
-                            )
+                    labels = np.array([_label_hash(x, d) for x in part.column("label").to_pylist()], dtype=np.uint64)
+                    yield from placed(d, y, labels, part.column("rep").to_numpy())
+
+    def placed(d, y, labels, rep):
+        budget = 2 - 2 * cosine + SLACK
+        for k, (a, b) in enumerate(_bounds(d, width)):
+            radius = np.sqrt(budget * (b - a) / d)
+            cell = np.floor(y[:, a : min(a + grid, b)] / radius).astype(np.int64)
+            part = np.round(y[:, a:b] * SCALE).astype(np.int8)
+            for step in _half(cell.shape[1]):
+                g = labels ^ words.mix(np.full(len(rep), k + 1, dtype=np.uint64))
+                for c in (cell + step).T:
+                    g = words.mix(g ^ c.view(np.uint64))
+                home = not any(step)
+                for bucket, (h, r, p) in packed.scattered((g >> np.uint64(64 - bits)).astype(np.int64), g, rep, part):
+                    yield bucket, 2 * k + home, packed.pack(np.array([d]), h, r, p)
+
+    return run
+
+
+def _candidates(cosine: float, width: int):
+    """Reduce side: rows of a cell that have another within the block's share; (g, block, home, rep)."""
+    schema = pa.schema([("g", pa.int64()), ("block", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64())])
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kinds in packed.by_bucket(incoming):
+            for k in sorted({kind // 2 for kind in kinds}):
+                # vectors of other lengths have other cells, but may share a bucket
+                by_length: dict[int, list] = {}
+                for home in (1, 0):
+                    for p in kinds.pop(2 * k + home, ()):
+                        d, h, r, part = packed.unpack(p)
+                        by_length.setdefault(int(d[0]), []).append((h, r, np.full(len(h), bool(home)), part.reshape(len(h), -1)))
+                for d, columns in sorted(by_length.items()):
+                    g, rep, home, part = (np.concatenate(c) for c in zip(*columns))
+                    keep = near(g, home, part, d)
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(np.full(keep.sum(), k, dtype=np.int32)), pa.array(home[keep]), pa.array(rep[keep])], schema=schema)
+        packed.trim()
+
+    def near(g, home, part, d):
+        order = np.lexsort((~home, g))
+        begins = np.flatnonzero(words.first_of_run(g[order]))
+        keep = np.zeros(len(g), dtype=bool)
+        for a, z in zip(begins, np.append(begins[1:], len(g))):
+            rows = order[a:z]
+            n = int(home[rows].sum())
+            if z - a < 2 or not n:
+                continue
+            if z - a > CROWD:
+                keep[rows] = True
+                continue
+            x = part[rows].astype(np.float32)
+            size = (x * x).sum(1)
+            # half a step of rounding in each dimension of both rows
+            reach = (np.sqrt((2 - 2 * cosine + SLACK) * x.shape[1] / d) * SCALE + np.sqrt(x.shape[1]) + 0.01) ** 2
+            for lo in range(0, n, 256):
+                some = slice(lo, min(lo + 256, n))
+                close = size[some, None] + size[None] - 2 * (x[some] @ x.T) <= reach
+                close[np.arange(close.shape[0]), np.arange(lo, lo + close.shape[0])] = False
+                keep[rows[some]] |= close.any(1)
+                keep[rows] |= close.any(0)
+        return keep
 
     return run
 
@@ -116,7 +181,7 @@ def _tile(cosine: float, width: int):
     out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        home, i, j = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "i", "j"))
+        home, i, j, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "i", "j", "label"))
         tile, rep, mult = (table.column(c).to_numpy() for c in ("tile", "rep", "mult"))
         block = table.column("block")[0].as_py()
         i, j = i[0], j[0]
@@ -136,6 +201,8 @@ def _tile(cosine: float, width: int):
                 fine &= within if k == block else ~within
             r, c = np.nonzero(fine)
             r, c = part[r], b[c]
+            same = label[r] == label[c]  # cells are told by hashes
+            r, c = r[same], c[same]
             # two home rows of one tile meet once; between different tiles only where i < j
             ok = ~home[c] | (i < j) | (rep[r] < rep[c])
             r, c = r[ok], c[ok]
@@ -188,18 +255,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     classes = checkpointed(
         rows.filter("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("label").alias("label"), F.min("dims").alias("dims"), F.min("v").alias("v"))
     )
-    placed = classes.mapInArrow(_place(cosine, width, grid), "g string, block int, home boolean, rep long, mult long, v binary")
+    bits, n = packed.bucket_bits(vectors.sparkSession), packed.partitions(vectors.sparkSession)
+    blocks = packed.dealt(classes.mapInArrow(_place(cosine, width, grid, bits), packed.SCHEMA), n, bits)
+    found = checkpointed(blocks.mapInArrow(_candidates(cosine, width), "g long, block int, home boolean, rep long"))
     # a cell without two vectors, or without one at home, joins nothing; a crowded cell is cut into tiles
-    counts = placed.groupBy("g").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).filter("m > 1 and h > 0")
-    tiled = placed.join(counts.select("g", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "g").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    counts = found.groupBy("g", "block").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).filter("m > 1 and h > 0")
+    tiled = found.join(counts.select("g", "block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), ["g", "block"]).join(classes.select("rep", "mult", "label", "dims", "v"), "rep")
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     t = F.col("tile")
     # task (i, j): home rows of tile i against tile j; two home tiles meet in (i, j) with i <= j only
     as_home = F.concat(F.transform(every, lambda x: pair(t, x)), F.transform(F.filter(every, lambda x: x < t), lambda x: pair(x, t)))
     as_copy = F.transform(every, lambda x: pair(x, t))
-    tasks = tiled.select("g", "block", "home", "rep", "mult", "v", "tile", F.explode(F.when(F.col("home"), as_home).otherwise(as_copy)).alias("p")).select("*", "p.i", "p.j").drop("p")
-    found = checkpointed(tasks.groupBy("g", "i", "j").applyInArrow(_tile(cosine, width), "rep long, links long, other long"))
+    tasks = tiled.select("g", "block", "dims", "label", "home", "rep", "mult", "v", "tile", F.explode(F.when(F.col("home"), as_home).otherwise(as_copy)).alias("p")).select("*", "p.i", "p.j").drop("p")
+    found = checkpointed(tasks.groupBy("g", "block", "dims", "i", "j").applyInArrow(_tile(cosine, width), "rep long, links long, other long"))
     links = found.filter("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("other is not null"), "rep", "other")
     per_class = (

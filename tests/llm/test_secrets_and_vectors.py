@@ -89,13 +89,13 @@ def test_near_duplicates_equal_brute_force(spark):
     rows += [(200, None, 1), (201, [], 1), (202, [0.0] * 16, 1), (203, [float("nan")] * 16, 1), (204, [None] * 16, 1), (205, rows[0][1], None), (206, rows[0][1], rows[0][2]), (206, rows[0][1], rows[0][2]), (None, rows[0][1], rows[0][2]), (207, [1.0, 2.0], 1), (208, [1.0, 2.01], 1), (209, [float("inf")] * 16, 1), (210, [1e-30] * 16, 1), (211, [1e30] * 16, 1)]
     frame = spark.createDataFrame([(*x, "x") for x in rows], "vec_id long, embedding array<float>, label int, rep string")
     rows = [(k, None if v is None else [None if x is None else float(np.float32(x)) for x in v], p) for k, v, p in rows]
-    was = J.TILE
+    was = J.TILE, J.CROWD
     try:
-        for J.TILE in (2048, 7):
-            got = sorted(((x.vec_id, x.n_links, x.component_id) for x in J.near_duplicates(frame).collect()), key=repr)
+        for J.TILE, J.CROWD, width in ((2048, 8192, 16), (7, 8192, 4), (7, 3, 4), (2048, 8192, 5)):
+            got = sorted(((x.vec_id, x.n_links, x.component_id) for x in J.near_duplicates(frame, width=width).collect()), key=repr)
             assert got == sorted(brute(rows, 0.98), key=repr)
     finally:
-        J.TILE = was
+        J.TILE, J.CROWD = was
     assert J.near_duplicates(frame.filter("false")).count() == 0
 
 
