@@ -63,7 +63,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 def clopper_pearson_upper(events: int, n: int, confidence: float) -> float:
     """Exact one-sided upper bound: the rate at which so few events have probability 1 - confidence."""
     if n < 1 or not 0 <= events <= n:
-        raise ValueError("events must be between zero and positive trials")
+        raise ValueError("a bound needs trials, and no more events than those")
     if events == n:
         return 1.0
     low, high = events / n, 1.0

@@ -52,8 +52,16 @@ def sequence_hash(tokens: Column) -> Column:
 
 def multiset_hash(payloads: Column) -> Column:
     """SHA-256 of an array of binaries whatever their order: sorted (length, digest) entries, each after its length."""
-    entry = lambda p: F.concat(F.lpad(F.hex(F.octet_length(p).cast("long")), 16, "0"), F.upper(F.sha2(p, 256)))
-    framed = F.transform(F.array_sort(F.transform(payloads, entry)), lambda e: F.concat(F.lit("0000000000000028"), e))
+    return entries_hash(F.transform(payloads, payload_entry))
+
+
+def payload_entry(payload: Column) -> Column:
+    """What a multiset hash keeps of a binary: its length and digest, so that whole payloads need not be gathered."""
+    return F.concat(F.lpad(F.hex(F.octet_length(payload).cast("long")), 16, "0"), F.upper(F.sha2(payload, 256)))
+
+
+def entries_hash(entries: Column) -> Column:
+    framed = F.transform(F.array_sort(entries), lambda e: F.concat(F.lit("0000000000000028"), e))
     return F.sha2(F.unhex(F.array_join(framed, "")), 256)
 
 

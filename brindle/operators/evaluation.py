@@ -23,8 +23,8 @@ COVERAGES = (0.5, 0.8, 0.9, 0.95, 1.0)
 
 
 def keyed(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins a side with one row per key; without keys that side is one row."""
-    return left.join(F.broadcast(right), list(by), how) if by else left.crossJoin(F.broadcast(right))
+    """Joins a side with one row per key; without keys that side is one row. Keys may be many, so Spark chooses the join."""
+    return left.join(right, list(by), how) if by else left.crossJoin(F.broadcast(right))
 
 
 def score_table(rows: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -237,7 +237,7 @@ def group_bootstrap(rows: DataFrame, thresholds: DataFrame, repetitions: int = 2
 def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """The locked evaluation as one nested row: the threshold comes from validation, everything else from test."""
     if not 0.0 < target_fpr < 1.0:
-        raise ValueError("target_fpr must be in (0, 1)")
+        raise ValueError("a target rate lies between 0 and 1, both left out")
     validation, test = rows.filter("split = 'validation'"), rows.filter("split = 'test'")
     vt, tt = score_table(validation), score_table(test)
     lock = select_threshold(vt, target_fpr).select("threshold")

@@ -19,16 +19,21 @@ def package_key(ecosystem: Column, package: Column) -> Column:
     return F.concat(F.lower(ecosystem), F.lit(":"), F.when(python, F.regexp_replace(name, "[-_.]+", "-")).otherwise(name))
 
 
-def _ids() -> Column:
-    """The first IDS sample ids; a bounded top-k by partial aggregation would also do, ids of one finding are few."""
-    return F.slice(F.array_sort(F.collect_set("sample_id")), 1, IDS)
+def _with_ids(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """found with sample_ids, the first IDS sample ids of its keys in rows.
+
+    Ranks are cut to IDS before they are shuffled, and no array holds more, however many rows a key has.
+    """
+    own = rows.join(found.select(*keys), keys, "left_semi").select(*keys, "sample_id").distinct()
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("sample_id"))).filter(F.col("_r") <= IDS)
+    return found.join(first.groupBy(*keys).agg(F.array_sort(F.collect_list("sample_id")).alias("sample_ids")), keys, "left")
 
 
 def duplicate_issues(rows: DataFrame) -> DataFrame:
     """One finding per digest that several rows have."""
-    g = rows.groupBy("sha256").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("split").alias("splits"), _ids().alias("sample_ids")).filter("n > 1")
+    g = rows.groupBy("sha256").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("split").alias("splits")).filter("n > 1 and sha256 is not null")
     conflict = F.col("labels") > 1
-    return g.select(
+    return _with_ids(g, rows, ["sha256"]).select(
         F.when(conflict | (F.col("splits") > 1), "error").otherwise("warning").alias("severity"), F.when(conflict, "conflicting-label-duplicate").otherwise("exact-duplicate").alias("code"), F.col("sha256").alias("value"), F.col("n"), "sample_ids",
     )
 
@@ -43,14 +48,15 @@ def leak_issues(rows: DataFrame) -> DataFrame:
     value = {"package": package_key(F.col("ecosystem"), F.col("package"))}
     fields = [F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), value.get(f, F.col(f)).alias("value")) for f, code, severity in LEAKS]
     long = rows.select("sample_id", "split", F.explode(F.array(*fields)).alias("f")).select("sample_id", "split", "f.*").filter("value is not null")
-    g = long.groupBy("severity", "code", "value").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), _ids().alias("sample_ids"))
-    return g.filter("splits > 1").drop("splits")
+    g = long.groupBy("severity", "code", "value").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    return _with_ids(g.filter("splits > 1").drop("splits"), long, ["severity", "code", "value"])
 
 
 def fragmented_packages(rows: DataFrame) -> DataFrame:
     """Packages that use several group ids."""
-    g = rows.groupBy(package_key(F.col("ecosystem"), F.col("package")).alias("value")).agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups"), _ids().alias("sample_ids"))
-    return g.filter("groups > 1").select(F.lit("warning").alias("severity"), F.lit("package-group-fragmentation").alias("code"), "value", "n", "sample_ids")
+    named = rows.select("sample_id", "group_id", package_key(F.col("ecosystem"), F.col("package")).alias("value"))
+    g = named.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups")).filter("groups > 1")
+    return _with_ids(g, named, ["value"]).select(F.lit("warning").alias("severity"), F.lit("package-group-fragmentation").alias("code"), "value", "n", "sample_ids")
 
 
 def temporal_issues(rows: DataFrame) -> DataFrame:

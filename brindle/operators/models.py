@@ -24,10 +24,14 @@ def vectors(examples: DataFrame, dimensions: int = 1 << 16, person: bytes = b"br
 
 def predict(examples: DataFrame, weights: DataFrame, bias: float = 0.0, dimensions: int = 1 << 16, person: bytes = b"brindle1", key: str = "sample_id") -> DataFrame:
     """(key, probability) by sparse weights (index, weight), of which there are at most as many as dimensions."""
-    s = vectors(examples, dimensions, person, key).join(F.broadcast(weights), "index").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    small = F.broadcast(weights) if dimensions <= 1 << 20 else weights  # at most 16 MB
+    s = vectors(examples, dimensions, person, key).join(small, "index").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
     return examples.select(key).join(s, key, "left").select(key, S.sigmoid(F.coalesce("s", F.lit(0.0)) + bias).alias("probability"))
 
 
+MOST_EXAMPLES = 5_000_000
+
+
 class Logistic:
     """Online logistic regression on hashed n-grams; the updates are a sequence, so they run in one place."""
 
@@ -73,7 +77,11 @@ def train(examples: DataFrame, epochs: int = 1, seed: int = 13, dimensions: int
     """(by, index, weight) per model key, the bias at index -1; examples have by, ord, tokens and label.
 
     One model's updates are sequential by definition, so each key trains in one task, on vectors that the cluster made.
+    A key of more than MOST_EXAMPLES examples raises, as one task would have to hold them all.
     """
+    too_many = examples.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_EXAMPLES).first()
+    if too_many is not None:
+        raise ValueError(f"{too_many.n} examples of one model; at most {MOST_EXAMPLES} are trained in one task")
     v = vectors(examples.withColumn("sample_id", F.struct(by, "ord")), dimensions, person)
     rows = v.groupBy("sample_id").agg(F.collect_list(F.struct("index", "value")).alias("v"))
     joined = examples.select(F.struct(by, "ord").alias("sample_id"), by, "ord", "label").join(rows, "sample_id", "left").drop("sample_id")

@@ -16,11 +16,7 @@ LOOK_BACK = 12
 FIELDS = ("target_id", "path", "motif", "score", "reason", "event_indexes", "evidence_kind", "confidence")
 
 
-# What the reason of a near pattern says was not proven, by frontend.
-UNPROVEN, LEXICAL_UNPROVEN = "exact value flow was not proven", "browser value flow was not proven"
-
-
-def _path(motif: Column, kind: str, confidence: str, indexes: Column, unproven: str = UNPROVEN) -> list[Column]:
+def _path(motif: Column, kind: str, confidence: str, indexes: Column, unproven: str = V.UNPROVEN) -> list[Column]:
     score, reason = F.lit(None).cast("double"), F.lit(None).cast("string")
     if kind == "structural":
         for m, (s, r) in V.STRUCTURES.items():
@@ -28,12 +24,12 @@ def _path(motif: Column, kind: str, confidence: str, indexes: Column, unproven:
     else:
         for m, (exact, near, r) in V.FLOWS.items():
             score = F.when(motif == m, near if kind == "proximity" else exact).otherwise(score)
-            text = r.replace(" flows into ", " appears near ") + f"; {unproven}" if kind == "proximity" else r + ("; bounded direct-call summary" if kind == "summary" else "")
+            text = r.replace(" flows into ", " appears near ") + f"; {unproven}" if kind == "proximity" else r + (V.SUMMARY_REASON if kind == "summary" else "")
             reason = F.when(motif == m, text).otherwise(reason)
     return [motif.alias("motif"), score.alias("score"), reason.alias("reason"), indexes.alias("event_indexes"), F.lit(kind).alias("evidence_kind"), F.lit(confidence).alias("confidence")]
 
 
-def proximity_paths(events: DataFrame, exact: DataFrame | None = None, look_back: int = LOOK_BACK, unproven: str = UNPROVEN) -> DataFrame:
+def proximity_paths(events: DataFrame, exact: DataFrame | None = None, look_back: int = LOOK_BACK, unproven: str = V.UNPROVEN) -> DataFrame:
     """Sources or transforms among the look_back earlier events of a sink's function.
 
     A window frame collects them, so no band join is made. Network sinks take the last two sources of any kind and keep
@@ -80,7 +76,7 @@ def exact_paths(found: DataFrame) -> DataFrame:
     return side(False, "dataflow", "high").unionByName(side(True, "summary", "medium"))
 
 
-def behavior_paths(events: DataFrame, exact: DataFrame | None = None, look_back: int = LOOK_BACK, unproven: str = UNPROVEN) -> DataFrame:
+def behavior_paths(events: DataFrame, exact: DataFrame | None = None, look_back: int = LOOK_BACK, unproven: str = V.UNPROVEN) -> DataFrame:
     out = proximity_paths(events, exact, look_back, unproven).unionByName(structural_paths(events))
     return out if exact is None else exact.select(*FIELDS).unionByName(out)
 

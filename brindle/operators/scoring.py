@@ -41,7 +41,7 @@ def evidence(events: DataFrame, paths: DataFrame, limited: DataFrame | None = No
     if limited is not None:
         out = out.unionByName(limited.select(
             "target_id", "path", F.col("path").alias("context_path"), F.lit("<module>").alias("function"), F.lit("event").alias("kind"), F.lit("ANALYSIS_LIMIT").alias("name"), F.lit(V.LIMIT_WEIGHT).alias("score"),
-            F.lit("analysis event limit was reached").alias("reason"), F.lit(0).alias("line"), F.lit("ANALYSIS_LIMIT").alias("op"), F.lit(None).cast("long").alias("event_index"), F.lit(None).cast("array<long>").alias("covered"), F.lit(None).cast("string").alias("confidence"),
+            F.lit(V.LIMIT_REASON).alias("reason"), F.lit(0).alias("line"), F.lit("ANALYSIS_LIMIT").alias("op"), F.lit(None).cast("long").alias("event_index"), F.lit(None).cast("array<long>").alias("covered"), F.lit(None).cast("string").alias("confidence"),
         ))
     return out
 

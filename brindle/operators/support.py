@@ -16,7 +16,9 @@ def profile(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
 def nearest(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(sample_id, nearest): the largest Jaccard similarity to any prototype.
 
-    Sets meet through an equi-join on tokens, so only pairs that share one are counted, never all pairs.
+    Sets meet through an equi-join on tokens, so only pairs that share one are counted. The largest similarity needs them
+    all: with tokens that nearly every prototype has this is every sample against every prototype, which a profile of one
+    prototype a group keeps small.
     """
     s = samples.select("sample_id", F.array_distinct("tokens").alias("t"))
     p = prototypes.select("group_id", F.array_distinct("tokens").alias("t"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import vocabulary as V
 from brindle.operators import effects, patterns, scoring
 from brindle.sources import frontend, lexical
 from brindle.sources.storage import checkpointed
@@ -24,7 +25,7 @@ def scan_lexically(sources: DataFrame, **limits) -> dict[str, DataFrame]:
     """The same by the lexical frontend and its own profile, for texts that no parser takes."""
     analyses = checkpointed(lexical.extract(sources, **limits))
     events = frontend.events_of(analyses)
-    paths = patterns.behavior_paths(events, unproven=patterns.LEXICAL_UNPROVEN)
+    paths = patterns.behavior_paths(events, unproven=V.LEXICAL_UNPROVEN)
     rows = checkpointed(scoring.evidence(events, paths, frontend.limited_of(analyses)))
     return _decided(sources, analyses, events, paths, rows, scoring.lexical_top8(rows), None) | {"summaries": effects.effect_summary(analyses, events, paths, lexical=True)}
 

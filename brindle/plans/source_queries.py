@@ -324,7 +324,7 @@ def f22_canonical_fingerprint(spark, d):
 
 def w3_near_patterns(spark, d):
     """Near patterns as the lexical frontend words them."""
-    p = patterns.proximity_paths(V.behavior(spark, d), unproven=patterns.LEXICAL_UNPROVEN)
+    p = patterns.proximity_paths(V.behavior(spark, d), unproven=W.LEXICAL_UNPROVEN)
     return p.groupBy("motif", "score", "reason", "evidence_kind", "confidence").agg(F.count("*").alias("n"))
 
 

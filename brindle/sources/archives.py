@@ -125,10 +125,10 @@ def expand(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def fingerprints(archives: DataFrame, files: DataFrame) -> DataFrame:
     """Per archive: digest of its bytes, content hash of its members whatever their paths, and status."""
-    from brindle.functions.tokens import multiset_hash
+    from brindle.functions.tokens import entries_hash, payload_entry
 
     whole = archives.select(F.substring_index("path", "/", -1).alias("target_id"), F.sha2("content", 256).alias("archive_sha256"), F.length("content").alias("bytes"))
-    per = files.groupBy("target_id").agg(F.max("error").alias("error"), F.count("content").alias("python_files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("python_bytes"), F.collect_list("content").alias("c"))
+    per = files.groupBy("target_id").agg(F.max("error").alias("error"), F.count("content").alias("python_files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("python_bytes"), F.collect_list(payload_entry(F.col("content"))).alias("c"))
     j = whole.join(per, "target_id", "left")
     status = F.when(F.col("error").isNotNull(), "rejected").when(F.coalesce("python_files", F.lit(0)) == 0, "empty").otherwise("ok")
-    return j.select("target_id", "archive_sha256", "bytes", status.alias("status"), "error", F.coalesce("python_files", F.lit(0)).alias("python_files"), F.coalesce("python_bytes", F.lit(0)).alias("python_bytes"), F.when(status == "ok", multiset_hash(F.col("c"))).alias("source_set_hash"))
+    return j.select("target_id", "archive_sha256", "bytes", status.alias("status"), "error", F.coalesce("python_files", F.lit(0)).alias("python_files"), F.coalesce("python_bytes", F.lit(0)).alias("python_bytes"), F.when(status == "ok", entries_hash(F.col("c"))).alias("source_set_hash"))

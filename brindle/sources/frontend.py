@@ -92,11 +92,11 @@ def limited_of(analyses: DataFrame) -> DataFrame:
 
 def normalised_hash(files: DataFrame) -> DataFrame:
     """(target_id, ast_hash): of a target's texts with identifiers and literals levelled, whatever their names and order."""
-    from brindle.functions.tokens import multiset_hash
+    from brindle.functions.tokens import entries_hash, payload_entry
 
     @F.pandas_udf("binary")
     def plain(column):
         return column.map(lambda b: syntax.normal_form(b or b""))
 
-    n = files.select("target_id", plain("content").alias("c"))
-    return n.groupBy("target_id").agg(F.collect_list("c").alias("c")).select("target_id", multiset_hash(F.col("c")).alias("ast_hash"))
+    n = files.select("target_id", plain("content").alias("c")).select("target_id", payload_entry(F.col("c")).alias("e"))
+    return n.groupBy("target_id").agg(entries_hash(F.collect_list("e")).alias("ast_hash"))

@@ -31,7 +31,7 @@ BINDING = re.compile(rf"({NAME})\s*=\s*({NAME}(?:\.{NAME})+)\s*(?:\(|$)")
 DEFINITION = re.compile(rf"(?:async\s+)?def\s+({NAME})\s*\(")
 CALL = re.compile(rf"\b({DOTTED})\s*\(")
 ENVIRON = re.compile(r"\b(?:os\.)?environ\s*\[")
-PAYLOAD = re.compile(r"\b(?:data|json|files|content)\s*=")
+PAYLOAD = re.compile(rf"\b(?:{'|'.join(V.LEXICAL_PAYLOAD)})\s*=")
 MODE = re.compile(r"[rwaxtb+]+")
 MODULE = re.compile(rf"""\s*\(\s*[rRuUbBfF]{{0,2}}(["'])({DOTTED})\1""")
 GUARD = re.compile(r"""if\s+__name__\s*==\s*(["'])__main__\1\s*:""")
@@ -100,7 +100,7 @@ class Lines:
 
     def _line(self, n: int, code: str) -> Iterator[dict]:
         inner = self.open[-1][1] if self.open else "<module>"
-        install = self.setup and not self.open or inner in syntax.INSTALL_FUNCTIONS
+        install = self.setup and not self.open or inner in V.INSTALL_FUNCTIONS
         place = {"line": n + 1, "function": inner, "phase": "install" if install else "runtime" if self.open else "import"}
         event = lambda op, category, detail, target, column: place | {"op": op, "category": category, "detail": detail, "target": target[: syntax.LITERAL], "column": column}
         words, strings = code.strip(), self.strings.get(n, [])

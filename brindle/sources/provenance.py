@@ -14,8 +14,6 @@ from brindle.sources.syntax import OPENERS, Reader, has_marker
 TRACES, LENGTH, PATHS = 16, 16, 256
 CROSSED = -1
 REQUESTS = ("requests.get", "requests.Session.get", "httpx.get", "httpx.Client.get", "aiohttp.ClientSession.get", "urllib.request.urlopen", "urllib.request.urlretrieve", "urllib.urlopen")
-PAYLOAD = ("data", "json", "files", "content", "body", "payload")
-COMMAND = ("args", "cmd", "command", "code", "source", "object", "executable")
 
 Traces = tuple[tuple[int, ...], ...]
 
@@ -193,10 +191,10 @@ class Provenance:
             return every
         if op == "NETWORK_SEND":
             rest = args[:1] if name.endswith((".send", ".sendall")) else args[1:]
-            self.sink(index, merged(*(v for k, v in words if k is None or k in PAYLOAD), *rest))
+            self.sink(index, merged(*(v for k, v in words if k is None or k in V.PAYLOAD_ARGUMENTS), *rest))
             return ()
         if op in V.EXECUTIONS:
-            payload = merged(*args[:1], *(v for k, v in words if k is None or k in COMMAND))
+            payload = merged(*args[:1], *(v for k, v in words if k is None or k in V.COMMAND_ARGUMENTS))
             if op == "PROCESS_EXEC":
                 payload = merged(payload, *(t for f, t in self.staged.items() if f in self.spoken(node)))
             self.sink(index, payload)

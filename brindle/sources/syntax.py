@@ -11,7 +11,6 @@ from brindle.functions import vocabulary as V
 
 OPENERS = ("open", "builtins.open", "io.open")
 CLIENTS = ("aiohttp.ClientSession", "httpx.Client", "requests.Session", "socket.socket")
-INSTALL_FUNCTIONS = ("setup", "install", "post_install", "build", "develop")
 LITERAL = 240
 _EXACT = {n: (op, c, d) for op, c, d, names in V.CALLS for n in names}
 
@@ -124,7 +123,7 @@ class Reader:
     def phase(self, s: Scope) -> str:
         if s.function == "<module>":
             return "install" if self.setup else "import"
-        return "install" if s.function in INSTALL_FUNCTIONS else "runtime"
+        return "install" if s.function in V.INSTALL_FUNCTIONS else "runtime"
 
     def add(self, node: ast.AST, s: Scope, op: str, category: str, target: str | None, detail: str) -> None:
         phase = self.phase(s)
