@@ -31,15 +31,18 @@ RULES = (
     ("short_words", "2 * word_chars < 5 * n_words"),
     ("long_words", "word_chars > 11 * n_words"),
     ("few_distinct_words", "100 * n_distinct_words < 12 * n_words"),
+    # the share of distinct words falls as texts grow, about as the root of their length, so long ones are held to that
+    ("few_words_for_length", "100 * n_distinct_words < 12 * n_words and n_distinct_words * n_distinct_words < 4 * n_words"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 
 #: version -> the rules that reject; versions are never changed, only added.
 POLICIES = {
     "base-1": ("short", "repeated_words"),
-    "web-1": tuple(name for name, _ in RULES),
+    "web-1": ("short", "repeated_words", "symbols", "repeated_lines", "capitals", "exclamations", "few_letters", "short_words", "long_words", "few_distinct_words"),
+    "web-2": ("short", "repeated_words", "symbols", "repeated_lines", "capitals", "exclamations", "few_letters", "short_words", "long_words", "few_words_for_length"),
 }
-POLICY = "web-1"
+POLICY = "web-2"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 _UPPER = np.zeros(256, dtype=bool)
