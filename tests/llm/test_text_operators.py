@@ -211,7 +211,20 @@ def test_ledger_equals_brute_force(spark):
         b = L.BIT[r.rule]
         assert (r.failed, r.failed_alone, r.total) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), len(bits))
     kept = L.quality_filter(frame(spark, rows))
-    assert kept.columns == frame(spark, rows).columns and kept.count() == sum(x == 0 for x in bits)
+    assert kept.columns == frame(spark, rows).columns and kept.count() == sum(x & L.mask(L.POLICY) == 0 for x in bits)
+    assert L.quality_filter(frame(spark, rows), "web-1").count() == sum(x & L.mask("web-1") == 0 for x in bits)  # versions stay
+
+
+def test_long_texts_do_not_fail_by_length(spark):
+    from brindle.llm import quality_ledger as L
+
+    r = random.Random(3)
+    vocabulary = [f"{r.choice('bcdfglmnprst')}{r.choice('aeiou')}{i}" for i in range(6000)]
+    long = " ".join(vocabulary[min(int(r.paretovariate(0.9)), 5999)] for _ in range(60_000))
+    poor = " ".join(vocabulary[r.randrange(30)] for _ in range(3000))
+    docs = spark.createDataFrame([(1, long), (2, poor)], "doc_id long, text string")
+    bits = {x.doc_id: x.fail_bits for x in L.ledger(docs).collect()}
+    assert bits[1] & L.BIT["few_distinct_words"] and not bits[1] & L.BIT["few_words_for_length"] and bits[2] & L.BIT["few_words_for_length"]
 
 
 def test_packing_is_a_partition_of_all_ids(spark):
@@ -244,7 +257,7 @@ def test_packing_is_a_partition_of_all_ids(spark):
 def test_agenda_equals_the_library(spark):
     import sentencepiece
 
-    from brindle.llm.sp_agenda import encode_decode
+    from brindle.llm.sp_agenda import Agenda, encode_decode
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -255,6 +268,22 @@ def test_agenda_equals_the_library(spark):
     got = {x.doc_id: (x.ids, x.decoded) for x in encode_decode(frame(spark, rows), model).collect()}
     for k in want:
         assert got[k] == want[k], (k, got[k], want[k])
+    # the agenda by itself, without the library's word
+    agenda = Agenda(model)
+    for text in [x[1] or "" for x in rows]:
+        assert not text or [i for p in agenda.parts(text) for i in agenda.merge(p.replace(" ", "▁"))] == lib.encode(text)
+    list(agenda.batch([x[1] for x in rows]))
+    assert agenda.differing == 0
+
+
+def test_the_library_decides_where_the_agenda_errs(monkeypatch):
+    from brindle.llm.sp_agenda import Agenda
+
+    agenda = Agenda(public_tokenizers.path("piece_bpe_32k.model"))
+    right = [x[:2] for x in agenda.batch(["some words here"])]
+    agenda.cache.clear()
+    monkeypatch.setattr(agenda, "merge", lambda part: [0])
+    assert [x[:2] for x in agenda.batch(["some words here"])] == right and agenda.differing > 0
 
 
 def test_packing_of_nothing_and_of_repeated_keys(spark):
