@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import statistics as S
 from brindle.operators import evaluation as E
+from brindle.sources.storage import checkpointed
 
 METADATA = ("label", "split", "group_id", "period")
 DIRECTION = {"recall": "higher", "false_positive_rate": "lower", "average_precision": "higher", "brier_score": "lower", "aurc": "lower", "model_invocation_rate": "lower", "mean_latency_ms": "lower", "median_latency_ms": "lower"}
@@ -116,10 +117,10 @@ def claim_gate(intervals: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def compare(baseline: DataFrame, candidate: DataFrame, target_fpr: float = 0.001, repetitions: int = 200, seed: int = 0, confidence: float = 0.95) -> dict[str, DataFrame]:
     """All parts of a paired report; each system's bounds share the error rate, hence the narrower confidence of each."""
-    pairs = align(baseline, candidate)
+    pairs = checkpointed(align(baseline, candidate))  # every part reads it
     both = systems(pairs)
     each = 1.0 - (1.0 - confidence) / 2.0
-    lock = E.select_threshold(E.score_table(both.filter("split = 'validation'"), ["system"]), target_fpr, ["system"]).select("system", "threshold")
+    lock = E.once(E.select_threshold(E.score_table(both.filter("split = 'validation'"), ["system"]), target_fpr, ["system"]).select("system", "threshold"))
     test = pairs.filter("split = 'test'")
     evidence = E.fpr_evidence(both.filter("split = 'test'"), lock, target_fpr, each, ["system"])
     intervals = paired_bootstrap(test, lock, repetitions, seed, confidence)

@@ -51,8 +51,10 @@ def purpose_candidates(paths: DataFrame, events: DataFrame) -> DataFrame:
     return first.join(lines.groupBy(*FILE, "label").agg(F.array_sort(F.collect_set("line")).alias("lines")), [*FILE, "label"], "left").select(*FILE, "position", "label", "confidence", F.col("why").alias("reason"), "lines")
 
 
-def primary_purpose(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy(*FILE).agg(F.min_by("label", "position").alias("primary_purpose"))
+def primary_purpose(candidates: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The first candidate of each file; files (target_id, path) without one are of unknown purpose."""
+    p = candidates.groupBy(*FILE).agg(F.min_by("label", "position").alias("primary_purpose"))
+    return p if files is None else files.select(*FILE).distinct().join(p, FILE, "left").withColumn("primary_purpose", F.coalesce("primary_purpose", F.lit("unknown")))
 
 
 def effect_summary(analyses: DataFrame, events: DataFrame, paths: DataFrame, lexical: bool = False) -> DataFrame:

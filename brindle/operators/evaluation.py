@@ -27,6 +27,11 @@ def keyed(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inne
     return left.join(right, list(by), how) if by else left.crossJoin(F.broadcast(right))
 
 
+def once(few: DataFrame) -> DataFrame:
+    """A table of a row per system or less, computed now, so that its readers do not each compute it again."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def score_table(rows: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Per key and distinct score: n rows and tp positive rows, weighted if asked."""
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
@@ -240,7 +245,7 @@ def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 2000, se
         raise ValueError("a target rate lies between 0 and 1, both left out")
     validation, test = rows.filter("split = 'validation'"), rows.filter("split = 'test'")
     vt, tt = score_table(validation), score_table(test)
-    lock = select_threshold(vt, target_fpr).select("threshold")
+    lock = once(select_threshold(vt, target_fpr).select("threshold"))
     one = lambda d, name: d.select(F.struct(*d.columns).alias(name))
     many = lambda d, name, order: d.agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in d.columns if c != order]))).alias(name))
     parts = [one(quality(vt, lock), "validation"), one(quality(tt, lock), "test"), one(fpr_evidence(test, lock, target_fpr, confidence), "fpr_evidence")]

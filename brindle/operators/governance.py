@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.fingerprint import canonical_fingerprint
 from brindle.sources.storage import checkpointed
 
 IDS = 10
@@ -77,13 +78,17 @@ def issues(rows: DataFrame) -> DataFrame:
 
 
 def audit(rows: DataFrame, max_issues: int = 100) -> DataFrame:
-    """One row: counts by severity, label, split and ecosystem, and the first issues; counts are taken before any are left out."""
+    """One row: the rows' published fingerprint, counts by severity, label, split and ecosystem, and the first issues.
+
+    Counts are taken before any issues are left out.
+    """
     found = issues(rows)
     counts = found.agg(F.count_if(F.expr("severity = 'error'")).alias("errors"), F.count_if(F.expr("severity = 'warning'")).alias("warnings"), F.count("*").alias("n_issues"))
     first = found.orderBy("severity", "code", "value").limit(max_issues).agg(F.sort_array(F.collect_list(F.struct("severity", "code", "value", "n", "sample_ids"))).alias("issues"))
     by = lambda c, name: rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("unassigned")).alias("k")).agg(F.count("*").alias("v")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(name))
     out = counts
-    for p in (first, by("label", "labels"), by("split", "splits"), by("ecosystem", "ecosystems")):
+    mark = canonical_fingerprint(rows, rows.columns, "sample_id")
+    for p in (first, by("label", "labels"), by("split", "splits"), by("ecosystem", "ecosystems"), mark):
         out = out.crossJoin(F.broadcast(p))
     return out.withColumn("passed", F.col("errors") == 0).withColumn("truncated", F.col("n_issues") > max_issues)
 

@@ -91,3 +91,12 @@ def predict(examples: DataFrame, weights: dict[str, np.ndarray], heads: int = 4,
 
 def encoded(tokens: Column, length: int, vocabulary: int, person: bytes) -> Column:
     return T.encode_ids(tokens, length, vocabulary, person)
+
+
+def predict_details(examples: DataFrame, weights: dict[str, np.ndarray], known: DataFrame, prototypes: DataFrame, least_coverage: float = 1.0, least_jaccard: float = 0.2, **options) -> DataFrame:
+    """(sample_id, probability, windows, token_coverage, nearest, unknown_tokens, supported): predictions and whether the model is fit for them."""
+    from brindle.operators.support import assess
+
+    length = weights["position_embedding.weight"].shape[0]
+    windows = examples.select("sample_id", F.size(T.windows(F.col("tokens"), length - 2, options.get("overlap", 32), options.get("most", 16))).alias("windows"))
+    return predict(examples, weights, **options).join(windows, "sample_id").join(assess(examples, known, prototypes, least_coverage, least_jaccard), "sample_id")

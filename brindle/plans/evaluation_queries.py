@@ -23,13 +23,8 @@ def _rounded(d: DataFrame, *skip: str) -> DataFrame:
     return d.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if t == "double" and c not in skip else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in d.dtypes])
 
 
-def _once(few: DataFrame) -> DataFrame:
-    """A table of a row per system or less, computed now, so that its readers do not each compute it again."""
-    return few.sparkSession.createDataFrame(few.collect(), few.schema)
-
-
 def _lock(pred: DataFrame, target: float = TARGET) -> DataFrame:
-    return _once(E.select_threshold(E.score_table(pred.filter("split = 'validation'")), target).select("threshold"))
+    return E.once(E.select_threshold(E.score_table(pred.filter("split = 'validation'")), target).select("threshold"))
 
 
 def _lock_sql(score: str = "score", name: str = "lock") -> str:
@@ -114,7 +109,7 @@ def _pairs(spark, d):
 
 
 def _both_locks(pairs):
-    return _once(E.select_threshold(E.score_table(C.systems(pairs).filter("split = 'validation'"), ["system"]), TARGET, ["system"]).select("system", "threshold"))
+    return E.once(E.select_threshold(E.score_table(C.systems(pairs).filter("split = 'validation'"), ["system"]), TARGET, ["system"]).select("system", "threshold"))
 
 
 def j1_alignment(spark, d):
@@ -176,8 +171,9 @@ def a27_temporal_order(spark, d):
 
 
 def a28_manifest_audit(spark, d):
-    a = G.audit(V.manifest(spark, d))
-    return a.select("errors", "warnings", "n_issues", "passed", "truncated", *[F.col("splits")[s].alias(f"split_{s}") for s in ("train", "validation", "test", "unassigned")], F.col("labels")["1"].alias("label_1"))
+    m = V.manifest(spark, d).drop("version")
+    a = G.audit(m)
+    return a.select("fingerprint", "errors", "warnings", "n_issues", "passed", "truncated", *[F.col("splits")[s].alias(f"split_{s}") for s in ("train", "validation", "test", "unassigned")], F.col("labels")["1"].alias("label_1"))
 
 
 def a29_split_isolation(spark, d):
@@ -260,6 +256,7 @@ _ISSUES = f"""SELECT 'error' severity, 'duplicate-sample-id' code, sample_id AS
     UNION ALL SELECT severity, code, value FROM ({_LEAK}) WHERE value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1
     UNION ALL SELECT 'warning', 'f', {_KEY} FROM manifest GROUP BY 3 HAVING count(DISTINCT group_id) > 1
     UNION ALL SELECT 'warning', 't', a.split || b.split FROM tt a, tt b WHERE a.o < b.o AND a.l >= b.f"""
+_FIELDS = " || ',' || ".join(f"""'"{c}":' || coalesce({f'{c}::VARCHAR' if c == 'label' else f"'" + '"' + f"' || {c}::VARCHAR || '" + '"' + "'"}, 'null')""" for c in sorted(("sample_id", "label", "ecosystem", "package", "sha256", "group_id", "first_seen", "split", "representation_hash", "family", "campaign")))
 _TT = "tt AS (SELECT split, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END o, max(first_seen) l, min(first_seen) f, count(*) n FROM manifest WHERE split IS NOT NULL GROUP BY 1)"
 _CLOSURE = """e AS (SELECT doc_id s, unnest(['a' || sha256(text), 'b' || sha256(lower(text)), 'c' || sha256(string_split(text, chr(10))[1])]) k FROM documents WHERE text IS NOT NULL),
     pairs AS (SELECT DISTINCT a.s a, b.s b FROM e a JOIN (SELECT k, min(s) s FROM e GROUP BY k) b USING (k)), und AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -303,7 +300,7 @@ SQL = {
     "a26_split_leaks": _MANIFEST[:-2] + f" SELECT severity, code, value, count(*)::BIGINT n, {_IDS} sample_ids FROM ({_LEAK}) WHERE value IS NOT NULL GROUP BY severity, code, value HAVING count(DISTINCT split) > 1",
     "a26_package_fragmentation": _MANIFEST[:-2] + f" SELECT 'warning' severity, 'package-group-fragmentation' code, {_KEY} AS value, count(*)::BIGINT n, {_IDS} sample_ids FROM manifest GROUP BY 3 HAVING count(DISTINCT group_id) > 1",
     "a27_temporal_order": _MANIFEST + _TT + " SELECT 'warning' severity, 'temporal-order' code, a.split || '>' || b.split AS value, (a.n + b.n)::BIGINT n FROM tt a, tt b WHERE a.o < b.o AND a.l >= b.f",
-    "a28_manifest_audit": _MANIFEST + _TT + f", i AS ({_ISSUES}) SELECT count_if(severity = 'error')::BIGINT errors, count_if(severity = 'warning')::BIGINT warnings, count(*)::BIGINT n_issues, count_if(severity = 'error') = 0 passed, count(*) > 100 truncated, (SELECT count(*) FROM manifest WHERE split = 'train')::BIGINT split_train, (SELECT count(*) FROM manifest WHERE split = 'validation')::BIGINT split_validation, (SELECT count(*) FROM manifest WHERE split = 'test')::BIGINT split_test, (SELECT count(*) FROM manifest WHERE split IS NULL)::BIGINT split_unassigned, (SELECT count(*) FROM manifest WHERE label = 1)::BIGINT label_1 FROM i",
+    "a28_manifest_audit": _MANIFEST + _TT + f", i AS ({_ISSUES}) SELECT (SELECT sha256('[' || string_agg('{{' || {_FIELDS} || '}}', ',' ORDER BY sample_id) || ']') FROM manifest) fingerprint, count_if(severity = 'error')::BIGINT errors, count_if(severity = 'warning')::BIGINT warnings, count(*)::BIGINT n_issues, count_if(severity = 'error') = 0 passed, count(*) > 100 truncated, (SELECT count(*) FROM manifest WHERE split = 'train')::BIGINT split_train, (SELECT count(*) FROM manifest WHERE split = 'validation')::BIGINT split_validation, (SELECT count(*) FROM manifest WHERE split = 'test')::BIGINT split_test, (SELECT count(*) FROM manifest WHERE split IS NULL)::BIGINT split_unassigned, (SELECT count(*) FROM manifest WHERE label = 1)::BIGINT label_1 FROM i",
     "a29_split_isolation": _MANIFEST[:-2] + " SELECT 'group-crosses-splits' code, group_id AS value, count(*)::BIGINT n FROM manifest WHERE group_id IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'representation-crosses-splits', representation_hash, count(*)::BIGINT FROM manifest WHERE representation_hash IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'conflicting-labels', representation_hash, count(*)::BIGINT FROM manifest WHERE representation_hash IS NOT NULL GROUP BY 2 HAVING count(DISTINCT label) > 1",
     "g1_duplicate_groups": f"WITH RECURSIVE {_CLOSURE} SELECT * FROM g",
     "a33_grouping_summary": f"WITH RECURSIVE {_CLOSURE}, c AS (SELECT \"group\", count(*) n FROM g GROUP BY 1) SELECT sum(n)::BIGINT samples, count(*)::BIGINT AS \"groups\", count_if(n > 1)::BIGINT duplicate_groups, coalesce(sum(CASE WHEN n > 1 THEN n END), 0)::BIGINT samples_in_duplicate_groups, max(n)::BIGINT largest_group FROM c",

@@ -483,6 +483,89 @@ def e3_verified_rows(spark, d):
     return api.sealed(api.verified(m, m.select("sample_id", "sha256"), ["sha256"])).groupBy("split").agg(F.count("*").alias("n"))
 
 
+def e1_artifact_rows(spark, d):
+    """Three hashes, counts and status of archives of generated files."""
+    from brindle import api
+
+    k = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    c = _corpus(spark, d).withColumn("a", F.floor(k / 10)).withColumn("name", F.concat(F.lit("a"), F.floor(k / 10).cast("string"), F.when(F.floor(k / 10) % 7 == 6, ".bin").otherwise(".zip")))
+    a = api.artifact_rows(c.groupBy("a").applyInPandas(_zipped, "path string, content binary"))
+    return a.select("target_id", "status", F.col("python_files").cast("long").alias("python_files"), F.coalesce(F.col("events").cast("long"), F.lit(0).cast("long")).alias("events"), F.coalesce(F.col("exact_paths").cast("long"), F.lit(0).cast("long")).alias("exact_paths"), F.col("ast_hash").isNotNull().alias("levelled"))
+
+
+def _zipped(pdf):
+    import pandas as pd
+
+    with zipfile.ZipFile(out := io.BytesIO(), "w", zipfile.ZIP_STORED) as z:
+        for p, raw in zip(pdf["path"], pdf["content"]):
+            z.writestr(p, raw)
+    return pd.DataFrame({"path": [pdf["name"].iloc[0]], "content": [out.getvalue()]})
+
+
+def _labelled(spark, d):
+    k = F.regexp_extract("target_id", "([0-9]+)", 1).cast("long")
+    return _corpus(spark, d).select("target_id").distinct().select("target_id", (k % 2).cast("int").alias("label"), F.when(k % 3 == 0, "validation").otherwise("test").alias("split"), F.concat(F.lit("g"), k.cast("string")).alias("group_id"))
+
+
+def e2_two_variants(spark, d):
+    """Audit rows of a paired scan in its preregistered order."""
+    from brindle import api
+
+    a = api.two_variants(_corpus(spark, d), _labelled(spark, d), 7)[1]
+    return a.select("sample_id", "rank", "candidate_first", "status", "python_files", "parse_errors", F.col("exact_paths").cast("long").alias("exact_paths"), "baseline_score", "candidate_score")
+
+
+def e5_verified_lock(spark, d):
+    """Digests that a study was locked with against those observed."""
+    from brindle import api
+
+    f = _documents(spark, d).select(F.col("doc_id"), F.concat(F.lit("input"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha256"))
+    k = F.col("doc_id")
+    return api.verify_lock(f.filter(k % 9 != 0), f.filter(k % 8 != 0).withColumn("sha256", F.when(k % 7 == 0, F.lit("x")).otherwise(F.col("sha256"))))
+
+
+def e8_round_rows(spark, d):
+    from brindle.sources.generators import round_rows
+
+    return round_rows(spark).select("sample_id", "group_id", "pair_id", "variant", "label", "split", F.array_join("tokens", " ").alias("tokens"))
+
+
+def e9_trained_model(spark, d):
+    """A sparse model trained on generated rows, saved and judged: pairs in order and rows of the profile."""
+    from brindle import api
+    from brindle.sources.generators import training_rows
+
+    t = api.train_and_export(training_rows(spark), _folder(spark), 4096)
+    saved = t["prototypes"].agg(F.count("*").alias("prototypes")).crossJoin(F.broadcast(t["known"].agg(F.count("*").alias("known"))))
+    return saved.crossJoin(F.broadcast(t["pairs"].select("pairs", (F.col("pair_order_accuracy") >= 0.5).alias("ordered"))))
+
+
+def e10_primary_purposes(spark, d):
+    from brindle.operators import effects
+
+    e = V.behavior(spark, d)
+    p = patterns.behavior_paths(e)
+    return effects.primary_purpose(effects.purpose_candidates(p, e), e)
+
+
+def m4_prediction_details(spark, d):
+    """Windows and support of predictions; probabilities are those of random weights and left out."""
+    from brindle.operators import transformer
+
+    c = _conversations(spark, d).withColumnRenamed("conv_id", "sample_id")
+    known, first = support.profile(c.filter("sample_id % 2 = 0").select((F.col("sample_id") % 10).alias("group_id"), F.col("sample_id").alias("ord"), "tokens"))
+    p = transformer.predict_details(c, transformer.random_weights(3, 512, 8, 32, 1, 32), known, first, 1.0, 0.6, overlap=1)
+    return p.select("sample_id", F.col("windows").cast("long").alias("windows"), F.round("token_coverage", 6).alias("token_coverage"), F.round("nearest", 6).alias("nearest"), "supported", F.col("probability").between(0, 1).alias("probable"))
+
+
+def api_pilot_record(spark, d):
+    """The account of a whole study on generated sources."""
+    from brindle import api
+
+    r = api.pilot(_corpus(spark, d), _labelled(spark, d), 7, 0.05, 50)["record"]
+    return r.select("study", "claim_status", "grouping.samples", "grouping.groups", F.col("status_counts")["ok"].alias("ok"), "python_files", "parse_errors", "score_changed")
+
+
 def api_scan_fail_on(spark, d):
     from brindle import api
 
@@ -583,6 +666,19 @@ SQL = {
     "x24_archived_operations": f"WITH {_N}, s AS (SELECT count(*) n, count_if(i % 20 = 0) m, ceil(count(*) / 10.0)::BIGINT a FROM c) SELECT 'IMPORT' op, (n + 2 * m)::BIGINT n, a archives FROM s UNION ALL SELECT 'FILE_READ', (n - m)::BIGINT, a FROM s UNION ALL SELECT unnest(['ENV_READ', 'ENCODE', 'NETWORK_SEND']), m::BIGINT, m::BIGINT FROM s",
     "g10_lexical_summaries": f"WITH {_N} SELECT 'library-callable' entrypoints, CASE WHEN i % 20 = 0 THEN 'environment' ELSE 'local-file' END data_origins, CASE WHEN i % 20 = 0 THEN 'network' ELSE '' END data_destinations, CASE WHEN i % 20 = 0 THEN 'encoding' ELSE '' END transformations, '' flows, count(*)::BIGINT files FROM c GROUP BY ALL",
     "b_lexical_decisions": f"WITH {_N} SELECT DISTINCT 'pkg' || (i // 20) target_id, 26.0::DOUBLE rule_score, 26.0::DOUBLE risk_score, 'review' verdict FROM c",
+    "e1_artifact_rows": f"WITH {_N}, a AS (SELECT i // 10 a, count(*) n, count_if(i % 20 = 0) m FROM c GROUP BY 1) SELECT 'a' || a || CASE WHEN a % 7 = 6 THEN '.bin' ELSE '.zip' END target_id, CASE WHEN a % 7 = 6 THEN 'rejected' ELSE 'ok' END status, CASE WHEN a % 7 = 6 THEN 0 ELSE n END::BIGINT python_files, CASE WHEN a % 7 = 6 THEN 0 ELSE 2 * (n - m) + 6 * m END::BIGINT events, CASE WHEN a % 7 = 6 THEN 0 ELSE m END::BIGINT exact_paths, a % 7 <> 6 levelled FROM a",
+    "e2_two_variants": f"WITH {_N}, t AS (SELECT i // 20 t, count(*) n FROM c GROUP BY 1) SELECT 'pkg' || t sample_id, sha256('7' || chr(0) || 'scan' || chr(0) || 'pkg' || t) AS rank, sha256('7' || chr(0) || 'order' || chr(0) || 'pkg' || t)[-1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') candidate_first, 'ok' status, n::BIGINT python_files, 0::BIGINT parse_errors, 1::BIGINT exact_paths, 26.0::DOUBLE baseline_score, 36.0::DOUBLE candidate_score FROM t",
+    "e5_verified_lock": f"WITH {_DOC} SELECT 'input' || doc_id AS name, CASE WHEN doc_id % 8 = 0 THEN 'is missing' WHEN doc_id % 9 = 0 THEN 'was not locked' ELSE 'has changed' END problem FROM doc WHERE NOT (doc_id % 8 = 0 AND doc_id % 9 = 0) AND (doc_id % 8 = 0 OR doc_id % 9 = 0 OR doc_id % 7 = 0)",
+    "e8_round_rows": f"""WITH s(r, n, y, a, ta, b, tb) AS (VALUES ('delete', 'wipe-home', 1, 'SYSTEM_DISCOVERY', 'generic', 'FILE_DELETE', 'delete_user_data'), ('delete', 'wipe-cache', 0, 'SYSTEM_DISCOVERY', 'generic', 'FILE_DELETE', 'delete_temporary'), ('process', 'shell-fetched', 1, 'NETWORK_RECEIVE', 'network', 'PROCESS_EXEC', 'process_shell'),
+        ('process', 'build-fetched', 0, 'NETWORK_RECEIVE', 'network', 'PROCESS_EXEC', 'process_build_tool'), ('effect', 'autostart', 1, 'FILE_READ', 'file', 'PERSISTENCE_WRITE', 'sensitive'), ('effect', 'copy', 0, 'FILE_READ', 'file', 'FILE_WRITE', 'file')), v(variant, x, z) AS (VALUES ('plain', [], []), ('imports', ['IMPORT', 'IMPORT'], []), ('tail', [], ['FILE_READ', 'IMPORT']))
+        SELECT r || '-' || n || '--' || variant sample_id, r || '-' || n group_id, r pair_id, variant, y::INTEGER AS label, 'train' split, array_to_string(list_concat(list_concat(list_transform(x::VARCHAR[], lambda o: 'P:runtime|C:context|O:' || o || '|T:generic'), ['P:runtime|C:context|O:' || a || '|T:' || ta, 'P:runtime|C:context|O:' || b || '|T:' || tb]), list_transform(z::VARCHAR[], lambda o: 'P:runtime|C:context|O:' || o || '|T:generic')), ' ') tokens FROM s, v""",
+    "e9_trained_model": "SELECT 6::BIGINT prototypes, 9::BIGINT known, 12::BIGINT pairs, true AS ordered",
+    "e10_primary_purposes": B.WITH + B._NEAR + f""", al AS (SELECT target_id, path, motif, score, [source, sink] x, 'proximity' k FROM proximity UNION ALL SELECT target_id, path, motif, score, [event_index], 'structural' FROM structural), lb AS (SELECT *, CASE motif {" ".join(f"WHEN '{m}' THEN '{p[0]}'" for m, p in W.PURPOSE_OF_MOTIF.items())} END AS label FROM al),
+        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, path ORDER BY score DESC, x, motif, k) r FROM lb WHERE label IS NOT NULL) WHERE r = 1) SELECT DISTINCT b.target_id, b.path, coalesce(f.label, 'unknown') primary_purpose FROM behavior b LEFT JOIN f ON f.target_id = b.target_id AND f.path = b.path""",
+    "m4_prediction_details": f"""WITH {_CONV}, f AS (SELECT conv_id % 10 g, min_by(t, conv_id) t FROM c WHERE conv_id % 2 = 0 GROUP BY 1), k AS (SELECT list(DISTINCT w) w FROM (SELECT unnest(t) w FROM c WHERE conv_id % 2 = 0)),
+        n AS (SELECT conv_id, max(len(list_intersect(c.t, f.t))::DOUBLE / len(list_distinct(list_concat(c.t, f.t)))) x FROM c, f GROUP BY 1), v AS (SELECT conv_id, t, len(list_intersect(list_distinct(t), w))::DOUBLE / len(list_distinct(t)) cover FROM c, k)
+        SELECT v.conv_id sample_id, least(16, greatest(1, ceil((len(t) - 6) / 5.0)::BIGINT + 1))::BIGINT windows, round(cover, 6) token_coverage, round(x, 6) nearest, cover >= 1 AND x >= 0.6 supported, true probable FROM v JOIN n ON n.conv_id = v.conv_id""",
+    "api_pilot_record": f"WITH {_N} SELECT 'pilot' study, 'underpowered-target-fpr' claim_status, count(DISTINCT i // 20)::BIGINT samples, count(DISTINCT i // 20)::BIGINT AS \"groups\", count(DISTINCT i // 20)::BIGINT ok, count(*)::BIGINT python_files, 0::BIGINT parse_errors, count(DISTINCT i // 20)::BIGINT score_changed FROM c",
     "api_scan_fail_on": f"WITH {_N} SELECT DISTINCT 'pkg' || (i // 20) target_id, 'review' verdict, true AS failed FROM c",
     "s18_rendered_reports": f"""WITH {_N}, t AS (SELECT DISTINCT i // 20 t FROM c), e(r, line) AS (VALUES (1, '[36.0] credential_or_file_exfil (summary) src/m#.py:4 x1'), (2, '[15.0] NETWORK_SEND (event) src/m#.py:8 x1'), (3, '[7.0] ENV_READ (event) src/m#.py:4 x1'), (4, '[4.0] ENCODE (event) src/m#.py:5 x1'))
         SELECT 'pkg' || t target_id, 'pkg' || t || ': review, risk 36.0' || chr(10) || string_agg('  ' || replace(line, '#', (20 * t)::VARCHAR), chr(10) ORDER BY r) AS text FROM t, e GROUP BY t""",

@@ -41,6 +41,24 @@ SCENARIOS = (
 VARIANTS = (("plain", (), ()), ("imports", ("IMPORT", "IMPORT"), ()), ("tail", (), ("FILE_READ", "IMPORT")))
 
 
+#: later rounds of pairs, which differ in the target of one operation only: scenario, label, operations as (operation, target)
+ROUNDS = {
+    "delete": (("wipe-home", 1, (("SYSTEM_DISCOVERY", "generic"), ("FILE_DELETE", "delete_user_data"))), ("wipe-cache", 0, (("SYSTEM_DISCOVERY", "generic"), ("FILE_DELETE", "delete_temporary")))),
+    "process": (("shell-fetched", 1, (("NETWORK_RECEIVE", "network"), ("PROCESS_EXEC", "process_shell"))), ("build-fetched", 0, (("NETWORK_RECEIVE", "network"), ("PROCESS_EXEC", "process_build_tool")))),
+    "effect": (("autostart", 1, (("FILE_READ", "file"), ("PERSISTENCE_WRITE", "sensitive"))), ("copy", 0, (("FILE_READ", "file"), ("FILE_WRITE", "file")))),
+}
+
+
+def round_rows(spark: SparkSession, rounds: tuple[str, ...] = tuple(ROUNDS)) -> DataFrame:
+    """Training rows of later rounds in every variant, one pair to a round: sample_id, group_id, pair_id, variant, label, split and tokens."""
+    token = lambda op, target: f"P:runtime|C:context|O:{op}|T:{target}"
+    rows = [
+        (f"{r}-{n}--{v}", f"{r}-{n}", r, v, y, "train", [token(o, "generic") for o in a] + [token(*o) for o in ops] + [token(o, "generic") for o in b])
+        for r in rounds for n, y, ops in ROUNDS[r] for v, a, b in VARIANTS
+    ]
+    return spark.createDataFrame(rows, "sample_id string, group_id string, pair_id string, variant string, label int, split string, tokens array<string>")
+
+
 def training_rows(spark: SparkSession) -> DataFrame:
     """sample_id, group_id, pair_id, variant, label, split and tokens: every scenario in every variant; pairs are neighbours of both labels."""
     s = spark.createDataFrame([(n, y, list(ops), f"pair{i // 2}", i) for i, (n, y, ops) in enumerate(SCENARIOS)], "scenario string, label int, ops array<string>, pair_id string, ord int")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPARSE = "brindle.sparse.v1"
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """One JSON document a line; the commit protocol makes the write all or nothing."""
     reports.select("report").write.mode("error").text(path)
@@ -24,11 +27,13 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def save_weights(weights: DataFrame, path: str, dimensions: int, updates: int = 0) -> None:
-    """A sparse model as a table of (index, weight) with its dimensions in every file's schema metadata column."""
-    weights.select("index", "weight", F.lit(dimensions).alias("dimensions"), F.lit(updates).alias("updates")).write.mode("error").parquet(path)
+    """A sparse model as a table of (index, weight); every row names the format, the dimensions and the number of updates."""
+    weights.select("index", "weight", F.lit(dimensions).alias("dimensions"), F.lit(updates).alias("updates"), F.lit(SPARSE).alias("format")).write.mode("error").parquet(path)
 
 
 def load_weights(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
     d = spark.read.parquet(path)
-    ok = F.when((F.col("dimensions") == dimensions) & F.col("index").between(-1, dimensions - 1), True).otherwise(F.raise_error(F.lit("weights of other dimensions")).cast("boolean"))
+    if "format" not in d.columns:
+        raise ValueError("not a sparse model")
+    ok = F.when((F.col("format") == SPARSE) & (F.col("dimensions") == dimensions) & F.col("index").between(-1, dimensions - 1), True).otherwise(F.raise_error(F.lit("weights of another format or other dimensions")).cast("boolean"))
     return d.filter(ok).select("index", "weight")

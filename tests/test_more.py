@@ -69,8 +69,11 @@ def test_api(spark):
     assert {r.target_id: r.failed for r in api.scan(src, "suspicious").collect()} == {"bad": True, "good": False}
     assert api.extract(src).count() == 4
     labels = spark.createDataFrame([("bad", 1, "test", "g1"), ("good", 0, "test", "g2")], "target_id string, label int, split string, group_id string")
-    v = {(r.sample_id, r.system): r.score for r in api.two_variants(src, labels).collect()}
+    rows, audits = api.two_variants(src, labels, 3)
+    v = {(r.sample_id, r.system): r.score for r in rows.collect()}
     assert v[("bad", "flow_on")] > v[("bad", "flow_off")] and len(v) == 4
+    a = {r.sample_id: r for r in audits.collect()}
+    assert a["bad"].exact_paths == 1 and a["good"].baseline_score == 0.0 and {r.status for r in a.values()} == {"ok"}
     with pytest.raises(Exception, match="sealed"):
         api.sealed(spark.createDataFrame([("test",)], "split string")).collect()
     rows = spark.createDataFrame([("a", "h")], "sample_id string, sha string")
