@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import vocabulary as V
-from brindle.operators import comparison, evaluation, governance, models, records, support
+from brindle.operators import comparison, evaluation, governance, micro_training, models, records, support
 from brindle.plans import scan as scans
 from brindle.sources import archives, frontend, sinks
 from brindle.sources.storage import checkpointed
@@ -28,6 +28,11 @@ def fit_sparse(examples: DataFrame, **options) -> DataFrame:
     return models.train(examples, **options)
 
 
+def train_micro(examples: DataFrame, **options) -> DataFrame:
+    """A checkpoint and an account of its training for each model key; see operators.micro_training."""
+    return micro_training.train_micro(examples, **options)
+
+
 def audit(rows: DataFrame, strict: bool = False) -> DataFrame:
     """The audit's row with failed: errors, or warnings too if strict."""
     a = governance.audit(rows)

@@ -540,6 +540,17 @@ def e9_trained_model(spark, d):
     return saved.crossJoin(F.broadcast(t["pairs"].select("pairs", (F.col("pair_order_accuracy") >= 0.5).alias("ordered"))))
 
 
+def m5_trained_transformer(spark, d):
+    """A small Transformer trained on generated rows until it knows them; what it was trained on and whether it did."""
+    from brindle.operators.micro_training import train_micro
+    from brindle.sources.generators import training_rows
+
+    rows = training_rows(spark).withColumn("system", F.lit("m")).withColumn("split", F.when(F.col("variant") == "tail", "validation").otherwise("train"))
+    t = train_micro(rows, vocabulary=128, length=16, d=16, layers=1, ffn=16, heads=2, epochs=150, rate=1e-2, patience=150)
+    a = F.from_json("account", "examples long, pairs long, `groups` long, parameters long, training_accuracy double, best_epoch long, epochs_completed long")
+    return t.select("system", a.alias("a")).select("system", "a.examples", "a.pairs", "a.groups", "a.parameters", (F.col("a.training_accuracy") > 0.9).alias("learned"), (F.col("a.best_epoch") <= F.col("a.epochs_completed")).alias("kept_best"))
+
+
 def e10_primary_purposes(spark, d):
     from brindle.operators import effects
 
@@ -673,6 +684,7 @@ SQL = {
         ('process', 'build-fetched', 0, 'NETWORK_RECEIVE', 'network', 'PROCESS_EXEC', 'process_build_tool'), ('effect', 'autostart', 1, 'FILE_READ', 'file', 'PERSISTENCE_WRITE', 'sensitive'), ('effect', 'copy', 0, 'FILE_READ', 'file', 'FILE_WRITE', 'file')), v(variant, x, z) AS (VALUES ('plain', [], []), ('imports', ['IMPORT', 'IMPORT'], []), ('tail', [], ['FILE_READ', 'IMPORT']))
         SELECT r || '-' || n || '--' || variant sample_id, r || '-' || n group_id, r pair_id, variant, y::INTEGER AS label, 'train' split, array_to_string(list_concat(list_concat(list_transform(x::VARCHAR[], lambda o: 'P:runtime|C:context|O:' || o || '|T:generic'), ['P:runtime|C:context|O:' || a || '|T:' || ta, 'P:runtime|C:context|O:' || b || '|T:' || tb]), list_transform(z::VARCHAR[], lambda o: 'P:runtime|C:context|O:' || o || '|T:generic')), ' ') tokens FROM s, v""",
     "e9_trained_model": "SELECT 6::BIGINT prototypes, 9::BIGINT known, 12::BIGINT pairs, true AS ordered",
+    "m5_trained_transformer": "SELECT 'm' AS system, 16::BIGINT examples, 8::BIGINT pairs, 8::BIGINT AS \"groups\", (128 * 16 + 16 * 16 + 2 * 16 + 4 * 16 + 3 * 16 * 16 + 3 * 16 + 16 * 16 + 16 + 2 * (16 * 16 + 16) + 2 * 16 + 2)::BIGINT parameters, true learned, true kept_best",
     "e10_primary_purposes": B.WITH + B._NEAR + f""", al AS (SELECT target_id, path, motif, score, [source, sink] x, 'proximity' k FROM proximity UNION ALL SELECT target_id, path, motif, score, [event_index], 'structural' FROM structural), lb AS (SELECT *, CASE motif {" ".join(f"WHEN '{m}' THEN '{p[0]}'" for m, p in W.PURPOSE_OF_MOTIF.items())} END AS label FROM al),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, path ORDER BY score DESC, x, motif, k) r FROM lb WHERE label IS NOT NULL) WHERE r = 1) SELECT DISTINCT b.target_id, b.path, coalesce(f.label, 'unknown') primary_purpose FROM behavior b LEFT JOIN f ON f.target_id = b.target_id AND f.path = b.path""",
     "m4_prediction_details": f"""WITH {_CONV}, f AS (SELECT conv_id % 10 g, min_by(t, conv_id) t FROM c WHERE conv_id % 2 = 0 GROUP BY 1), k AS (SELECT list(DISTINCT w) w FROM (SELECT unnest(t) w FROM c WHERE conv_id % 2 = 0)),
