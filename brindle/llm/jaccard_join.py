@@ -327,8 +327,13 @@ def _cell_join(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     left = replicas.join(label, replicas.rep == label.node, "left").select("cell", "p", "rep", "m", F.coalesce("component", "rep").alias("c"))
     mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cell")
     apart = _tiled(left.filter("rep <> p").join(mixed, "cell"), d, sized, percent)
-    second = _links(apart, classes, percent).filter("linked").select("a", "b")
-    component = connected_components(first.union(second))
+    second = packed.checkpointed(_links(apart, classes, percent).filter("linked").select("a", "b"))
+    # links between components join these; the rest is settled
+    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    across = second.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = packed.checkpointed(connected_components(across))
+    known = label.unionByName(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").withColumn("component", F.col("node")))
+    component = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     every = _tiled(replicas.filter("rep <> p").withColumn("c", F.col("rep")), d, sized, percent)
     links = _links(every, classes, percent).filter("linked").select("a", "b").union(first).distinct()
     return links, component
