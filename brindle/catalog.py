@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import behavior_queries, evaluation_queries, source_queries
+from brindle.plans import behavior_queries, evaluation_queries, frontend_cases, source_queries
 
-MODULES = (evaluation_queries, behavior_queries, source_queries)
+MODULES = (evaluation_queries, behavior_queries, source_queries, frontend_cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
