@@ -1,13 +1,14 @@
 """Token counts attributed to fields or sections through character spans.
 
-Each document is encoded once, whole. The byte lengths of its tokens give token spans, which are joined
-by interval with the spans of its sections. A token that lies in one section counts there. A token
-that crosses a boundary is allocated by an explicit rule:
+Each document is encoded once, whole. The byte lengths of its tokens are mapped to offsets: a token's span is the
+characters that it holds a byte of, so several tokens of one character have its span each. Spans are joined by
+interval with those of the document's sections, which are whole characters. A token that lies in one section counts
+there. A token that crosses a boundary is allocated by an explicit rule:
 
-- ``first``: to the section of its first byte;
-- ``last``: to the section of its last byte;
-- ``most``: to the section that holds most of its bytes, the earlier one of equals;
-- ``share``: to every section it touches, by its share of bytes (counts become fractions).
+- ``first``: to the section of its first character;
+- ``last``: to the section of its last character;
+- ``most``: to the section that holds most of its characters, the earlier one of equals;
+- ``share``: to every section it touches, by its share of characters (counts become fractions).
 
 Whatever the rule, the counts of a document's sections sum to the tokens of the whole document.
 """
@@ -31,7 +32,7 @@ _LIST = re.compile(rb"[ \t]*(?:[-*\xe2]|[0-9]+[.)])")
 
 
 def line_sections(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ends (bytes) and kinds (places in SECTIONS) of a text's sections: runs of lines of one kind, with their line feeds."""
+    """Ends (characters) and kinds (places in SECTIONS) of a text's sections: runs of lines of one kind, with their line feeds."""
     ends, kinds, at = [], [], 0
     for line in raw.split(b"\n"):
         at += len(line) + 1
@@ -54,15 +55,30 @@ def line_sections(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(ends) > 1 and ends[-1] == ends[-2]:  # nothing after the last line feed
         ends.pop()
         kinds.pop()
-    return np.array(ends, dtype=np.int64), np.array(kinds)
+    return character_of(raw)[np.array(ends, dtype=np.int64)], np.array(kinds)
 
 
-def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
-    """Tokens of each section by a rule, and how many tokens cross a boundary; both cover the same bytes."""
+def character_of(raw: bytes) -> np.ndarray:
+    """How many characters begin before each byte place of a UTF-8 text, its end included."""
+    begins = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
+    out = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum(begins, out=out[1:])
+    return out
+
+
+def spans(token_bytes: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First character and the one after the last of each token, from the tokens' byte lengths."""
+    end = np.cumsum(token_bytes)
+    before = character_of(raw)
+    # a token that begins inside a character holds a part of that one
+    return before[np.minimum(end - token_bytes + 1, len(raw))] - 1, before[end]
+
+
+def allocate(begin: np.ndarray, token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
+    """Tokens of each section by a rule, and how many tokens cross a boundary; both cover the same characters."""
     n = len(section_ends)
     if not len(token_ends):
         return np.zeros(n), 0
-    begin = np.concatenate([[0], token_ends[:-1]])
     a = np.searchsorted(section_ends, begin, "right")
     z = np.searchsorted(section_ends, token_ends - 1, "right")
     crossing = np.flatnonzero(a != z)
@@ -93,8 +109,9 @@ def _sections(made_of: tuple, rule: str):
                     rows.append((0, 0, *[0.0] * len(SECTIONS)))
                     continue
                 ids = np.frombuffer(tokens.ids(text), dtype="<u4")
-                ends, kinds = line_sections(text.encode())
-                counts, crossing = allocate(np.cumsum(tokens.lengths[ids]), ends, rule)
+                raw = text.encode()
+                ends, kinds = line_sections(raw)
+                counts, crossing = allocate(*spans(tokens.lengths[ids], raw), ends, rule)
                 rows.append((len(ids), crossing, *np.bincount(kinds, weights=counts, minlength=len(SECTIONS)).tolist()))
             columns = list(zip(*rows)) if rows else [[]] * (2 + len(SECTIONS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
@@ -124,7 +141,7 @@ def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: s
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    gap = len(between.encode())
+    gap = len(between)
 
     @F.pandas_udf("struct<n_tokens long, n_crossing long, parts array<double>>")
     def counted(*columns):
@@ -134,11 +151,12 @@ def field_tokens(rows: DataFrame, fields: list[str], ranks_file: str, pattern: s
         out = []
         for values in zip(*columns):
             values = [v or "" for v in values]
-            ids = np.frombuffer(tokens.ids(between.join(values)), dtype="<u4")
-            ends = np.cumsum([len(v.encode()) + gap for v in values])
+            whole = between.join(values)
+            ids = np.frombuffer(tokens.ids(whole), dtype="<u4")
+            ends = np.cumsum([len(v) + gap for v in values])
             ends[-1] -= gap
-            # an empty last field shares its end with the one before: it holds no byte
-            n, crossing = allocate(np.cumsum(tokens.lengths[ids]), ends, rule)
+            # an empty last field shares its end with the one before: it holds no character
+            n, crossing = allocate(*spans(tokens.lengths[ids], whole.encode()), ends, rule)
             out.append((len(ids), crossing, n.tolist()))
         return pd.DataFrame(out, columns=["n_tokens", "n_crossing", "parts"])
 

@@ -156,14 +156,18 @@ def brute_sections(text, tokens, rule):
     for line in text.encode().split(b"\n"):
         k = 0 if b" | " in line else 4 if not line.strip() else 1 if re.match(rb"[ \t]*([-*\xe2]|\d+[.)])", line) else 2 if line.isupper() else 3
         of += [k] * (len(line) + 1)
-    of = of[: len(text.encode())]
+    raw = text.encode()
+    of = of[: len(raw)]
+    char = np.cumsum([b & 0xC0 != 0x80 for b in raw])
     runs, r = [], 0
     for i, k in enumerate(of):
         r += i > 0 and of[i - 1] != k
         runs.append(r)
     out, at, crossing = np.zeros(5), 0, 0
     for n in tokens:
-        ks, rs = of[at : at + n], runs[at : at + n]
+        # one byte for each character that the token holds a byte of
+        each = [i for i in range(at, at + n) if i == at or char[i] != char[i - 1]]
+        ks, rs = [of[i] for i in each], [runs[i] for i in each]
         crossing += len(set(rs)) > 1
         if rule == "first":
             out[ks[0]] += 1
@@ -171,7 +175,7 @@ def brute_sections(text, tokens, rule):
             out[ks[-1]] += 1
         elif rule == "share":
             for k in ks:
-                out[k] += 1 / n
+                out[k] += 1 / len(ks)
         else:
             best = max(sorted(set(rs)), key=lambda r: (rs.count(r), -r))
             out[ks[rs.index(best)]] += 1
