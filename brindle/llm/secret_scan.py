@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.packed import small_batches
+from brindle.llm.packed import checkpointed, small_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 # The patterns of the base kinds and the shortest match of each.
@@ -163,14 +163,15 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, strings: int = SAM
     """Fits both models to at most strings labelled strings each; words come from about documents texts.
 
     Both bounds are parameters. The texts are those whose keys hash into that share of all rows, read whole in the
-    executors; only distinct words without long runs of hex digits reach the driver, and of these the
-    strings words that hash lowest.
+    executors; only distinct words without long runs of hex digits reach the driver, and of these about
+    strings, by their hash too.
     """
     share = documents / max(1, docs.count())
     some = docs.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
     word = some.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,20}"), F.lit(0))).alias("word")).distinct()
-    word = word.filter(~F.col("word").rlike(_HEX_LONG.pattern)).orderBy(F.xxhash64("word"), "word").limit(strings)
-    words = sorted(r.word for r in word.collect())
+    word = checkpointed(word.filter(~F.col("word").rlike(_HEX_LONG.pattern)))
+    few = strings / max(1, word.count())
+    words = sorted(r.word for r in word.filter(F.pmod(F.xxhash64("word", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, few) * (1 << 40))).collect())
     labelled = [(s, 1) for s in random_strings(strings)] + [(s, 0) for s in ordinary_strings(words, strings)]
     return LikelihoodRatio(labelled)
 
