@@ -17,11 +17,12 @@ from brindle.plans import behavior_queries as B
 from brindle.plans import views as V
 from brindle.sources import archives, checkpoints, frontend, lexical, readers, sinks
 from brindle.sources.generators import corpus
+from brindle.sources.storage import shared_folder
 
 
 def _folder(spark):
     """A new folder in the one that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/brindle-checkpoints'}/queries-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/queries-{uuid.uuid4().hex}"
 
 
 def _quoted(xs):

@@ -1,18 +1,26 @@
-"""Cutting plans by reliable files, so that what several branches read is made once and survives lost executors."""
+"""Cutting plans by tables, so that what several branches read is made once and survives lost executors."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir or the context names it; only a local master gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/brindle-checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in the folder that spark.checkpoint.dir names; where none is set, only a local master gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or "/tmp/brindle-checkpoints")
-    return df.checkpoint()
+    """df from a table in the shared folder, which goes when the driver ends; its size is known to the planner."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
