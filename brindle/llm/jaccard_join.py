@@ -16,7 +16,8 @@ Jaccard distance d = 1 - J is a metric. Documents that link have d <= theta = 1/
    pairs. Members x, y in different components are compared only if |d(p,x) - d(p,y)| <= theta,
    their sizes allow it and parity sketches (a lower bound of the symmetric difference, itself a
    metric) allow it; these are then verified exactly. No other pair of the cell can change a component.
-   Large cells are cut into tiles that meet in tasks of their own. All links between classes, also
+   Inside a large cell the same is done once more: rings around p are its regions, windows copy members
+   to the neighbouring rings, and rings are cut into tiles that meet in tasks of their own. All links between classes, also
    inside a component, come from the same join without the components, when they are asked for.
 
 Exact copies form one class by a 64-bit hash of the shingle set before any of this, so copies
@@ -342,17 +343,22 @@ def _cell_join(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _tiled(members: DataFrame, d: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (cell, p, rep, m, c) of one cell and different c that may link, each once.
 
-    A cell of m members is cut into tiles of about TILE; two tiles meet under a key of their own, so no task has more
-    than TILE ** 2 pairs of a cell to look at. Distances to the cell's pivot, where they are known, sizes and sketches
-    leave out what can't link before anything is written.
+    A cell of more than TILE members is a space of its own: rings of width theta around its pivot are its regions, and by
+    the triangle inequality a member's partners lie in its ring or in a neighbouring one, to which it is copied; members
+    whose distance was not computed go to every ring. Rings are cut into tiles of about TILE, and two tiles meet under a key
+    of their own, so no task has more than TILE ** 2 pairs of a cell to look at. Distances, sizes and sketches leave
+    out what can't link before anything is written.
     """
+    theta = 1 - percent / 100 + 1e-9
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     inside = members.join(d, ["p", "rep"], "left").join(sized, "rep").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    ring, small, every = F.floor(F.col("d") / theta).cast("int"), F.col("m") <= TILE, F.sequence(F.lit(0), F.lit(int(1 / theta) + 1))
+    own = F.when(small, F.array(F.lit(0))).when(F.col("d").isNull(), every).otherwise(F.array(ring))
+    window = F.when(small, F.array(F.lit(0))).when(F.col("d").isNull(), every).otherwise(F.sequence(F.greatest(ring - 1, F.lit(0)), ring + 1))
     fields = lambda x: [F.col("rep").alias(x), *[F.col(f).alias(f"{f}{x}") for f in ("c", "d", "n", "o", "k", "t")]]
-    a = inside.select("cell", *fields("a"), F.explode(F.sequence("t", F.col("tiles") - 1)).alias("j")).withColumn("i", F.col("ta"))
-    b = inside.select("cell", *fields("b"), F.explode(F.sequence(F.lit(0), "t")).alias("i")).withColumn("j", F.col("tb"))
-    theta = 1 - percent / 100 + 1e-9
-    met = a.join(b, ["cell", "i", "j"]).filter("(ta < tb or a < b) and ca <> cb")
+    a = inside.select("cell", *fields("a"), F.explode(own).alias("ring"), "tiles").select("*", F.explode(F.sequence("ta", F.col("tiles") - 1)).alias("j")).withColumn("i", F.col("ta")).drop("tiles")
+    b = inside.select("cell", *fields("b"), F.explode(window).alias("ring")).select("*", F.explode(F.sequence(F.lit(0), "tb")).alias("i")).withColumn("j", F.col("tb"))
+    met = a.join(b, ["cell", "ring", "i", "j"]).filter("(ta < tb or a < b) and ca <> cb")
     met = met.filter(F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= theta)).filter(_allowed(percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
