@@ -100,6 +100,15 @@ def a17_evaluation_report(spark, d):
     return E.report(V.predictions(spark, d), TARGET)
 
 
+def a17_report_points(spark, d):
+    """The parts of a locked report that are no intervals, from its nested row."""
+    r = E.report(V.predictions(spark, d), TARGET, bootstrap=0)
+    return r.select(
+        F.round("selection.threshold", 6).alias("threshold"), F.round("test.recall", 6).alias("recall"), F.round("test.false_positive_rate", 6).alias("false_positive_rate"), F.col("fpr_evidence.benign").cast("long").alias("benign"), F.round("fpr_evidence.upper_confidence_bound", 6).alias("upper"),
+        F.round("decision_margin.aurc", 6).alias("aurc"), F.col("conditional_compute.reported_gate_rows").cast("long").alias("gate_rows"), F.size("periods").cast("long").alias("periods"), F.size("decision_margin_points").cast("long").alias("points"),
+    )
+
+
 def a41_micro_metrics(spark, d):
     return _rounded(E.micro_metrics(V.predictions(spark, d), by=["split"]))
 
@@ -313,3 +322,6 @@ SQL = {
     "a31_holdout": WITH + _lock_sql() + ", g AS (SELECT group_id, max(label) AS label, max(score) s FROM pred WHERE split = 'test' GROUP BY 1) SELECT label, count(*)::BIGINT AS \"groups\", count_if(s >= (SELECT threshold FROM lock))::BIGINT alerts FROM g GROUP BY label",
     "a32_fixed_thresholds": WITH + f"c AS (SELECT {COUNTS.format(s='score', t='threshold')}, threshold FROM pred, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(threshold) WHERE split = 'test' GROUP BY threshold) SELECT {RATES} FROM c",
 }
+
+SQL["a17_report_points"] = f"""SELECT t.threshold, t.recall, t.false_positive_rate, e.benign, e.upper_confidence_bound AS upper, s.aurc, c.reported_gate_rows gate_rows, (SELECT count(*) FROM ({SQL["a16_period_metrics"]}))::BIGINT periods, 5::BIGINT points
+    FROM ({SQL["a9_frozen_test_metrics"]}) t, ({SQL["a13_fpr_evidence"]}) e, ({SQL["a12_selective"]}) s, ({SQL["a15_conditional_compute"]}) c WHERE s.confidence_kind = 'decision-margin' AND c.split = 'test'"""

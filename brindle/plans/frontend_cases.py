@@ -82,8 +82,64 @@ def x13_x22_paths(spark, d):
     return _counted(a.select("target_id", F.array_join(seen, ", ").alias("found")))
 
 
+#: what it shows, tokens, canonical tokens
+TOKENS = (
+    ("legacy", ["FILE", "P:import|C:sink|O:PROCESS_EXEC|T:bash", "P:import|C:sink|O:PROCESS_EXEC|T:sh", "MOTIF:download-execute", "EFFECT:ENTRY:install-time", "PURPOSE:local code transformer", "other", "other"],
+     "FILE, P:import|C:sink|O:PROCESS_EXEC|T:process_shell, PATH:download_execute|K:dataflow|Q:high, other, EFFECT:ENTRY:import_time_effects, EFFECT:DESTINATION:process, EFFECT:FLOW:network_to_execution, PURPOSE:local_code_transformer|Q:medium, PURPOSE:remote_code_executor|Q:high"),
+    ("nothing", [], "FILE, EFFECT:ENTRY:library_callable"),
+)
+#: texts of one target, by target: those of one class have one levelled hash
+LEVELLED = (("a", "x", "def f(a):\n  return a + 1"), ("b", "x", "def g(b):\n  return b + 2"), ("c", "y", "def g(b):\n  return b - 2"), ("d", "z", "def ("), ("e", "w", "def  ("))
+
+
+def f8_token_cases(spark, d):
+    from brindle.functions.canonical import canonical_tokens
+
+    rows = spark.createDataFrame([(name, tokens) for name, tokens, _ in TOKENS], "name string, tokens array<string>")
+    t = canonical_tokens(rows.crossJoin(F.broadcast(V.table(spark, d, "nation").select("n_nationkey"))).select(F.concat_ws("|", "name", "n_nationkey").alias("sample_id"), "tokens"))
+    return _counted(t.select(F.col("sample_id").alias("target_id"), F.array_join("tokens", ", ").alias("found")))
+
+
+def f21_levelled_hashes(spark, d):
+    """Targets whose texts differ in names and literals only share a hash; texts that do not parse count as they are."""
+    h = frontend.normalised_hash(_files(spark, d, [(name, "a.py", text) for name, _, text in LEVELLED]))
+    together = h.groupBy("ast_hash").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("target_id", "|", 1))), ",").alias("together"), F.count("*").alias("targets"))
+    return together.select("together", "targets")
+
+
+def s18_report_fields(spark, d):
+    """Fields of JSON reports on generated sources."""
+    from brindle.plans.scan import report, scan
+    from brindle.sources.generators import corpus
+
+    r = report(scan(corpus(spark, V.table(spark, d, "orders").count() // 10)))
+    get = lambda path, kind="string": F.get_json_object("report", f"$.{path}").cast(kind)
+    return r.select("target_id", get("verdict").alias("verdict"), get("risk_score", "double").alias("risk_score"), get("files", "long").alias("files"), get("parse_errors", "long").alias("parse_errors"), get("evidence[0].name").alias("first"), get("evidence[0].path").alias("at"))
+
+
+def a21_claim_states(spark, d):
+    """The claim by intervals and evidence: what is missing, underpowered, supported and not."""
+    from brindle.operators.comparison import claim_gate
+
+    out = None
+    for name, recall, fpr, enough in CLAIMS:
+        rows = [(m, v, w) for m, v, w in (("recall", recall, 0.9), ("false_positive_rate", -0.9, fpr)) if v is not None and w is not None]
+        intervals = spark.createDataFrame(rows, "metric string, lower double, upper double")
+        g = claim_gate(intervals, spark.createDataFrame([(enough,), (True,)], "target_supported boolean")).withColumn("name", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+CLAIMS = (("none", None, -0.1, True), ("few", 0.1, -0.1, False), ("good", 0.1, 0.0, True), ("flat", 0.0, -0.1, True), ("worse", 0.1, 0.1, True))
+
+
 def _sql(cases) -> str:
     return f"WITH c(name, found) AS (VALUES {', '.join(f"('{name}', '{found}')" for name, found in cases)}) SELECT name, found, count(*)::BIGINT nations FROM c, nation GROUP BY ALL"
 
 
-SQL = {"x3_x12_events": _sql([(c[0], c[3]) for c in EVENTS]), "x13_x22_paths": _sql([(c[0], c[2]) for c in PATHS])}
+SQL = {
+    "x3_x12_events": _sql([(c[0], c[3]) for c in EVENTS]), "x13_x22_paths": _sql([(c[0], c[2]) for c in PATHS]), "f8_token_cases": _sql([(c[0], c[2]) for c in TOKENS]),
+    "f21_levelled_hashes": "SELECT together, n * count(*)::BIGINT targets FROM nation, (VALUES ('a,b', 2), ('c', 1), ('d', 1), ('e', 1)) v(together, n) GROUP BY together, n",
+    "s18_report_fields": "WITH c AS (SELECT unnest(range(0, (SELECT count(*) // 10 FROM orders))) i) SELECT 'pkg' || (i // 20) target_id, 'review' verdict, 36.0::DOUBLE risk_score, count(*)::BIGINT files, 0::BIGINT parse_errors, 'credential_or_file_exfil' AS first, 'src/m' || (20 * (i // 20)) || '.py' AS at FROM c GROUP BY i // 20",
+    "a21_claim_states": "SELECT * FROM (VALUES ('none', 'not-assessed', false, false, true), ('few', 'underpowered-target-fpr', false, true, false), ('good', 'supported', true, true, true), ('flat', 'not-supported', false, false, true), ('worse', 'not-supported', false, false, true)) v(name, status, supported, paired_effect_supported, target_supported)",
+}
