@@ -248,7 +248,10 @@ def self_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> D
     homes = _prime(1 << bits)
     plain = packed.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = packed.dealt(plain.filter("doc_id is not null").mapInArrow(_occurrences(bits, homes, width), packed.SCHEMA), n, bits)
-    answers = found.mapInArrow(_first_places(bits, homes), packed.SCHEMA)
+    # answers are few beside the windows, whose shuffle files can go before the texts write theirs
+    answers = packed.checkpointed(found.mapInArrow(_first_places(bits, homes), packed.SCHEMA))
+    del found
+    packed.released(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
     carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("boolean")
     home = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(homes)).cast("int"), F.lit(0))
