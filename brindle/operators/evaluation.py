@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import statistics as S
+from brindle.sources.storage import checkpointed
 
 BUCKETS = 1024
 COVERAGES = (0.5, 0.8, 0.9, 0.95, 1.0)
@@ -170,17 +171,23 @@ def quality(table: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) ->
     return out
 
 
-def group_weights(groups: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """(replicate, group_id, weight) of resampled groups, drawn as random.Random(seed).choices over the sorted ids.
+def numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """(group_id, at), at the place of an id among the sorted distinct ids, and how many there are; nulls have none.
 
-    The one definition at every size. Groups are numbered in the cluster; the driver only runs the generator
-    ahead and keeps its state at the start of each replicate, from which tasks draw numbers of groups.
+    Ids are sorted and counted in the cluster; the driver sees a number for each partition of the sort.
     """
-    spark = groups.sparkSession
-    numbered = groups.filter("group_id is not null").distinct().sort("group_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("group_id string, at long")
-    n = groups.filter("group_id is not null").distinct().count()
-    if n < 2:
-        return spark.createDataFrame([], "replicate int, group_id string, weight long")
+    ids = checkpointed(groups.filter("group_id is not null").distinct().sort("group_id").withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)  # as monotonically_increasing_id makes them: partition, place in it
+    starts, n = [], 0
+    for p, size in sorted(map(tuple, ids.groupBy(part).count().collect())):
+        starts.append((p, n))
+        n += size
+    starts = groups.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return ids.join(F.broadcast(starts), part == F.col("_part")).select("group_id", (F.col("_start") + F.col("_m") - F.shiftleft("_part", 33)).alias("at")), n
+
+
+def _states(n: int, repetitions: int, seed: int) -> list[tuple[int, bytes, int]]:
+    """(replicate, words, position): the generator where a replicate of n draws begins, as random.Random(seed) gets there."""
     *key, position = random.Random(seed).getstate()[1]
     ahead, states = np.random.RandomState(), []
     ahead.set_state(("MT19937", np.array(key, dtype=np.uint32), position))
@@ -189,36 +196,131 @@ def group_weights(groups: DataFrame, repetitions: int, seed: int) -> DataFrame:
         states.append((k, words.tobytes(), int(at)))
         for lo in range(0, n, DRAWN_AT_ONCE):
             ahead.random_sample(min(DRAWN_AT_ONCE, n - lo))
+    return states
 
-    def draw(incoming):
-        generator = np.random.RandomState()
-        for batch in incoming:
-            for k, words, at in zip(*(c.to_pylist() for c in batch.columns)):
-                generator.set_state(("MT19937", np.frombuffer(words, dtype=np.uint32), at))
-                weight = np.zeros(n, dtype=np.int32)
-                for lo in range(0, n, DRAWN_AT_ONCE):
-                    np.add.at(weight, (generator.random_sample(min(DRAWN_AT_ONCE, n - lo)) * float(n)).astype(np.int64), 1)
-                drawn = np.flatnonzero(weight)
-                for lo in range(0, len(drawn), DRAWN_AT_ONCE):
-                    some = drawn[lo : lo + DRAWN_AT_ONCE]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(some), pa.array(weight[some].astype(np.int64))], names=["replicate", "at", "weight"])
 
-    tasks = min(max(1, repetitions), spark.sparkContext.defaultParallelism * 4)
-    weights = spark.createDataFrame(states, "replicate int, words binary, position int").repartition(tasks).mapInArrow(draw, "replicate int, at long, weight long")
-    return weights.join(numbered, "at").select("replicate", "group_id", "weight")
+def _sums(incoming, columns: Sequence[str], block: int, counters: int):
+    """Adds up weights over the groups of each block, for rows (key, range, replicate, payload, at, n, columns) sorted by key, weights first.
+
+    Weights of one block are held at a time, and that many sums at most; what is given out are parts of the sums of
+    (replicate, columns).
+    """
+    state = {"key": None, "range": None, "drawn": {}, "cells": {}, "kinds": None, "held": [], "rows": 0, "acc": None, "replicates": None}
+
+    def given():
+        cells, acc, replicates = state["cells"], state["acc"], state["replicates"]
+        if cells:
+            values = [pa.array(c, t) for c, t in zip(zip(*cells), state["kinds"])]
+            step = max(1, (1 << 18) // len(replicates))
+            for lo in range(0, len(cells), step):
+                cell, j = np.nonzero(acc[lo : min(lo + step, len(cells))])
+                if len(cell):
+                    yield pa.RecordBatch.from_arrays([pa.array(replicates[j]), *[v.take(pa.array(cell + lo)) for v in values], pa.array(acc[cell + lo, j])], names=["replicate", *columns, "w"])
+        state["cells"] = {}
+
+    def added():
+        if not state["held"]:
+            return
+        t = pa.Table.from_batches(state["held"])
+        state["held"], state["rows"] = [], 0
+        code, at, n = np.zeros(len(t), dtype=np.int64), t["at"].to_numpy(), t["n"].to_numpy()
+        for c in columns:
+            d = t[c].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(d.dictionary) + d.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        own = list(zip(*(t[c].take(pa.array(order[starts])).to_pylist() for c in columns)))
+        drawn = sorted(state["drawn"].items())
+        most = max(1, counters // len(drawn))
+        for lo in range(0, len(own), most):
+            hi = min(lo + most, len(own))
+            if len(state["cells"]) + hi - lo > most:
+                yield from given()
+            if not state["cells"]:
+                state["acc"], state["replicates"] = np.zeros((most, len(drawn)), dtype=np.int64), np.array([k for k, _ in drawn], dtype=np.int32)
+            cell = np.array([state["cells"].setdefault(x, len(state["cells"])) for x in own[lo:hi]])
+            some = order[starts[lo] : starts[hi] if hi < len(own) else len(order)]
+            groups, times, edge = at[some], n[some], starts[lo:hi] - starts[lo]
+            plain = bool((times == 1).all())
+            for j, (_, payload) in enumerate(drawn):
+                w = np.frombuffer(payload, dtype=f"u{payload[0]}", offset=8)[groups]
+                state["acc"][cell, j] += np.add.reduceat(w if plain else w * times, edge, dtype=np.int64)
+
+    for b in incoming:
+        keys = b.column("key").to_numpy()
+        state["kinds"] = [b.schema.field(c).type for c in columns]
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            some = b.slice(lo, hi - lo)
+            if keys[lo] != state["key"]:
+                yield from added()
+                if some.column("range")[0].as_py() != state["range"]:
+                    yield from given()
+                state["key"], state["range"], state["drawn"] = keys[lo], some.column("range")[0].as_py(), {}
+            weights = len(some) - some.column("payload").null_count
+            for k, payload in zip(some.column("replicate").slice(0, weights).to_pylist(), some.column("payload").slice(0, weights).to_pylist()):
+                state["drawn"][k] = payload
+            if weights < len(some):
+                state["held"].append(some.slice(weights).select(["at", "n", *columns]))
+                state["rows"] += len(some) - weights
+            if state["rows"] >= 1 << 18:
+                yield from added()
+    yield from added()
+    yield from given()
 
 
 DRAWN_AT_ONCE = 1 << 20
+GROUPS_A_BLOCK, SUMS_AT_ONCE = 1 << 12, 1 << 22
 
 
 def resampled(rows: DataFrame, repetitions: int, seed: int, columns: Sequence[str] = ("label", "score")) -> DataFrame:
     """(replicate, columns, w): distinct rows of each replicate with how often they were drawn.
 
-    Rows are summed by group first, so the join carries distinct rows only.
+    Groups are drawn as random.Random(seed).choices over the sorted ids, the one definition at every size. The driver
+    only runs the generator ahead and keeps its state at the start of each replicate. Tasks draw from there and send
+    weights in blocks of groups, a byte a group, to where the rows of these groups are, summed by group and columns;
+    these are added up at once, so no row is made for a replicate's group.
     """
-    per = rows.groupBy("group_id", *columns).agg(F.count("*").alias("n"))
-    weights = group_weights(rows.select("group_id"), repetitions, seed)
-    return per.join(weights, "group_id").groupBy("replicate", *columns).agg(F.sum(F.col("n") * F.col("weight")).alias("w"))
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    places, n = numbered(rows.select("group_id"))
+    if n < 2 or repetitions < 1:
+        return spark.createDataFrame([], f"replicate int, {fields}, w long")
+    block, counters, columns = GROUPS_A_BLOCK, SUMS_AT_ONCE, list(columns)
+    blocks, tasks = -(-n // block), 4 * spark.sparkContext.defaultParallelism
+    ranges = min(repetitions, -(-tasks // blocks))
+    parts = min(blocks * ranges, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def draw(incoming):
+        generator = np.random.RandomState()
+        for batch in incoming:
+            for k, words, at in zip(*(c.to_pylist() for c in batch.columns)):
+                generator.set_state(("MT19937", np.frombuffer(words, dtype=np.uint32), at))
+                weight = np.zeros(n, dtype=np.int32)
+                for lo in range(0, n, DRAWN_AT_ONCE):
+                    np.add.at(weight, (generator.random_sample(min(DRAWN_AT_ONCE, n - lo)) * float(n)).astype(np.int64), 1)
+                weight = weight.astype(np.min_scalar_type(int(weight.max())))
+                head = bytes([weight.itemsize]) + bytes(7)
+                own = k * ranges // repetitions
+                for lo in range(0, blocks, 256):
+                    some = range(lo, min(lo + 256, blocks))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([own * blocks + i for i in some], pa.int64()), pa.array([own] * len(some), pa.int32()), pa.array([k] * len(some), pa.int32()),
+                        pa.array([head + weight[i * block : (i + 1) * block].tobytes() for i in some], pa.binary()),
+                    ], names=["key", "range", "replicate", "payload"])
+
+    weights = spark.createDataFrame(_states(n, repetitions, seed), "replicate int, words binary, position int").repartition(min(repetitions, tasks))
+    weights = weights.mapInArrow(draw, "key long, `range` int, replicate int, payload binary")
+    per = rows.groupBy("group_id", *columns).agg(F.count("*").alias("n")).join(places, "group_id")
+    per = per.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).select(
+        (F.col("range").cast("long") * blocks + F.floor(F.col("at") / block)).alias("key"), "range", (F.col("at") % block).alias("at"), "n", *columns,
+    )
+    both = weights.unionByName(per, allowMissingColumns=True)
+    dealt = both.repartitionById(parts, F.floor(F.col("key") * parts / (blocks * ranges)).cast("int")).sortWithinPartitions("key", F.col("payload").isNull())
+    sums = dealt.mapInArrow(lambda b: _sums(b, columns, block, counters), f"replicate int, {fields}, w long")
+    return sums.groupBy("replicate", *columns).agg(F.sum("w").alias("w"))
 
 
 def interval(values: DataFrame, names: Sequence[str], confidence: float, by: Sequence[str] = ()) -> DataFrame:
@@ -230,7 +332,7 @@ def interval(values: DataFrame, names: Sequence[str], confidence: float, by: Seq
 
 def group_bootstrap(rows: DataFrame, thresholds: DataFrame, repetitions: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of recall, FPR, average precision and AURC over resampled groups; one-class replicates are skipped."""
-    drawn = resampled(rows, repetitions, seed)
+    drawn = checkpointed(resampled(rows, repetitions, seed))  # read by every metric
     table = score_table(drawn, ["replicate"], F.col("w"))
     mixed = totals(table, ["replicate"]).filter("positives > 0 and positives < rows").select("replicate")
     table = table.join(F.broadcast(mixed), "replicate")

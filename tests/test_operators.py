@@ -424,3 +424,44 @@ def test_queries_draw_as_many_replicates_as_the_reference(monkeypatch):
     for query in (Q.a14_group_bootstrap, Q.a20_paired_bootstrap, Q.a21_claim_gate):
         query(None, "")
     assert seen == {"a14": 2000, "a20": 2000, "a21": 2000} and bootstrap_default == 2000
+
+
+def most_rows(frame):
+    """The most rows that a step of a frame's plan gave out when it was collected."""
+    todo, most = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_replicates_are_summed_where_groups_are(spark, monkeypatch):
+    """No row is made for a replicate's group, and blocks and held sums of any size give the same sums."""
+    from brindle.operators import evaluation as E
+
+    ids = [f"g{i}" for i in range(500)]
+    rows = spark.createDataFrame([(g, i % 2, i % 3 / 4, k % 2 / 2) for i, g in enumerate(ids) for k in range(1 + i % 4)] + [(None, 1, 0.5, 0.5), ("g7", None, None, 0.5)], "group_id string, label int, b_score double, c_score double")
+    weights, r = [], random.Random(3)
+    for _ in range(300):
+        weights.append({})
+        for g in r.choices(sorted(ids), k=len(ids)):
+            weights[-1][g] = weights[-1].get(g, 0) + 1
+    want: dict = {}
+    for x in rows.filter("group_id is not null").collect():
+        for k, w in enumerate(weights):
+            if x.group_id in w:
+                key = (k, x.label, x.b_score, x.c_score)
+                want[key] = want.get(key, 0) + w[x.group_id]
+    columns = ("label", "b_score", "c_score")
+    for block, sums in ((1 << 12, 1 << 22), (64, 100)):
+        monkeypatch.setattr(E, "GROUPS_A_BLOCK", block, raising=False)
+        monkeypatch.setattr(E, "SUMS_AT_ONCE", sums, raising=False)
+        sums_of = E.resampled(rows, 300, 3, columns)
+        got = {tuple(x)[:-1]: x.w for x in sums_of.collect()}
+        assert got == want
+        if block > 64:
+            assert 500 < most_rows(sums_of) < 60_000  # 95,000 groups are drawn
