@@ -91,7 +91,7 @@ def transitions(pairs: DataFrame, baseline_threshold: DataFrame, candidate_thres
 
 def paired_bootstrap(pairs: DataFrame, thresholds: DataFrame, repetitions: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Intervals of candidate - baseline per metric; both systems share the drawn groups."""
-    drawn = E.resampled(pairs, repetitions, seed, ("label", "b_score", "c_score"))
+    drawn = checkpointed(E.resampled(pairs, repetitions, seed, ("label", "b_score", "c_score")))  # read by every metric
     both = drawn.select("replicate", "label", "w", F.explode(F.create_map(F.lit("baseline"), F.col("b_score"), F.lit("candidate"), F.col("c_score"))).alias("system", "score"))
     by = ["replicate", "system"]
     table = E.score_table(both, by, F.col("w"))
