@@ -213,7 +213,7 @@ def j8_overlap_counts(spark, d):
 
 def g3_closest_subset(spark, d):
     m = V.manifest(spark, d)
-    return G.closest_subset(m.groupBy("label", "group_id").agg(F.count("*").alias("n")), 100).groupBy("label").agg(F.sum(F.when(F.col("chosen"), F.col("n"))).alias("chosen_rows"))
+    return G.closest_subset(m.groupBy("label", "group_id").agg(F.count("*").alias("n")), 100).groupBy("label").agg(F.sum(F.when(F.col("chosen"), F.col("n")).otherwise(0)).alias("chosen_rows"))
 
 
 def a30_group_maxima(spark, d):

@@ -465,3 +465,18 @@ def test_replicates_are_summed_where_groups_are(spark, monkeypatch):
         assert got == want
         if block > 64:
             assert 500 < most_rows(sums_of) < 60_000  # 95,000 groups are drawn
+
+
+def test_no_group_is_as_near_as_groups_over_twice_the_target(spark, tmp_path):
+    """A label whose groups are all larger than twice the target has no chosen rows, which are 0 rows, as in SQL."""
+    import duckdb
+    from oracle import compare
+
+    from brindle.plans import evaluation_queries as Q
+
+    spark.range(41 * 450).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(41 * 450).filter("id % 41 < 2 or id % 3 = 0").select(F.col("id").alias("doc_id"), F.when(F.col("id") % 41 < 2, 1).otherwise(0).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert compare(Q.g3_closest_subset(spark, str(tmp_path)), Q.SQL["g3_closest_subset"], c) is None
