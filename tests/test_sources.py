@@ -149,3 +149,14 @@ def test_canonical_fingerprint(spark):
     d = spark.createDataFrame([(r["k"], r["x"], r["n"]) for r in rows], "k string, x double, n long").repartition(5)
     want = hashlib.sha256(json.dumps(sorted(rows, key=lambda r: r["k"]), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert canonical_fingerprint(d, ["k", "x", "n"], "k").first()[0] == want
+
+
+def test_predictions_are_read_back_whatever_their_size(spark, monkeypatch):
+    """The query holds its input to no caps: all rows of the table come back."""
+    from brindle.plans import source_queries as Q
+
+    held, capped = [], Q.readers.capped
+    monkeypatch.setattr(Q.readers, "capped", lambda lines, caps: held.append(caps) or capped(lines, caps))
+    folder = "/root/testdata/sf0.001"
+    assert Q.s11_predictions(spark, folder).count() == spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert held == [Q.readers.Caps()]
