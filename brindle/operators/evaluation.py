@@ -345,8 +345,9 @@ def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 2000, se
     """The locked evaluation as one nested row: the threshold comes from validation, everything else from test."""
     if not 0.0 < target_fpr < 1.0:
         raise ValueError("a target rate lies between 0 and 1, both left out")
+    rows = checkpointed(rows.filter("split in ('validation', 'test')").select("label", "score", "split", "group_id", "period", "model_invoked", "latency_ms"))  # every part reads it
     validation, test = rows.filter("split = 'validation'"), rows.filter("split = 'test'")
-    vt, tt = score_table(validation), score_table(test)
+    vt, tt = checkpointed(score_table(validation)), checkpointed(score_table(test))
     lock = once(select_threshold(vt, target_fpr).select("threshold"))
     one = lambda d, name: d.select(F.struct(*d.columns).alias(name))
     many = lambda d, name, order: d.agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in d.columns if c != order]))).alias(name))
@@ -358,7 +359,7 @@ def report(rows: DataFrame, target_fpr: float = 0.001, bootstrap: int = 2000, se
         parts.append(many(group_bootstrap(test, lock, bootstrap, seed, confidence), "bootstrap", "metric"))
     out = one(lock.withColumn("target_fpr", F.lit(target_fpr)), "selection")
     for p in parts:
-        out = out.crossJoin(F.broadcast(p))
+        out = out.crossJoin(F.broadcast(checkpointed(p)))  # a row, so the driver holds the plan of one part at a time
     return out
 
 

@@ -480,3 +480,13 @@ def test_no_group_is_as_near_as_groups_over_twice_the_target(spark, tmp_path):
     for t in ("documents", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert compare(Q.g3_closest_subset(spark, str(tmp_path)), Q.SQL["g3_closest_subset"], c) is None
+
+
+def test_report_parts_are_planned_one_at_a_time(spark):
+    """The report's row is put together from stored parts, not by one plan of them all."""
+    from brindle.operators import evaluation as E
+
+    r = E.report(rows_of(spark, 4, 300), 0.2, bootstrap=10)
+    plan = r._jdf.queryExecution().toString()
+    assert "Window" not in plan and "MapInArrow" not in plan
+    assert [x.metric for x in r.first().bootstrap] == ["aurc", "average_precision", "false_positive_rate", "recall"]
