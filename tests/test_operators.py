@@ -482,6 +482,15 @@ def test_no_group_is_as_near_as_groups_over_twice_the_target(spark, tmp_path):
     assert compare(Q.g3_closest_subset(spark, str(tmp_path)), Q.SQL["g3_closest_subset"], c) is None
 
 
+def test_claims_are_read_from_stored_intervals(spark):
+    """The driver holds no plan that resamples, ranks and judges at once."""
+    from brindle.operators import comparison as C
+
+    parts = C.compare(rows_of(spark, 3, 300), rows_of(spark, 3, 300, system=1), 0.2, 10)
+    assert "Window" not in parts["claim"]._jdf.queryExecution().toString()
+    assert parts["claim"].count() == 1 and parts["intervals"].count() == 5
+
+
 def test_report_parts_are_planned_one_at_a_time(spark):
     """The report's row is put together from stored parts, not by one plan of them all."""
     from brindle.operators import evaluation as E
